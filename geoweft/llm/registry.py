@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import byte_bpe, language_id, line_dedup, toxicity
+from geoweft.llm import byte_bpe, language_id, licenses, line_dedup, toxicity
 from geoweft.tables import table
 
 
@@ -26,11 +26,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
