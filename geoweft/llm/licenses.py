@@ -1,7 +1,7 @@
 """Licence scan: lines and whole documents against licence templates by the Dice coefficient of word bigrams.
 
 Text is lower-cased, everything but a-z and 0-9 becomes a space, and a unit's set is its distinct pairs of
-neighbouring words. Dice = 2 |A and B| / (|A| + |B|). For Dice >= t the sizes obey
+neighbouring words, as 64-bit hashes. Dice = 2 |A and B| / (|A| + |B|). For Dice >= t the sizes obey
 t/(2-t) |B| <= |A| <= (2-t)/t |B| and at least t/(2-t) |B| bigrams are shared, so a unit must hold one of
 any |B| - that + 1 bigrams of the template: its longest-worded ones are the join key, and only templates
 whose size bounds admit the unit are compared. DataFrame functions only; the template tables have a fixed
@@ -64,7 +64,8 @@ def keys(spark: SparkSession, templates: list[tuple[str, str]], least: float) ->
         grams = bigrams_of(text)
         low, high, n = bounds(len(grams), least)
         rows += [(key, number, name, grams, low, high) for key in sorted(grams, key=lambda g: (-len(g), g))[:n]]
-    return spark.createDataFrame(rows, "key string, number int, license string, template array<string>, low int, high int")
+    texts = spark.createDataFrame(rows, "key string, number int, license string, template array<string>, low int, high int")
+    return texts.withColumn("key", F.xxhash64("key")).withColumn("template", F.transform("template", lambda g: F.xxhash64(g)))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
@@ -74,7 +75,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     whole = F.when(F.size(lines) > 1, F.array("text")).otherwise(F.array().cast("array<string>"))
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.size(lines).alias("n"), F.posexplode(F.concat(lines, whole)).alias("at_line", "unit"))
     words = F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " ")
-    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i))))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
     units = (
         cut.select("doc_id", F.when(F.col("at_line") == F.col("n"), -1).otherwise(F.col("at_line")).alias("line"), words.alias("words"))
         .where(F.size("words") > min(low for low, _, _ in sizes))
