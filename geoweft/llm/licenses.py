@@ -76,10 +76,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.size(lines).alias("n"), F.posexplode(F.concat(lines, whole)).alias("at_line", "unit"))
     words = F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " ")
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    # what a generator gives is computed once; a projection would be repeated wherever it is used
     units = (
-        cut.select("doc_id", F.when(F.col("at_line") == F.col("n"), -1).otherwise(F.col("at_line")).alias("line"), words.alias("words"))
+        cut.select("doc_id", F.when(F.col("at_line") == F.col("n"), -1).otherwise(F.col("at_line")).alias("line"), F.explode(F.array(words)).alias("words"))
         .where(F.size("words") > min(low for low, _, _ in sizes))
-        .select("doc_id", "line", F.array_distinct(pairs).alias("grams"))
+        .select("doc_id", "line", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
         .where(F.size("grams").between(min(low for low, _, _ in sizes), max(high for _, high, _ in sizes)))
     )
     near = units.select("doc_id", "line", "grams", F.explode("grams").alias("key")).join(F.broadcast(keys(docs.sparkSession, templates, least)), "key")
