@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import avi, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, toxicity
+from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, toxicity
 from geoweft.tables import table
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_avi": op2_avi,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_top_k": op4_top_k,
     "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
@@ -53,4 +58,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
+ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
