@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, toxicity
+from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
 from geoweft.tables import table
 
 
@@ -46,6 +46,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_avi": op2_avi,
@@ -56,6 +60,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
