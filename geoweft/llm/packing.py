@@ -33,26 +33,68 @@ BIN = f"open boolean, fill int, members array<{MEMBER}>"
 
 
 class WordEncoder:
-    def __init__(self, path: str, limit: int = 300_000):
+    """Ids of whole texts from ids of words. Marks at the end of a word are a match of their own, and ASCII
+    letters are lower-cased, so words are looked up without them; what is new among all-letter words is
+    encoded as one text and cut again where the vocabulary marks the end of a word."""
+
+    MARKS = ".,!?;:%$#&*-_/\\()[]{}\"+=~^@`"
+
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.known = limit, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.limit, self.known, self.cores = limit, {}, {}
         self.odd = re.compile("[\x1c-\x1f]").search  # white space to Python alone
 
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(some):  # another vocabulary marks no ends
+                self.cores.update((w, self._one(w)) for w in some)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, cut):
+                self.cores[w] = data[at : 4 * end]
+                at = 4 * end
+
+    def _learn(self, words: list[str]) -> None:
+        cores, marked, plain = self.cores, [], []
+        for w in words:
+            core = w.rstrip(self.MARKS)
+            if len(core) == len(w) or not core or not core[-1].isalnum():
+                plain.append((w, w.lower() if w.isascii() else w))
+            else:
+                marked.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+        needed = {core for _, core in plain}
+        needed.update(core for _, core, _ in marked)
+        needed.update(marks for _, _, marks in marked)
+        new = needed.difference(cores)
+        if len(cores) + len(new) > self.limit * 2 // 3:
+            cores.clear()
+            new = needed
+        self._letters([x for x in new if x.isalpha()])
+        cores.update((x, self._one(x)) for x in new if not x.isalpha())
+        self.known.update((w, cores[core]) for w, core in plain)
+        self.known.update((w, cores[core] + cores[marks]) for w, core, marks in marked)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [[t] if self.odd(t) else t.split() for t in texts]
-        if new := list({w for row in words for w in row if w not in self.known}):
-            if len(self.known) + len(new) > self.limit:
-                self.known = {}
-                new = list({w for row in words for w in row})
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+        every = set().union(*words)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known, new = {}, every
+        self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, row)) for row in words]
 
 
