@@ -13,6 +13,11 @@ WGS84_A, WGS84_F = 6_378_137.0, 1 / 298.257223563
 SERVICE_AREA = (124.0, 132.0, 33.0, 39.0)  # west, east, south, north
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def haversine(lon1, lat1, lon2, lat2) -> Column:
     """Metres on the sphere; null if any input is null."""
     lon1, lat1, lon2, lat2 = (F.col(c) if isinstance(c, str) else c for c in (lon1, lat1, lon2, lat2))
@@ -107,8 +112,9 @@ def invert_transform(gt: Column) -> Column:
 
 
 def to_pixel(gt: Column, x: Column, y: Column) -> Column:
-    """Fractional pixel, (0, 0) at the upper left corner."""
-    return apply_transform(invert_transform(gt), x, y)
+    """Fractional pixel, (0, 0) at the upper left corner. Rasters that aren't rotated need no inverse, and get no rounding from one."""
+    straight = (gt[2] == 0) & (gt[4] == 0) & (gt[1] != 0) & (gt[5] != 0)
+    return F.when(straight, point((x - gt[0]) / gt[1], (y - gt[3]) / gt[5])).otherwise(apply_transform(invert_transform(gt), x, y))
 
 
 def in_raster(px: Column, py: Column, width: Column, height: Column) -> Column:
@@ -201,31 +207,46 @@ def to_projected(lon: Column, lat: Column, epsg: int) -> Column:
     lon0, lat0, k0, fe, fn = TRANSVERSE_MERCATOR[epsg]
     s = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    d = F.radians(lon - lon0)
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for k, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-        y = y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-    return point(fe + k0 * _RADIUS * x, fn + k0 * (_RADIUS * y - _northing_at(lat0)))
+
+    def series(p):
+        x, y = p["eta"], p["xi"]
+        for k, a in enumerate(_ALPHA, 1):
+            x = x + a * F.cos(2 * k * p["xi"]) * F.sinh(2 * k * p["eta"])
+            y = y + a * F.sin(2 * k * p["xi"]) * F.cosh(2 * k * p["eta"])
+        return point(fe + k0 * _RADIUS * x, fn + k0 * (_RADIUS * y - _northing_at(lat0)))
+
+    def sphere(q):
+        return F.struct(F.atan2(q["t"], F.cos(q["d"])).alias("xi"), F.atanh(F.sin(q["d"]) / F.sqrt(1 + q["t"] * q["t"])).alias("eta"))
+
+    return let(F.struct(t.alias("t"), F.radians(lon - lon0).alias("d")), lambda q: let(sphere(q), series))
 
 
 def from_projected(x: Column, y: Column, epsg: int) -> Column:
     """struct<x, y> as lon and lat in degrees."""
     lon0, lat0, k0, fe, fn = TRANSVERSE_MERCATOR[epsg]
-    xi, eta = ((y - fn) / k0 + _northing_at(lat0)) / _RADIUS, (x - fe) / (k0 * _RADIUS)
-    a, b = xi, eta
-    for k, c in enumerate(_BETA, 1):
-        a = a - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        b = b - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    t0 = F.sin(a) / F.sqrt(F.pow(F.sinh(b), 2.0) + F.pow(F.cos(a), 2.0))
-    t = t0
-    for _ in range(3):  # conformal to geographic latitude
-        r = F.sqrt(1 + t * t)
-        g = F.sinh(_E * F.atanh(_E * t / r))
-        now = t * F.sqrt(1 + g * g) - g * r
-        t = t + (t0 - now) / F.sqrt(1 + now * now) * (1 + (1 - _E**2) * t * t) / ((1 - _E**2) * r)
-    return point(lon0 + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(F.atan(t)))
+    start = F.struct((((y - fn) / k0 + _northing_at(lat0)) / _RADIUS).alias("xi"), ((x - fe) / (k0 * _RADIUS)).alias("eta"))
+
+    def sphere(p):
+        a, b = p["xi"], p["eta"]
+        for k, c in enumerate(_BETA, 1):
+            a = a - c * F.sin(2 * k * p["xi"]) * F.cosh(2 * k * p["eta"])
+            b = b - c * F.cos(2 * k * p["xi"]) * F.sinh(2 * k * p["eta"])
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def nearer(t, t0):
+        """One Newton step from conformal to geographic latitude."""
+        def step(q):
+            now = q["t"] * F.sqrt(1 + q["g"] * q["g"]) - q["g"] * F.sqrt(1 + q["t"] * q["t"])
+            return q["t"] + (t0 - now) / F.sqrt(1 + now * now) * (1 + (1 - _E**2) * q["t"] * q["t"]) / ((1 - _E**2) * F.sqrt(1 + q["t"] * q["t"]))
+
+        return let(F.struct(t.alias("t"), F.sinh(_E * F.atanh(_E * t / F.sqrt(1 + t * t))).alias("g")), step)
+
+    def geographic(p):
+        t0 = F.sin(p["a"]) / F.sqrt(F.pow(F.sinh(p["b"]), 2.0) + F.pow(F.cos(p["a"]), 2.0))
+        t = let(t0, lambda u: F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), u, lambda v, _: nearer(v, u)))
+        return point(lon0 + F.degrees(F.atan2(F.sinh(p["b"]), F.cos(p["a"]))), F.degrees(F.atan(t)))
+
+    return let(start, lambda p: let(sphere(p), geographic))
 
 
 def transform_crs(x: Column, y: Column, source: int, target: int) -> Column:
@@ -237,8 +258,8 @@ def transform_crs(x: Column, y: Column, source: int, target: int) -> Column:
     if source != target and source != 4326:
         p = from_projected(x, y, source)
     if source != target and target != 4326:
-        p = to_projected(p["x"], p["y"], target)
-    return F.when(F.abs(p["x"]).between(0, 1e300) & F.abs(p["y"]).between(0, 1e300), p)
+        p = let(p, lambda q: to_projected(q["x"], q["y"], target))
+    return let(p, lambda q: F.when(F.abs(q["x"]).between(0, 1e300) & F.abs(q["y"]).between(0, 1e300), q))
 
 
 def transform_line(line: Column, source: int, target: int) -> Column:

@@ -2,5 +2,423 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from geoweft.functions import geo
+from geoweft.functions import roads as rules
+from geoweft.operators import catalog, lines, quality, raster, roads, spatial
+from geoweft.operators.components import components
+from geoweft.plans import fixtures as fx
+from geoweft.plans.fixtures import derive, hav
+from geoweft.sources import vector
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def metres(c) -> F.Column:
+    return F.round(c, 3)
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------
+
+
+@query("p01_p09_point_scalars", f"""
+select poi_id, round({hav('127e0', '37.5e0', 'lon', 'lat')}, 3) distance_m, cast(floor(lon/0.005e0) as bigint) cx, cast(floor(lat/0.005e0) as bigint) cy,
+  cast(floor(lon*1e7+0.5e0) as bigint) kx, cast(floor(lat*1e7+0.5e0) as bigint) ky, round(500e0/(111320e0*cos(radians(abs(lat)+500e0/110574e0))), 9) lon_deg, lon between -180 and 180 and lat between -90 and 90 as in_range,
+  case when lon < 127e0 then 127e0 when lon > 127.05e0 then 127.05e0 else lon end clamped from ({fx.POI}) p""")
+def point_scalars(spark, d):
+    lon, lat = F.col("lon"), F.col("lat")
+    return derive(spark, d, fx.POI).select(
+        "poi_id", metres(geo.haversine(F.lit(127.0), F.lit(37.5), lon, lat)).alias("distance_m"), geo.cell(lon, 0.005).alias("cx"), geo.cell(lat, 0.005).alias("cy"), geo.snapped(lon).alias("kx"), geo.snapped(lat).alias("ky"),
+        F.round(geo.lon_degrees(F.lit(500.0), lat), 9).alias("lon_deg"), geo.in_lon_lat_range(lon, lat).alias("in_range"), geo.clamp(lon, F.lit(127.0), F.lit(127.05)).alias("clamped"))
+
+
+@query("p02_spheroid_distance", f"select poi_id, true as close_to_sphere from ({fx.POI}) p")
+def spheroid(spark, d):
+    s, e = geo.haversine(F.lit(127.0), F.lit(37.5), F.col("lon"), F.col("lat")), geo.spheroid_distance(F.lit(127.0), F.lit(37.5), F.col("lon"), F.col("lat"))
+    return derive(spark, d, fx.POI).select("poi_id", (F.abs(s - e) <= 0.006 * s + 1e-6).alias("close_to_sphere"))
+
+
+@query("p10_p14_affine", f"""
+select poi_id, round((lon-126.95e0)/0.0005e0, 6) px, round((37.57e0-lat)/0.0003e0, 6) py,
+ (lon-126.95e0)/0.0005e0 >= 0 and (lon-126.95e0)/0.0005e0 < 400 and (37.57e0-lat)/0.0003e0 >= 0 and (37.57e0-lat)/0.0003e0 < 400 as inside, round(lon, 9) lon, round(lat, 9) lat from ({fx.POI}) p""")
+def affine(spark, d):
+    gt = F.array(*map(F.lit, fx.DEM_GT))
+    p = derive(spark, d, fx.POI).withColumn("p", geo.to_pixel(gt, F.col("lon"), F.col("lat")))
+    back = geo.apply_transform(gt, F.col("p.x"), F.col("p.y"))
+    return p.select("poi_id", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"), geo.in_raster(F.col("p.x"), F.col("p.y"), F.lit(400), F.lit(400)).alias("inside"), F.round(back["x"], 9).alias("lon"), F.round(back["y"], 9).alias("lat"))
+
+
+@query("p15_crs_round_trip", f"select poi_id, round(lon, 8) lon, round(lat, 8) lat, round(lon, 8) lon2, round(lat, 8) lat2 from ({fx.POI}) p")
+def crs(spark, d):
+    p = derive(spark, d, fx.POI).withColumn("a", geo.transform_crs(F.col("lon"), F.col("lat"), 4326, 5186)).withColumn("b", geo.transform_crs(F.col("a.x"), F.col("a.y"), 5186, 5179))
+    p = p.withColumn("c", geo.transform_crs(F.col("b.x"), F.col("b.y"), 5179, 4326)).withColumn("e", geo.transform_crs(F.col("a.x"), F.col("a.y"), 5186, 4326))
+    return p.select("poi_id", F.round("e.x", 8).alias("lon"), F.round("e.y", 8).alias("lat"), F.round("c.x", 8).alias("lon2"), F.round("c.y", 8).alias("lat2"))
+
+
+ATTRS = f"""select link_id, k, road_class, max_speed_kph, oneway, case k%4 when 0 then cast(max_speed_kph as varchar(9)) when 1 then cast(max_speed_kph as varchar(9)) || ' km/h' when 2 then cast(max_speed_kph as varchar(9)) || ' mph' end speed_text,
+ case when oneway and k%2=0 then 'yes' when oneway then '-1' else 'no' end way_text from ({fx.LINKS}) l"""
+
+
+def features(spark, d):
+    a = derive(spark, d, ATTRS.replace("varchar(9)", "string"))
+    name = F.when(F.col("k") % 3 == 0, "Highway").when(F.col("k") % 3 == 1, "road_rank").otherwise("CLASS")
+    ends = derive(spark, d, fx.LINKS).select("link_id", F.array(F.array(geo.point(F.col("lon1"), F.col("lat1")), geo.point(F.col("lon2"), F.col("lat2")))).alias("parts"))
+    attrs = F.map_from_arrays(F.array(F.lit("link_id"), name, F.lit("maxspeed"), F.lit("oneway")), F.array(F.col("link_id").cast("string"), F.col("road_class"), F.col("speed_text"), F.col("way_text")))
+    return a.join(ends, "link_id").select(F.col("link_id").alias("feature_id"), F.lit("LineString").alias("geom_type"), "parts", attrs.alias("attrs"))
+
+
+@query("p25_p30_road_attributes", f"""
+select cast(link_id as varchar) source_id, road_class, oneway, case when k%4 in (0, 1) then max_speed_kph when k%4 = 2 then cast(floor(max_speed_kph*1.609344e0+0.5e0) as int) end max_speed_kph from ({ATTRS}) a""")
+def road_attributes(spark, d):
+    return roads.link_lines(features(spark, d)).select("source_id", "road_class", "oneway", "max_speed_kph")
+
+
+SPEED = "cast(max_speed_kph as double)"
+COST = f"""select mode, edge_id, src, dst, cost from (
+ select link_id*2 edge_id, from_node src, to_node dst, true fwd, * from lk union all select link_id*2+1, to_node, from_node, false, * from lk) e,
+ (select 'CAR' mode union all select 'WALK' union all select 'BIKE') m,
+ lateral (select case mode when 'CAR' then case when road_class <> 'footway' and (fwd or not oneway) then len/({SPEED}/3.6e0) end
+   when 'WALK' then case when road_class <> 'motorway' then len/(6e0*exp(-3.5e0*abs(0.05e0))/3.6e0) end
+   else case when road_class <> 'motorway' then len/(15e0/3.6e0) end end cost) x where cost is not null"""
+LK = f"lk as (select *, {hav('lon1', 'lat1', 'lon2', 'lat2')} len from ({fx.LINKS}) l)"
+
+
+def grid_links(spark, d, sql=fx.LINKS):
+    return derive(spark, d, sql).withColumn("length_m", geo.haversine("lon1", "lat1", "lon2", "lat2")).withColumn("road_name", F.concat(F.lit("road "), F.when(F.col("dir") == 0, F.col("r")).otherwise(F.col("c"))))\
+        .withColumn("geom", F.array(geo.point(F.col("lon1"), F.col("lat1")), geo.point(F.col("lon2"), F.col("lat2"))))
+
+
+@query("g03_p39_edge_costs", f"with {LK} select mode, edge_id, src, dst, round(cost, 6) cost from ({COST}) c")
+def edge_costs(spark, d):
+    return roads.costs(roads.edges(grid_links(spark, d))).withColumn("cost", F.round("cost", 6)).select("mode", "edge_id", "src", "dst", "cost")
+
+
+@query("p36_p37_slope_speeds", """
+select l_linenumber, l_orderkey, round(s, 9) slope, round(6e0*exp(-3.5e0*abs(s+0.05e0)), 6) walk_kph, round(case when s >= 0 then greatest(3e0, 15e0*(1-8*s)) else least(30e0, 15e0*(1-4*s)) end, 6) bike_kph
+from (select l_orderkey, l_linenumber, (l_orderkey%41-20)/20e0 s from lineitem) x""")
+def slope_speeds(spark, d):
+    s = geo.slope(F.lit(0.0), (F.col("l_orderkey") % 41 - 20).cast("double"), F.lit(20.0))
+    return derive(spark, d, "select l_orderkey, l_linenumber from lineitem").select("l_linenumber", "l_orderkey", F.round(s, 9).alias("slope"), F.round(rules.tobler_kph(s), 6).alias("walk_kph"), F.round(rules.bike_kph(s), 6).alias("bike_kph"))
+
+
+@query("s11_n05_geojson", f"""select poi_id, '{{"type":"Point","coordinates":[' || cast(kx as varchar) || ',' || cast(ky as varchar) || ']}}' geojson from (select poi_id, round(lon*1000e0)/8e0 kx, round(lat*1000e0)/8e0 ky from ({fx.POI}) p) q""")
+def geojson(spark, d):
+    p = derive(spark, d, fx.POI).withColumn("g", F.array(F.array(geo.point(F.round(F.col("lon") * 1000.0) / 8.0, F.round(F.col("lat") * 1000.0) / 8.0))))
+    return p.select("poi_id", vector.to_geojson(F.lit("Point"), F.col("g")).alias("geojson"))
+
+
+# --- spatial joins ----------------------------------------------------------------------------------------------
+
+
+@query("j06_radius_join", f"""
+select qid, poi_id, category, round({hav('q.lon', 'q.lat', 'p.lon', 'p.lat')}, 3) distance_m from ({fx.POINTS}) q, ({fx.POI}) p where {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')} <= 1500e0""")
+def radius_join(spark, d):
+    return spatial.radius_join(derive(spark, d, fx.POINTS), derive(spark, d, fx.POI), 1500.0).select("qid", "poi_id", "category", metres(F.col("distance_m")).alias("distance_m"))
+
+
+@query("t01_radius_top_by_category", f"""
+select qid, poi_id, rank from (select qid, poi_id, cast(row_number() over (partition by qid order by {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')}, poi_id) as int) rank
+ from ({fx.POINTS}) q, ({fx.POI}) p where category = 'BUILDING' and {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')} <= 3000e0) x where rank <= 3""")
+def radius_top(spark, d):
+    return spatial.radius_join(derive(spark, d, fx.POINTS), derive(spark, d, fx.POI), 3000.0, limit=3, category=F.col("category") == "BUILDING").select("qid", "poi_id", F.col("rank").cast("int").alias("rank"))
+
+
+KNN = f"select qid, poi_id, cast(row_number() over (partition by qid order by {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')}, poi_id) as int) rank, {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')} d from ({fx.POINTS}) q, ({fx.POI}) p"
+
+
+@query("j07_knn_join", f"select qid, rank, poi_id, round(d, 3) distance_m from ({KNN}) x where rank <= 5")
+def knn(spark, d):
+    return spatial.knn_join(derive(spark, d, fx.POINTS), derive(spark, d, fx.POI), 5).withColumn("distance_m", metres(F.col("distance_m")))
+
+
+@query("j08_snap_join", f"""
+select q.qid, b.node_seq, b.snap_m from ({fx.POI.replace('poi_id', 'qid')}) q left join (
+ select qid, node_seq, round(d, 3) snap_m from (select qid, node_seq, {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')} d, row_number() over (partition by qid order by {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')}, node_seq) n
+  from ({fx.POI.replace('poi_id', 'qid')}) q, ({fx.NODES}) p where {hav('q.lon', 'q.lat', 'p.lon', 'p.lat')} <= 500e0) x where n = 1) b on q.qid = b.qid""")
+def snap(spark, d):
+    return spatial.snap_join(derive(spark, d, fx.POI).withColumnRenamed("poi_id", "qid"), derive(spark, d, fx.NODES)).select("qid", "node_seq", metres(F.col("snap_m")).alias("snap_m"))
+
+
+@query("j02_c07_bbox_search", f"select qid, fid, dataset from ({fx.SEARCH}) q, ({fx.BOXES}) b where qminx <= maxx and qmaxx >= minx and qminy <= maxy and qmaxy >= miny")
+def bbox_search(spark, d):
+    return spatial.bbox_join(derive(spark, d, fx.SEARCH), derive(spark, d, fx.BOXES)).select("qid", "fid", "dataset")
+
+
+@query("f13_service_area", f"select fid, maxx >= 124e0 and minx <= 127e0 and maxy >= 33e0 and miny <= 37.5e0 as meets, minx >= 124e0 and maxx <= 127e0 and miny >= 33e0 and maxy <= 37.5e0 as contained from ({fx.BOXES}) b")
+def service_area(spark, d):
+    b = derive(spark, d, fx.BOXES).withColumns({"w": F.lit(124.0), "s": F.lit(33.0), "e": F.lit(127.0), "n": F.lit(37.5)})
+    return b.select("fid", spatial.bbox_overlaps(("minx", "miny", "maxx", "maxy"), ("w", "s", "e", "n")).alias("meets"), ((F.col("minx") >= F.col("w")) & (F.col("maxx") <= F.col("e")) & (F.col("miny") >= F.col("s")) & (F.col("maxy") <= F.col("n"))).alias("contained"))
+
+
+# --- rasters and lines ------------------------------------------------------------------------------------------
+
+PIXEL = f"select poi_id qid, cast(floor((lon-126.95e0)/0.0005e0) as int) c, cast(floor((37.57e0-lat)/0.0003e0) as int) r, (lon-126.95e0)/0.0005e0 px, (37.57e0-lat)/0.0003e0 py from ({fx.POI}) p"
+
+
+def dem_points(spark, d):
+    return derive(spark, d, fx.POI).select(F.col("poi_id").alias("qid"), F.lit("dem").alias("dataset"), "lon", "lat")
+
+
+@query("r03_pixel_values", f"""
+select qid, px >= 0 and px < 400 and py >= 0 and py < 400 as inside, case when px >= 0 and px < 400 and py >= 0 and py < 400 and not (c < 10 and r < 10) then 50e0+0.5e0*c+0.25e0*r end as value from ({PIXEL}) x""")
+def pixel_values(spark, d):
+    tiles, meta = fx.dem(spark)
+    return raster.pixel_values(dem_points(spark, d), tiles, meta, 128).select("qid", "inside", "value")
+
+
+def bil(px: str, py: str) -> str:
+    x0, y0 = f"least(floor(greatest({px}-0.5e0, 0e0)), 398e0)", f"least(floor(greatest({py}-0.5e0, 0e0)), 398e0)"
+    fx_, fy = f"least(greatest({px}-0.5e0, 0e0), 399e0)", f"least(greatest({py}-0.5e0, 0e0), 399e0)"
+    return f"case when {px} >= 0 and {px} < 400 and {py} >= 0 and {py} < 400 then case when {x0} < 10 and {y0} < 10 then case when floor({px}) < 10 and floor({py}) < 10 then null else 50e0+0.5e0*floor({px})+0.25e0*floor({py}) end else 50e0+0.5e0*{fx_}+0.25e0*{fy} end end"
+
+
+@query("r04_bilinear_elevation", f"select qid, round({bil('px', 'py')}, 6) elevation from ({PIXEL}) x")
+def bilinear(spark, d):
+    tiles, meta = fx.dem(spark)
+    return raster.bilinear(dem_points(spark, d), tiles, meta, 128).select("qid", F.round("elevation", 6).alias("elevation"))
+
+
+@query("a03_r01_raster_statistics", f"select (max(px)+1)*(max(py)+1) n_pixels, round(1 - count(*)/((max(px)+1)*(max(py)+1)*1e0), 9) nodata_ratio, min(v) min_value, max(v) max_value from ({fx.HEAT}) h")
+def raster_statistics(spark, d):
+    tiles, meta = fx.heat(spark, d)
+    return raster.statistics(tiles, meta).select("n_pixels", F.round("nodata_ratio", 9).alias("nodata_ratio"), "min_value", "max_value")
+
+
+@query("r10_retile", f"select px//32 tile_col, py//32 tile_row, count(v) n, max(v) hi from ({fx.HEAT}) h group by 1, 2")
+def retile(spark, d):
+    tiles, _ = fx.heat(spark, d)
+    again = raster.tiles_of(raster.pixels_of(tiles, 64), 32)
+    return again.select("tile_col", "tile_row", F.size(F.filter("data", lambda v: v.isNotNull())).cast("long").alias("n"), F.array_max("data").alias("hi")).where("n > 0")
+
+
+@query("r11_overviews", f"select 1 as level, px//2 px, py//2 py, round(avg(v), 4) v from ({fx.HEAT}) h group by 1, 2, 3 union all select 2, px//2, py//2, round(avg(v), 4) from (select px//2 px, py//2 py, avg(v) v from ({fx.HEAT}) h group by 1, 2) g group by 1, 2, 3")
+def overviews(spark, d):
+    tiles, meta = fx.heat(spark, d)
+    o = raster.pixels_of(raster.overviews(tiles, meta, 64, most=40).where("level > 0"), 64).where("value is not null")
+    return o.select("level", F.col("col").alias("px"), F.col("row").alias("py"), F.round("value", 4).alias("v"))
+
+
+LEGS = f"select *, case when seq = 0 then 0e0 else {hav('plon', 'plat', 'lon', 'lat')} end leg from (select *, lag(lon) over w plon, lag(lat) over w plat from ({fx.LINES}) l window w as (partition by line_id order by seq)) x"
+DIST = f"select *, sum(leg) over (partition by line_id order by seq rows unbounded preceding) dist from ({LEGS}) y"
+
+
+@query("w01_p03_line_lengths", f"select line_id, count(*) n, round(sum(leg), 2) length_m from ({LEGS}) y group by line_id")
+def line_lengths(spark, d):
+    return lines.measured(derive(spark, d, fx.LINES)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("distance_m"), 2).alias("length_m"))
+
+
+SAMPLES = f"""select distinct line_id, dist, lon, lat from (
+ select line_id, dist, lon, lat from ({DIST}) z
+ union all select line_id, k*100e0, lon+(tlon-lon)*(k*100e0-dist)/(tdist-dist), lat+(tlat-lat)*(k*100e0-dist)/(tdist-dist)
+ from (select *, unnest(generate_series(cast(greatest(ceil(dist/100e0), 1) as bigint), cast(ceil(tdist/100e0)-1 as bigint))) k from (select *, lead(dist) over w tdist, lead(lon) over w tlon, lead(lat) over w tlat from ({DIST}) z window w as (partition by line_id order by seq)) a where tdist > dist) b) c"""
+
+
+@query("r08_line_sampling", f"select line_id, count(*) n_samples, round(max(dist), 2) length_m, round(sum(lon-126e0), 4) sum_lon from ({SAMPLES}) s group by line_id")
+def line_sampling(spark, d):
+    s = lines.sampled(derive(spark, d, fx.LINES), 100.0)
+    return s.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.max("distance_m"), 2).alias("length_m"), F.round(F.sum(F.col("lon") - 126.0), 4).alias("sum_lon"))
+
+
+@query("r09_elevation_profile", f"""
+with s as ({SAMPLES}), z as (select line_id, dist, {bil('((lon-126.95e0)/0.0005e0)', '((37.57e0-lat)/0.0003e0)')} e from s),
+dd as (select *, e - last_value(e ignore nulls) over (partition by line_id order by dist rows between unbounded preceding and 1 preceding) df from z)
+select line_id, count(*) n_samples, round(sum(case when df > 0 then df else 0 end), 3) ascent_m, round(sum(case when df < 0 then -df else 0 end), 3) descent_m, round(min(e), 4) min_m, round(max(e), 4) max_m from dd group by line_id""")
+def elevation_profile(spark, d):
+    tiles, meta = fx.dem(spark)
+    p = lines.profile(derive(spark, d, fx.LINES), tiles, meta, "dem", 100.0, 128)
+    return p.select("line_id", "n_samples", F.round("ascent_m", 3).alias("ascent_m"), F.round("descent_m", 3).alias("descent_m"), F.round("min_m", 4).alias("min_m"), F.round("max_m", 4).alias("max_m"))
+
+
+# --- road networks ----------------------------------------------------------------------------------------------
+
+
+@query("g01_topology", f"""
+with a as (select * from ({ATTRS}) a), l as (select lk.*, a.way_text from ({fx.LINKS}) lk join a using (link_id)),
+d as (select link_id, case when way_text = '-1' then to_node else from_node end f, case when way_text = '-1' then from_node else to_node end t, {hav('lon1', 'lat1', 'lon2', 'lat2')} len from l),
+e as (select link_id, 0 e, f node from d union all select link_id, 1, t from d),
+n as (select node, row_number() over (order by min(link_id*2+e)) - 1 seq from e group by node)
+select row_number() over (order by link_id) link_id, x.seq from_node, y.seq to_node, round(len, 3) length_m from d join n x on d.f = x.node join n y on d.t = y.node""")
+def topology(spark, d):
+    _, links = roads.topology(features(spark, d))
+    return links.select("link_id", "from_node", "to_node", metres(F.col("length_m")).alias("length_m"))
+
+
+
+@query("g02_components", f"""
+with recursive e as (select from_node a, to_node b from ({fx.ISLANDS}) i union select to_node, from_node from ({fx.ISLANDS}) i),
+r(root, node) as (select distinct a, a from e union select r.root, e.b from r join e on e.a = r.node)
+select node, min(root) component from r group by node""")
+def islands(spark, d):
+    return components(derive(spark, d, fx.ISLANDS), "from_node", "to_node")
+
+
+@query("a09_connectivity", f"""
+with recursive e as (select from_node a, to_node b from ({fx.ISLANDS}) i union select to_node, from_node from ({fx.ISLANDS}) i),
+r(root, node) as (select node_seq, node_seq from ({fx.NODES}) n union select r.root, e.b from r join e on e.a = r.node),
+m as (select node, min(root) c from r group by node), s as (select c, count(*) n from m group by c)
+select count(*) component_count, max(n) largest, cast(sum(n) as bigint) node_count, round(max(n)/(sum(n)*1e0), 6) ratio from s""")
+def connectivity(spark, d):
+    return roads.connectivity(derive(spark, d, fx.NODES), derive(spark, d, fx.ISLANDS)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("a12_out_degree", f"select node, count(*) degree from (select from_node node from ({fx.LINKS}) l union all select to_node from ({fx.LINKS}) l) e group by node")
+def out_degree(spark, d):
+    return roads.edges(grid_links(spark, d)).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+SEARCH = f"""with recursive {LK}, cost as ({COST}), od as ({fx.OD}),
+best(od_id, node, g) using key (od_id, node) as (
+ select od_id, src, 0e0 from od
+ union all
+ select c.od_id, c.dst, c.g from (select b.od_id, e.dst, min(b.g + e.cost) g from best b join od using (od_id) join cost e on e.src = b.node and e.mode = od.mode group by 1, 2) c
+ left join recurring.best o on o.od_id = c.od_id and o.node = c.dst where o.g is null or c.g < o.g - 1e-9)
+"""
+
+
+def search_input(spark, d):
+    e = roads.edges(grid_links(spark, d))
+    return derive(spark, d, fx.OD), e, roads.costs(e)
+
+
+@query("g04_least_time", SEARCH + "select od.od_id, round(best.g, 4) cost from od left join best on best.od_id = od.od_id and best.node = od.dst")
+def least_time(spark, d):
+    od, _, cost = search_input(spark, d)
+    found = roads.search(od, cost).select("od_id", F.col("node").alias("dst"), "g")
+    return od.join(found, ["od_id", "dst"], "left").select("od_id", F.round("g", 4).alias("cost"))
+
+
+@query("g08_routes", SEARCH + "select od.od_id, round(best.g, 4) duration_s, case when best.g is null then 'NO_PATH' else 'OK' end status, true as adds_up from od left join best on best.od_id = od.od_id and best.node = od.dst")
+def assembled_routes(spark, d):
+    od, e, cost = search_input(spark, d)
+    nodes, links = derive(spark, d, fx.NODES), grid_links(spark, d)
+    labels = roads.search(od, cost, nodes, roads.max_speed_mps(e))
+    steps = roads.paths(od, labels)
+    headers, segments = roads.routes(od, labels, steps, e, links, nodes)
+    along = segments.groupBy("od_id").agg(F.sum("length_m").alias("along"))
+    total = steps.join(od, "od_id").join(cost, ["edge_id", "mode"]).groupBy("od_id").agg(F.sum("cost").alias("again"))
+    h = headers.join(along, "od_id", "left").join(total, "od_id", "left")
+    fine = (F.abs(F.coalesce("again", F.lit(0.0)) - F.coalesce("duration_s", F.lit(0.0))) < 1e-6) & (F.abs(F.coalesce("along", F.lit(0.0)) - F.coalesce("distance_m", F.lit(0.0))) < 1e-6)
+    fine = fine & (F.abs(F.coalesce(geo.line_length(F.col("line")), F.lit(0.0)) - F.coalesce("distance_m", F.lit(0.0))) < 1e-3)
+    return h.select("od_id", F.round("duration_s", 4).alias("duration_s"), "status", fine.alias("adds_up"))
+
+
+@query("a22_comparison_report", """
+with p as (select o_orderkey, o_totalprice/20e0 d, o_orderkey%97 a, o_orderkey%31 b, case when o_orderkey%50 = 0 then 1e0 else 0e0 end x from orders),
+q as (select case when d < 2000 then '0-2 km' when d < 5000 then '2-5 km' when d < 20000 then '5-20 km' end bucket, * from p)
+select coalesce(bucket, 'total') bucket, count(*) n_pairs, round(avg(a), 6) mean_nodes_a, round(avg(b), 6) mean_nodes_b, list_sort(list(a))[cast(floor(count(*)*0.5e0) as int)+1] p50_nodes_a, list_sort(list(b))[cast(floor(count(*)*0.95e0) as int)+1] p95_nodes_b, cast(sum(x) as bigint) mismatches
+from q where bucket is not null group by rollup(bucket)""")
+def comparison_report(spark, d):
+    p = derive(spark, d, "select o_totalprice/20e0 distance_m, 0e0 cost_a, case when o_orderkey%50 = 0 then 1e0 else 0e0 end cost_b, o_orderkey%97 nodes_a, o_orderkey%31 nodes_b from orders")
+    return roads.comparison(p).withColumn("mean_nodes_a", F.round("mean_nodes_a", 6)).withColumn("mean_nodes_b", F.round("mean_nodes_b", 6))
+
+
+# --- quality rules and catalogue --------------------------------------------------------------------------------
+
+POIF = "select c_nationkey dataset, 1 version_no, case when c_custkey%40 = 3 then 'LineString' else 'Point' end geom_type, case when c_custkey%7 = 0 or c_nationkey = 5 then ' ' else c_name end name, 123e0+((c_custkey*7919)%15000)/1000e0+0*c_nationkey lon, 36e0+((c_custkey*104729)%12000)/10000e0 lat from customer"
+POIM = f"select dataset, version_no, count(*) n, count(*) filter (geom_type <> 'Point') bad, count(*) filter (trim(name) = '') nameless, min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 from ({POIF}) f group by 1, 2"
+REPORT = f"""
+select dataset, version_no, 'WITHIN_SERVICE_AREA' rule_code, case when not (x0 <= 132 and x1 >= 124 and y0 <= 39 and y1 >= 33) then 'ERROR' when not (x0 >= 124 and x1 <= 132 and y0 >= 33 and y1 <= 39) then 'WARN' else 'INFO' end severity from ({POIM}) m
+union all select dataset, version_no, 'GEOMETRY_TYPE', case when bad = n then 'ERROR' when bad > 0 then 'WARN' else 'INFO' end from ({POIM}) m
+union all select dataset, version_no, 'GEOMETRY_VALID', 'INFO' from ({POIM}) m
+union all select dataset, version_no, 'POI_NAME', case when nameless/(n*1e0) > 0.5e0 then 'ERROR' when nameless > 0 then 'WARN' else 'INFO' end from ({POIM}) m"""
+
+
+@query("v13_rule_report", REPORT)
+def rule_report(spark, d):
+    return quality.run(quality.poi_measures(derive(spark, d, POIF))).select("dataset", "version_no", "rule_code", "severity")
+
+
+@query("v14_decision", f"select dataset, version_no, case when count(*) filter (severity = 'ERROR') > 0 then 'REJECTED' else 'VALIDATED' end status from ({REPORT}) r group by 1, 2")
+def decision(spark, d):
+    return quality.decide(quality.run(quality.poi_measures(derive(spark, d, POIF)))).select("dataset", "version_no", "status")
+
+
+RASTERS = "select o_custkey dataset, cast(o_orderkey as int) version_no, o_orderkey%1001/1000e0 nodata_ratio, case when o_orderkey%9 = 0 then null else (o_orderkey%2000)/1e0 end resolution_m, case when o_orderkey%11 = 0 then ' ' else 'WKT' end srs, 'RASTER' type from orders"
+
+
+@query("v01_v05_raster_rules", f"""
+select version_no, 'RASTER_CRS' rule_code, case when trim(srs) = '' then 'ERROR' else 'INFO' end severity from ({RASTERS}) r
+union all select version_no, 'RASTER_NODATA_RATIO', case when nodata_ratio >= 0.999e0 then 'ERROR' when nodata_ratio > 0.5e0 then 'WARN' else 'INFO' end from ({RASTERS}) r
+union all select version_no, 'RASTER_RESOLUTION', case when resolution_m is not null and not (resolution_m between 0.05e0 and 1000e0) then 'WARN' else 'INFO' end from ({RASTERS}) r""")
+def raster_rules(spark, d):
+    return quality.run(derive(spark, d, RASTERS)).where(F.col("rule_code").isin("RASTER_CRS", "RASTER_NODATA_RATIO", "RASTER_RESOLUTION")).select("version_no", "rule_code", "severity")
+
+
+def versions(spark, d):
+    return derive(spark, d, fx.VERSIONS.replace("varchar(20)", "string"))
+
+
+@query("w07_c01_next_versions", f"select dataset, o_orderkey, cast(base + row_number() over (partition by dataset order by o_orderkey) as int) version_no from (select o_custkey dataset, o_orderkey from orders where o_orderkey%3 = 0) u join (select dataset, coalesce(max(case when o_orderkey%3 <> 0 then version_no end), 0) base from ({fx.VERSIONS}) v group by dataset) b using (dataset)")
+def next_versions(spark, d):
+    v = versions(spark, d)
+    up = v.where("o_orderkey % 3 = 0").select("dataset", F.col("o_orderkey").alias("arrival"))
+    return catalog.register(v.where("o_orderkey % 3 <> 0"), up).select("dataset", F.col("arrival").alias("o_orderkey"), "version_no")
+
+
+LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in catalog.TRANSITIONS)
+
+
+@query("c02_illegal_transitions", f"""
+select dataset, version_no, from_status, to_status from (select dataset, version_no, lag(status) over (partition by dataset order by changed_at, version_no) from_status, status to_status from ({fx.VERSIONS}) v) x
+where from_status is not null and (from_status, to_status) not in (values {LEGAL})""")
+def illegal_transitions(spark, d):
+    pairs = catalog.transitions(versions(spark, d).withColumnRenamed("status", "to_status"), ["dataset"])
+    return catalog.illegal(pairs).select("dataset", "version_no", "from_status", "to_status")
+
+
+@query("c03_v11_duplicate_files", f"select a.dataset, a.version_no from ({fx.VERSIONS}) a where exists (select 1 from ({fx.VERSIONS}) b where b.dataset = a.dataset and b.checksum = a.checksum and b.version_no <> a.version_no and b.status <> 'REJECTED')")
+def duplicate_files(spark, d):
+    return catalog.duplicate_versions(versions(spark, d)).select("dataset", "version_no")
+
+
+ACTIVE = f"select dataset, version_no from (select dataset, version_no, row_number() over (partition by dataset order by changed_at desc, version_no desc) n from ({fx.VERSIONS}) v where status = 'PUBLISHED') x where n = 1"
+
+
+@query("c05_active_versions", ACTIVE)
+def active_versions(spark, d):
+    return catalog.active(versions(spark, d))
+
+
+TARGET = f"select dataset, version_no target from (select dataset, version_no, row_number() over (partition by dataset order by changed_at desc, version_no desc) n from ({fx.VERSIONS}) v where status = 'ARCHIVED') x where n = 1"
+
+
+@query("c06_c04_rollback", f"""
+select dataset, target version_no, 'ARCHIVED' from_status, 'PUBLISHED' to_status from ({TARGET}) t
+union all select dataset, version_no, 'PUBLISHED', 'ARCHIVED' from ({TARGET}) t join ({ACTIVE}) a using (dataset)""")
+def rollback(spark, d):
+    v = versions(spark, d)
+    return catalog.publish(v, catalog.rollback_target(v))
+
+
+@query("c08_w10_latest_version", f"select dataset, max(version_no) version_no, count(*) n from ({fx.VERSIONS}) v group by dataset")
+def latest_version(spark, d):
+    v = versions(spark, d)
+    n = v.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.latest(v, ["dataset"], "version_no").join(n, "dataset").select("dataset", "version_no", "n")
+
+
+@query("j01_j03_active_boxes", f"select b.fid, b.dataset, a.version_no from ({fx.BOXES}) b left join ({ACTIVE}) a on a.dataset = b.dataset")
+def active_boxes(spark, d):
+    return catalog.datasets(derive(spark, d, fx.BOXES), versions(spark, d)).select("fid", "dataset", F.col("active_version").alias("version_no"))
+
+
+@query("a01_a02_bounds", f"select dataset, 1 version_no, round(min(minx), 9) minx, round(min(miny), 9) miny, round(max(maxx), 9) maxx, round(max(maxy), 9) maxy from ({fx.BOXES}) b group by dataset")
+def extents(spark, d):
+    b = derive(spark, d, fx.BOXES).withColumn("version_no", F.lit(1)).withColumn("line", geo.envelope(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
+    return quality.bounds(b).select("dataset", "version_no", *[F.round(c, 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
