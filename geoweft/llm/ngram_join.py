@@ -240,10 +240,12 @@ def crossing(columns: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(multiply, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only sets that some pair needs are fetched."""
+def links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. Only one document of each set that some pair needs is shingled again:
+    a filter of fixed size by doc_id leaves out most others, and what it lets through too much finds no pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    slots = wanted.select((F.col("key") % FILTER).alias("slot")).distinct()
+    first = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    slots = wanted.join(first, "key").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER, bool)
@@ -256,16 +258,14 @@ def links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFra
         bits |= np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask, seen = np.unpackbits(shared.value).astype(bool), set()
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             out = []
-            for text in b["text"]:
+            for text in b["text"][mask[b["slot"].to_numpy()]]:
                 s = shingles(text, size)
-                if len(s) and mask[(key := digest(s)[0]) % FILTER] and key not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(key)
-                    out.append((key, s.tobytes()))
+                if len(s):
+                    out.append((digest(s)[0], s.tobytes()))
                 if len(out) == 500:
                     yield pd.DataFrame(out, columns=["key", "set"])
                     out = []
@@ -281,12 +281,13 @@ def links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFra
             out.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
         return pd.Series(out, dtype=bool)
 
-    found = docs.select("text").mapInPandas(sets, "key long, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    there = docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot"), "text")
+    found = there.mapInPandas(shingled, "key long, set binary").groupBy("key").agg(F.first("set").alias("set"))
     x, y = found.select(F.col("key").alias("a"), F.col("set").alias("x")), found.select(F.col("key").alias("b"), F.col("set").alias("y"))
     return pairs.join(x, "a").join(y, "b").where(linked("x", "y")).select("a", "b")
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 24) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     profile = materialize(profiles(docs, size), "profiles")
     level = frequency(profile)
@@ -296,13 +297,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 24) -> D
         raise RuntimeError("two different sets have the same digest")
     made = materialize(products(prefixes(docs.where(F.col("doc_id").isNotNull()), level, size, percent), percent, wide), "products")
     pairs = materialize(made.where("shingle = 0 and b <> 0").select("a", "b").distinct(), "pairs")
-    linked = materialize(links(docs, pairs, size, percent), "links")
+    linked = materialize(links(docs, pairs, sets, size, percent), "links")
     columns = made.where("b = 0").select("shingle", F.col("a").alias("key"), "n", "place").distinct()
     class_of = components(linked)
     named = columns.join(class_of.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     late = materialize(crossing(named, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if late.limit(1).count():
-        class_of = components(linked.unionByName(links(docs, late, size, percent)))
+        class_of = components(linked.unionByName(links(docs, late, sets, size, percent)))
     whole = sets.join(class_of.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -46,7 +46,7 @@ def test_made_groups_by_narrow_and_wide_columns(spark):
     rows += [(300, None), (301, ""), (302, "a b"), (303, "A  B"), (304, "a b c"), (305, "é É"), (306, "x y z " * 20000), (307, "x y z " * 19999)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component int")
     want = brute(rows)
-    for wide in (4, 24):
+    for wide in (4, 8, 24):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.join(docs, wide=wide).collect()}
         assert got == want
     assert {x.doc_id for x in J.keep_one(docs).collect()} == {c for _, c in want.values()}
