@@ -19,7 +19,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 from struct import pack
 
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo
+from geoweft.llm.common import Memo, kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -230,9 +229,8 @@ def decode_stream(ids: Iterable[int], token: dict[int, bytes], at_once: int = 40
     yield stream.close()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return kept(f"transducer of {path} {pattern}", lambda: Encoder(path, pattern))
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

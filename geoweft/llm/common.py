@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,22 @@ def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds: the split that decides what a model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
+
+
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: that of one operator at a time, as workers are used again."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same frame; its session hands texts to Python at most `rows` at a time, as single texts can be long."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return docs

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo
+from geoweft.llm.common import Memo, kept
 from geoweft.operators.components import components
 from geoweft.tables import materialize
 
@@ -40,8 +40,6 @@ SLOTS, BLOCK = 1 << 20, 1 << 14
 #: Slots of the fixed filter that says which sets are worth fetching.
 FILTER = 1 << 23
 
-_WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w), limit=250_000)
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -54,7 +52,8 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = kept("ngram words", lambda: Memo(xxhash.xxh64_intdigest, limit=250_000))
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(w) - size + 1)
     h = np.full(n, min(size, len(w)), np.uint64)
     for k in range(min(size, len(w))):

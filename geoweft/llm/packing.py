@@ -18,13 +18,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.llm.common import kept
 from geoweft.tables import materialize
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -39,7 +39,7 @@ class WordEncoder:
 
     MARKS = ".,!?;:%$#&*-_/\\()[]{}\"+=~^@`"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
@@ -98,9 +98,8 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, row)) for row in words]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(f"words of {path}", lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:

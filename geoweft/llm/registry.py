@@ -6,20 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
+from geoweft.llm.common import in_small_batches
 from geoweft.tables import table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_small_batches(table(spark, sf_dir, "documents"))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(documents(spark, sf_dir))
 
 
 def op2_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.digests(table(spark, sf_dir, "documents"))
+    return avi.digests(documents(spark, sf_dir))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,27 +32,27 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.rate(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"))
+    return line_dedup.summary(documents(spark, sf_dir))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
 QUERIES = {

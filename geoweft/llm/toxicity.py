@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoweft.llm.common import Memo, fold
+from geoweft.llm.common import Memo, fold, kept
 
 WORD = re.compile(r"\w+").findall
 
@@ -40,11 +40,9 @@ def hashed(token: str) -> np.ndarray:
     return np.unique(np.array([h(t) for t in terms], np.uint32))
 
 
-_TERMS = Memo(hashed, limit=120_000)
-
-
 def term_set(text: str | None) -> np.ndarray:
-    some = [_TERMS[w] for w in set((text or "").lower().split())]
+    known = kept("terms", lambda: Memo(hashed, limit=120_000))
+    some = [known[w] for w in set((text or "").lower().split())]
     return np.unique(np.concatenate(some)) if some else np.zeros(0, np.uint32)
 
 
@@ -62,7 +60,7 @@ class Model:
         def known(token: str) -> tuple[int, ...]:
             return tuple({i for w in WORD(token) for i in (place(h(w)), *heads[w[:5]]) if i is not None})
 
-        return Memo(known, limit=250_000)
+        return Memo(known, limit=150_000)
 
     def score(self, at: np.ndarray) -> float:
         f = self.factor[at]
