@@ -14,7 +14,7 @@
 Texts that occur more than once are one text up to here and are removed whole if they hold a window. Matches
 never cross documents; overlaps and matches within one document count. Defined cases: null text counts as empty;
 texts shorter than `length` lose nothing; texts of any length are read whole, in segments that overlap.
-Texts are told apart by a 64-bit hash and their length.
+Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -143,40 +143,48 @@ class RunLengthIndex:
         return found
 
 
-SPAN = "k1 long, n int, start int, stop int"
+SPAN = "k1 long, start int, stop int"
 
 
 def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000) -> DataFrame:
-    """k1, n, start, stop of covered bytes, for a table of distinct texts with k1 and n."""
+    """k1, start, stop of covered bytes, for a table of texts with k1 and n, their hash and length."""
+    if not gram <= length <= 4096:
+        raise ValueError("length must be from gram to 4096")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), 400):
                 some = b.iloc[s : s + 400]
                 found = [anchors(t.encode("utf-8", "surrogatepass"), length, gram) for t in some["text"]]
-                sizes = [len(x) for x in found]
                 x = np.concatenate(found)
-                yield pd.DataFrame({"h": x[:, 0], "k1": np.repeat(some["k1"].to_numpy(), sizes), "n": np.repeat(some["n"].to_numpy(), sizes), "place": x[:, 1], "first": x[:, 2], "last": x[:, 3]})
-
-    every = texts.where(F.col("n") >= length).select("k1", "n", "text").mapInPandas(find, "h long, k1 long, n int, place int, first int, last int").repartition("h")
-    whole = F.struct("k1", "n", "place", "first", "last")
+                # first start, distance of the anchor from it and number of further starts in one value: rows are what is shuffled
+                packed = x[:, 2] << 24 | (x[:, 1] - x[:, 2]) << 12 | (x[:, 3] - x[:, 2])
+                yield pd.DataFrame({"h": x[:, 0], "k1": np.repeat(some["k1"].to_numpy(), [len(f) for f in found]), "windows": packed})
+
+    every = texts.where(F.col("n") >= length).select("k1", "text").mapInPandas(find, "h long, k1 long, windows long")
+    # both uses below read this one exchange
+    every = every.where(F.col("h").isNotNull()).repartition("h")
+    whole = F.struct("k1", "windows")
     shared = every.groupBy("h").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x <> y").select("h")
-    wanted = every.join(shared, "h", "left_semi").groupBy("k1", "n").agg(F.collect_set(F.struct("h", "place", "first", "last")).alias("anchors"))
-    known = texts.select("k1", "n", "text").groupBy("k1", "n").agg(F.first("text").alias("text"))
+    wanted = every.join(shared, "h", "left_semi").groupBy("k1").agg(F.collect_set(F.struct("h", "windows")).alias("anchors"))
+    known = texts.select("k1", "text").groupBy("k1").agg(F.first("text").alias("text"))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["h", "lead", "span", "k1", "first"]
         for b in batches:
             out: list[tuple] = []
-            for k1, n, text, places in zip(b["k1"], b["n"], b["text"], b["anchors"]):
+            for k1, text, places in zip(b["k1"], b["text"], b["anchors"]):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(r["h"], r["place"] - r["first"], data[r["first"] : r["last"] + length], k1, n, r["first"]) for r in places]
+                for r in places:
+                    first, lead, more = r["windows"] >> 24, r["windows"] >> 12 & 4095, r["windows"] & 4095
+                    out.append((r["h"], lead, data[first : first + more + length], k1, first))
                 if len(out) > 10_000:
-                    yield pd.DataFrame(out, columns=["h", "lead", "span", "k1", "n", "first"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["h", "lead", "span", "k1", "n", "first"])
+                yield pd.DataFrame(out, columns=columns)
 
-    spans = wanted.join(known, ["k1", "n"]).mapInPandas(take, "h long, lead int, span binary, k1 long, n int, first int")
+    spans = wanted.join(known, "k1").mapInPandas(take, "h long, lead int, span binary, k1 long, first int")
 
     def covered(spans: list[bytes], owners: list[list[tuple]]) -> list[tuple]:
         index, out = RunLengthIndex(spans), []
@@ -187,11 +195,11 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1)
                 a, b = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
-                out += [(k1, n_, f + int(x), f + int(y) + length) for k1, n_, f in own for x, y in zip(a, b)]
+                out += [(k1, f + int(x), f + int(y) + length) for k1, f in own for x, y in zip(a, b)]
         return out
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["k1", "n", "start", "stop"]
+        columns = ["k1", "start", "stop"]
         texts_, owners, size, done = [], [], 0, []
         group: list[tuple[bytes, list[tuple]]] = []
         now = last = None
@@ -201,7 +209,7 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
             if len(group) == 1:
                 span, own = group[0]
                 if len(own) > 1:
-                    done.extend((k1, n, f, f + len(span)) for k1, n, f in own)
+                    done.extend((k1, f, f + len(span)) for k1, f in own)
             else:
                 for span, own in group:
                     texts_.append(span)
@@ -209,7 +217,7 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
                     size += len(span) + 1
 
         for b in batches:
-            for h, lead, span, k1, n, first in zip(b["h"], b["lead"], b["span"], b["k1"], b["n"], b["first"]):
+            for h, lead, span, k1, first in zip(b["h"], b["lead"], b["span"], b["k1"], b["first"]):
                 if h != now:
                     close()
                     group, now, last = [], h, None
@@ -222,7 +230,7 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
                 if (lead, span) != last:
                     last = (lead, span)
                     group.append((span, []))
-                group[-1][1].append((k1, n, first))
+                group[-1][1].append((k1, first))
         close()
         if texts_:
             done.extend(covered(texts_, owners))
@@ -236,9 +244,9 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.octet_length(text).alias("n"))
-    again = rows.groupBy("k1", "n").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # a text that occurs twice stands in for all its copies in the search and is then removed whole
-    spans = repeated(rows, length, gram).groupBy("k1", "n").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated(rows, length, gram).groupBy("k1").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def cut(texts: pd.Series, spans: pd.Series, times: pd.Series) -> pd.DataFrame:
@@ -262,5 +270,5 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
             out.append((sum(b - a for a, b in merged), len(merged), hashlib.sha256(b"".join(kept)).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(spans, ["k1", "n"], "left").join(again, ["k1", "n"], "left")
+    joined = rows.join(spans, "k1", "left").join(again, "k1", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_bytes"), cut("text", "spans", F.coalesce("times", F.lit(1))).alias("c")).select("doc_id", "n_bytes", "c.*")
