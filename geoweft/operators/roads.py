@@ -36,7 +36,8 @@ def topology(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     for e, p in (("from_node", first), ("to_node", last)):
         at = nodes.select(F.col("node_seq").alias(e), F.col("kx").alias(f"{e}_x"), F.col("ky").alias(f"{e}_y"))
         lines = lines.join(at, (geo.snapped(p["x"]) == F.col(f"{e}_x")) & (geo.snapped(p["y"]) == F.col(f"{e}_y"))).drop(f"{e}_x", f"{e}_y")
-    return nodes.select("node_seq", "lon", "lat"), lines.select("link_id", "source_id", "from_node", "to_node", "road_class", "road_name", "oneway", "max_speed_kph", "length_m", "geom")
+    links = lines.select("link_id", "source_id", "from_node", "to_node", "road_class", "road_name", "oneway", "max_speed_kph", "length_m", "geom")
+    return nodes.select("node_seq", "lon", "lat"), materialize(links, "links")
 
 
 def skipped(features: DataFrame) -> DataFrame:
