@@ -15,18 +15,19 @@ def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
 
 POI = "select c_custkey poi_id, c_name name, c_mktsegment category, 126.95e0+((c_custkey*7919)%15000)/100000e0 lon, 37.45e0+((c_custkey*104729)%12000)/100000e0 lat from customer"
 POINTS = "select s_suppkey qid, 126.95e0+((s_suppkey*6151)%15000)/100000e0 lon, 37.45e0+((s_suppkey*3571)%12000)/100000e0 lat from supplier"
-GRID = "select least(20, cast(floor(sqrt(count(*))) as int)) n from part"
+#: Every part is a node: rows of n nodes, the last one perhaps not full.
+GRID = "select cast(ceil(sqrt(count(*))) as int) n, count(*) parts from part"
 LINKS = f"""
 select k*2+dir link_id, r*n+c from_node, case when dir=0 then r*n+c+1 else (r+1)*n+c end to_node, k, dir, r, c, n,
        case ((k*2699+dir*9973)%1019)%5 when 0 then 'primary' when 1 then 'secondary' when 2 then 'residential' when 3 then 'footway' else 'motorway' end road_class,
        cast(20+p_size as int) max_speed_kph, ((k*6151+dir*3571)%1013)%5 = 0 oneway,
        127.020e0+c*0.001e0 lon1, 37.490e0+r*0.001e0 lat1,
        127.020e0+(case when dir=0 then c+1 else c end)*0.001e0 lon2, 37.490e0+(case when dir=0 then r else r+1 end)*0.001e0 lat2
-from (select p_partkey k, p_size, n, dir, cast(floor(p_partkey/n) as bigint) r, p_partkey%n c from part, ({GRID}) g, (select 0 dir union all select 1 dir) d where p_partkey < n*n) x
-where not (dir=0 and c=n-1) and not (dir=1 and r=n-1) and ((k*7919+dir*104729)%1009)%10 <> 0"""
-NODES = f"select p_partkey node_seq, 127.020e0+(p_partkey%n)*0.001e0 lon, 37.490e0+cast(floor(p_partkey/n) as bigint)*0.001e0 lat from part, ({GRID}) g where p_partkey < n*n"
+from (select p_partkey k, p_size, n, dir, cast(floor(p_partkey/n) as bigint) r, p_partkey%n c, parts from part, ({GRID}) g, (select 0 dir union all select 1 dir) d) x
+where not (dir=0 and (c=n-1 or k+1>=parts)) and not (dir=1 and k+n>=parts) and ((k*7919+dir*104729)%1009)%10 <> 0"""
+NODES = f"select p_partkey node_seq, 127.020e0+(p_partkey%n)*0.001e0 lon, 37.490e0+cast(floor(p_partkey/n) as bigint)*0.001e0 lat from part, ({GRID}) g"
 ISLANDS = f"select * from ({LINKS}) l where not (dir=0 and c%7=6)"
-OD = f"select o_orderkey od_id, (o_orderkey*31)%(n*n) src, (o_custkey*17+o_orderkey)%(n*n) dst, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode from orders, ({GRID}) g where o_orderkey%997 = 1"
+OD = f"select o_orderkey od_id, (o_orderkey*31)%parts src, (o_custkey*17+o_orderkey)%parts dst, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode from orders, ({GRID}) g"
 LINES = """
 select line_id, seq, 126.955e0+((line_id*37)%100)/1000e0+(seq%20)*0.001e0 lon, 37.46e0+((line_id*53)%100)/1000e0+((event_id*31)%7)*0.0005e0 lat
 from (select user_id line_id, event_id, row_number() over (partition by user_id order by ts, event_id)-1 seq from events) x"""
