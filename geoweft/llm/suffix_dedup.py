@@ -9,12 +9,15 @@
 3. Matching statistics are streamed from it: the common prefix with the suffix before and after changes by one
    from position to position except at run ends, so it is measured at the samples and carried along between.
    A start whose statistic reaches `length` occurs twice.
-4. The covered bytes of all starts are joined to the documents by text, and cut.
+4. Anchors with more rows than an index may hold are never brought together. Their spans are grouped by the span
+   itself: what repeats whole is marked as it streams by. Of each different span the windows are counted by a
+   128-bit digest, combined before they are shuffled; a start whose window is counted twice occurs twice.
+5. The covered bytes of all starts are joined to the documents by text, and cut.
 
 Texts that occur more than once are one text up to here and are removed whole if they hold a window. Matches
 never cross documents; overlaps and matches within one document count. Defined cases: null text counts as empty;
 texts shorter than `length` lose nothing; texts of any length are read whole, in segments that overlap.
-Texts are told apart by a 64-bit hash.
+Texts are told apart by a 64-bit hash, windows of frequent anchors by a 128-bit one.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm.ngram_join import mixed
+from geoweft.tables import materialize
 
 BITS = 23
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -143,7 +148,26 @@ class RunLengthIndex:
         return found
 
 
-SPAN = "k1 long, start int, stop int"
+#: What repeats whole (kind 0), or a window to be counted: the first start of its span, its place there, its digest (kind 1).
+MARK = "kind int, k1 long, start int, stop int, w1 long, w2 long"
+#: Parts of one repeated window's starts.
+SALTS = 16
+
+
+def windows_of(span: bytes, length: int) -> np.ndarray:
+    """Two columns: the digest of every window."""
+    n = len(span) - length + 1
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(span[i : i + length]) for i in range(n)]), "<i8").reshape(n, 2)
+
+
+def runs(places: pd.Series) -> pd.Series:
+    """First and last of each run of neighbouring places."""
+    out = []
+    for x in places:
+        x = np.sort(x)
+        cut = np.flatnonzero(np.diff(x) > 1)
+        out.append([{"start": int(a), "stop": int(b)} for a, b in zip(x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)])])
+    return pd.Series(out)
 
 
 def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000) -> DataFrame:
@@ -165,26 +189,30 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
     # both uses below read this one exchange
     every = every.where(F.col("h").isNotNull()).repartition("h")
     whole = F.struct("k1", "windows")
-    shared = every.groupBy("h").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x <> y").select("h")
-    wanted = every.join(shared, "h", "left_semi").groupBy("k1").agg(F.collect_set(F.struct("h", "windows")).alias("anchors"))
+    hot = F.count(F.lit(1)) > at_once // (2 * length)
+    shared = every.groupBy("h").agg(F.min(whole).alias("x"), F.max(whole).alias("y"), hot.alias("hot")).where("x <> y").select("h", "hot")
+    wanted = every.join(shared, "h").groupBy("k1").agg(F.collect_set(F.struct("h", "windows", "hot")).alias("anchors"))
     known = texts.select("k1", "text").groupBy("k1").agg(F.first("text").alias("text"))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["h", "lead", "span", "k1", "first"]
+        columns = ["p", "hot", "h", "lead", "span", "k1", "first"]
         for b in batches:
             out: list[tuple] = []
             for k1, text, places in zip(b["k1"], b["text"], b["anchors"]):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in places:
                     first, lead, more = r["windows"] >> 24, r["windows"] >> 12 & 4095, r["windows"] & 4095
-                    out.append((r["h"], lead, data[first : first + more + length], k1, first))
-                if len(out) > 10_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
+                    span, p = data[first : first + more + length], r["h"]
+                    if r["hot"]:
+                        p = xxhash.xxh64_intdigest(span, seed=(p + lead) % 2**64) - 2**63
+                    out.append((p, r["hot"], r["h"], lead, span, k1, first))
+                    if len(out) > 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    spans = wanted.join(known, "k1").mapInPandas(take, "h long, lead int, span binary, k1 long, first int")
+    spans = wanted.join(known, "k1").mapInPandas(take, "p long, hot boolean, h long, lead int, span binary, k1 long, first int")
 
     def covered(spans: list[bytes], owners: list[list[tuple]]) -> list[tuple]:
         index, out = RunLengthIndex(spans), []
@@ -199,11 +227,20 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
         return out
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["k1", "start", "stop"]
         texts_, owners, size, done = [], [], 0, []
+        counted: list[tuple] = []
+        alike = one = None
         group: list[tuple[bytes, list[tuple]]] = []
         now = last = None
 
+        def marked(done: list[tuple], counted: list[tuple]) -> pd.DataFrame:
+            x = np.array(done, np.int64).reshape(-1, 3)
+            n = [len(w) for _, _, w in counted]
+            m = np.repeat(np.array([c[:2] for c in counted], np.int64).reshape(-1, 2), n, axis=0)
+            w = np.concatenate([np.zeros((len(x), 2), np.int64), *[w for _, _, w in counted]])
+            place = np.concatenate([x[:, 2], *[np.arange(k) for k in n]])
+            return pd.DataFrame({"kind": np.repeat([0, 1], [len(x), len(m)]), "k1": np.append(x[:, 0], m[:, 0]), "start": np.append(x[:, 1], m[:, 1]), "stop": place, "w1": w[:, 0], "w2": w[:, 1]})
+
         def close() -> None:
             nonlocal size
             if len(group) == 1:
@@ -217,16 +254,26 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
                     size += len(span) + 1
 
         for b in batches:
-            for h, lead, span, k1, first in zip(b["h"], b["lead"], b["span"], b["k1"], b["first"]):
+            for often, h, lead, span, k1, first in zip(b["hot"], b["h"], b["lead"], b["span"], b["k1"], b["first"]):
+                if len(done) > 20_000 or len(counted) > 500:
+                    yield marked(done, counted)
+                    done, counted = [], []
+                if often:
+                    if (h, lead, span) != alike:
+                        alike, one = (h, lead, span), (k1, first, first + len(span))
+                        counted.append((k1, first, windows_of(span, length)))
+                    else:
+                        if one:
+                            done.append(one)
+                            one = None
+                        done.append((k1, first, first + len(span)))
+                    continue
                 if h != now:
                     close()
                     group, now, last = [], h, None
                     if size > at_once:
                         done.extend(covered(texts_, owners))
                         texts_, owners, size = [], [], 0
-                    if len(done) > 20_000:
-                        yield pd.DataFrame(done, columns=columns)
-                        done = []
                 if (lead, span) != last:
                     last = (lead, span)
                     group.append((span, []))
@@ -234,10 +281,17 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
         close()
         if texts_:
             done.extend(covered(texts_, owners))
-        if done:
-            yield pd.DataFrame(done, columns=columns)
-
-    return spans.repartition("h").sortWithinPartitions("h", "lead", "span").mapInPandas(mark, SPAN)
+        if done or counted:
+            yield marked(done, counted)
+
+    found = materialize(spans.repartition("p").sortWithinPartitions("p", "h", "lead", "span").mapInPandas(mark, MARK), "marked")
+    windows = found.where("kind = 1").withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(SALTS)))
+    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    twice = twice.select("w1", "w2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    # at most `length` places a span
+    hits = windows.join(twice, ["w1", "w2", "salt"], "left_semi").groupBy("k1", "start").agg(F.collect_list("stop").alias("places"))
+    hits = hits.select("k1", "start", F.explode(F.pandas_udf(runs, "array<struct<start: int, stop: int>>")("places")).alias("r")).select("k1", (F.col("start") + F.col("r.start")).alias("start"), (F.col("start") + F.col("r.stop") + length).alias("stop"))
+    return found.where("kind = 0").select("k1", "start", "stop").unionByName(hits)
 
 
 def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:

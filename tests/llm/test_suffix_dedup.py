@@ -80,3 +80,27 @@ def test_query_equals_brute_force(spark):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = [tuple(x) for x in QUERIES["op10_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(brute(rows))
+
+
+def test_no_index_holds_a_frequent_anchor_whole(spark, monkeypatch):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    line, passage = "0123456789" * 4, text(260)
+    rows = [text(r.randrange(200, 400)) + line + text(r.randrange(200, 400)) for _ in range(300)]
+    rows += [text(r.randrange(150)) + passage[:130] + line + passage[130:] + text(r.randrange(150)) for _ in range(150)]
+    rows += [rows[i][:k] + "#" + rows[i][k + 1 :] for i in range(20) for k in (100, 420)] + ["x" * 500, "x" * 300]
+    at_once, plain = 20_000, S.RunLengthIndex
+
+    class Bounded(plain):
+        def __init__(self, spans):
+            assert sum(map(len, spans)) <= 3 * at_once, "one index over every span of an anchor"
+            super().__init__(spans)
+
+    monkeypatch.setattr(S, "RunLengthIndex", Bounded)
+    texts = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "k1 long, text string, n int")
+    gone = [np.zeros(len(t), bool) for t in rows]
+    for x in S.repeated(texts, 200, 32, at_once).collect():
+        gone[x.k1][x.start : x.stop] = True
+    assert [int(g.sum()) for g in gone] == [x[2] for x in brute(list(enumerate(rows)))]
+    kept = [hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~g])).hexdigest() for t, g in zip(rows, gone)]
+    assert kept == [x[4] for x in brute(list(enumerate(rows)))]
