@@ -220,25 +220,50 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
     return dealt.mapInPandas(multiply, "shingle long, a long, b long, n int, place int")
 
 
-def crossing(columns: DataFrame, percent: int) -> DataFrame:
-    """a, b: candidate pairs of wide columns whose components differ; columns has shingle, key, n, place, component."""
+def crossing(columns: DataFrame, percent: int, block: int = 5000) -> DataFrame:
+    """a, b: candidate pairs of wide columns whose components differ; columns has shingle, key, n, place, component.
+    Of such a pair one row at least is outside the column's largest component: those rows (side 0) meet all (side 1), in
+    blocks of about `block` rows by `block` rows."""
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _columns(batches):
-            for _, g in b.groupby("shingle"):
+        for b in _blocks(batches):
+            for _, g in b.groupby(["shingle", "x", "y"]):
                 c, key, n, p = (g[x].to_numpy() for x in ("component", "key", "n", "place"))
                 n, p = n.astype(np.int64), p.astype(np.int64)
-                for i in range(len(g) - 1):
-                    j = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
+                every = np.flatnonzero(g["side"].to_numpy() == 1)
+                for i in np.flatnonzero(g["side"].to_numpy() == 0):
+                    j = every[c[every] != c[i]]
                     j = j[_possible(n[i], p[i], n[j], p[j], percent)]
                     if len(j):
                         yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
 
-    mixed_ = columns.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    dealt = columns.join(mixed_, "shingle").repartition("shingle").sortWithinPartitions("shingle", "n", "key")
+    held = columns.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed_ = held.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("top")).where("top.rows < rows")
+    mixed_ = mixed_.select("shingle", F.col("top.component").alias("main"), F.ceil((F.col("rows") - F.col("top.rows")) / block).alias("outer"), F.ceil(F.col("rows") / block).alias("whole"))
+    rows, salt, zero = columns.join(mixed_, "shingle"), F.xxhash64("key"), F.lit(0).cast("long")
+    kept_ = ["shingle", "key", "n", "place", "component"]
+    outside = rows.where("component <> main").select(*kept_, F.lit(0).alias("side"), F.pmod(salt, "outer").alias("x"), F.explode(F.sequence(zero, F.col("whole") - 1)).alias("y"))
+    every = rows.select(*kept_, F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("outer") - 1)).alias("x"), F.pmod(salt, "whole").alias("y"))
+    dealt = outside.unionByName(every).repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
     return dealt.mapInPandas(multiply, "a long, b long").distinct()
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows, with those of the last, perhaps unfinished, block held back."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        same = (b[["shingle", "x", "y"]] == b[["shingle", "x", "y"]].iloc[-1]).all(axis=1).to_numpy()
+        cut = int(same.argmax())
+        if cut:
+            yield b.iloc[:cut]
+        rest = b.iloc[cut:]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Only one document of each set that some pair needs is shingled again:
     a filter of fixed size by doc_id leaves out most others, and what it lets through too much finds no pair."""

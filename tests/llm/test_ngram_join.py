@@ -57,3 +57,19 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in QUERIES["op6_ngram_join"](spark, DATA).collect()}
     assert got == brute(rows)
+
+
+def test_no_task_meets_a_whole_wide_column(spark, monkeypatch):
+    plain = J._possible
+
+    def bounded(n, p, m, q, percent):
+        assert len(m) <= 7_000, "a whole column in one task"
+        return plain(n, p, m, q, percent)
+
+    monkeypatch.setattr(J, "_possible", bounded)
+    parts = {k: 1 if k > 3 else -k for k in range(1, 12_001)}
+    rows = [(5, k, 100, 0, c) for k, c in parts.items()] + [(6, k, 100, 0, 1) for k in range(50)] + [(7, k, 50 + k, k % 40, k % 3) for k in range(60)]
+    got = {(x.a, x.b) for x in J.crossing(spark.createDataFrame(rows, "shingle long, key long, n int, place int, component long"), 75).collect()}
+    want = {(a, b) for a in (1, 2, 3) for b in range(a + 1, 12_001)}
+    want |= {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3 and plain(50 + a, a % 40, 50 + b, b % 40, 75)}
+    assert got == want
