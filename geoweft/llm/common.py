@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return _KEPT[name]
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, which Spark bounds by bytes, in parts of at most `rows` rows: what Python makes of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """The same frame; its session hands texts to Python at most `rows` at a time, as single texts can be long."""
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

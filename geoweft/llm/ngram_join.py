@@ -1,23 +1,27 @@
 """N-gram Jaccard join: which documents share at least `least` of the union of their word-shingle sets.
 
-The document by shingle incidence matrix is multiplied with its transpose in blocks, but only where the
-product can matter:
+The document by shingle incidence matrix is multiplied with its transpose in blocks, but only where the product
+can matter:
 
 1. Documents with equal sets are one row of the matrix from here on (the row's key is a digest of the set).
 2. All shingles get one global order, rare before frequent: a count sketch of fixed size, summed over all
-   documents, ranks them; ties by hash. Any total order is exact, a good one keeps frequent shingles out.
+   documents, ranks them by what their slot holds above the middle slot; ties by hash. Any total order is exact, a
+   good one keeps frequent shingles out.
 3. A pair at or above the bound shares a shingle among the first |A| - ceil(least |A|) + 1 of both. Only those
-   entries are shuffled, by shingle: a block of the product. Within one the sizes and positions bound the
-   overlap that is still possible, and pairs below what their sizes ask for are discarded.
-4. Overlaps of the pairs left are accumulated exactly on the whole sets.
-5. A shingle's column with more than `wide` rows is not multiplied out at first: its rows are paired with a few
-   pivots. Once those links are known, only pairs of rows whose components still differ are made. Rows in the
-   same component are linked through others already, so no component is lost and no group makes all pairs.
+   entries are shuffled, by shingle. Within a column the sizes and positions bound the overlap that is still
+   possible, and pairs below what their sizes ask for are discarded. Columns with up to `wide` rows give all pairs
+   left; in wider ones each row meets a pivot and its neighbour in size.
+4. Blocks of the product: the rows to be held against each other are gathered as a block (its rows' whole sets,
+   once each) and the rows asked about; a block is inverted to postings, the overlaps of an asked row with all rows of
+   the block are accumulated over its shingles, and counts below the bound are discarded. Links leave, pairs don't.
+5. Rows of wide columns whose components still differ are asked about once for each other component: one row
+   against the blocks that hold that component. So no component is lost and no group makes all pairs.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased. With fewer than `size` words the
 whole sequence is the one shingle. Defined cases: null texts and texts without words have an empty set and no
-link; equal texts link; null doc_id is left out; rows with a repeated doc_id count as one document each but
-share its number. Texts are read whole.
+link; equal texts link, whatever their ids; a null doc_id is a document that links by its text, names no component
+(component_id is null where no id can be reached) and ranks last; rows with a repeated doc_id are one document each,
+and share its number; other columns are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, kept
+from geoweft.llm.common import Memo, kept, parts_of
 from geoweft.operators.components import components
 from geoweft.tables import materialize
 
 #: Slots of the count sketch, and of each block of it that travels.
-SLOTS, BLOCK = 1 << 20, 1 << 14
+SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Slots of the fixed filter that says which sets are worth fetching.
 FILTER = 1 << 23
 
@@ -67,44 +73,63 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of doc_id, n, key, check (kind 0) and blocks of the sketch (kind 1: part, block, counts)."""
+    """Rows of doc_id, hash of the text, n, key, check (kind 0) and blocks of the sketch (kind 1: block, counts)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(SLOTS, np.uint32)
-        for b in batches:
-            rows, all_ = [], []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, held, waiting, id_kind = np.zeros(SLOTS, np.uint32), [], 0, None
+
+        def add() -> None:
+            slots = (np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64)
+            np.add(sketch, np.bincount(slots, minlength=SLOTS).astype(np.uint32), out=sketch)
+
+        def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
+            kinds = {"kind": pa.int32(), "doc_id": id_kind, "hash": pa.int64(), "n": pa.int32(), "key": pa.int64(), "check": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+            columns["kind"] = [kind] * many
+            return pa.RecordBatch.from_arrays([c if isinstance(c := columns.get(k, [None] * many), pa.Array) else pa.array(c, t) for k, t in kinds.items()], list(kinds))
+
+        for b in parts_of(batches):
+            id_kind = b.column("doc_id").type
+            ns, keys, checks = [], [], []
+            for text in b.column("text").to_pylist():
                 s = shingles(text, size)
-                rows.append((0, doc_id, len(s), *(digest(s) if len(s) else (-1, -1)), 0, None))
-                all_.append(s)
-                if len(all_) == 256:
-                    sketch += np.bincount((np.concatenate(all_) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    all_ = []
-            if all_:
-                sketch += np.bincount((np.concatenate(all_) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "key", "check", "block", "counts"])
+                key, check = digest(s) if len(s) else (-1, -1)
+                ns.append(len(s)), keys.append(key), checks.append(check)
+                held.append(s)
+                waiting += len(s)
+                if waiting > 1_000_000:
+                    add()
+                    held, waiting = [], 0
+            yield rows(0, len(ns), doc_id=b.column("doc_id"), hash=b.column("hash"), n=ns, key=keys, check=checks)
+        if waiting:
+            add()
         if sketch.any():
-            yield pd.DataFrame([(1, 0, 0, 0, 0, k, sketch[k * BLOCK : (k + 1) * BLOCK].astype("<u8").tobytes()) for k in range(SLOTS // BLOCK)], columns=["kind", "doc_id", "n", "key", "check", "block", "counts"])
+            packed = [zstandard.compress(sketch[k : k + BLOCK].astype("<u8").tobytes(), 1) for k in range(0, SLOTS, BLOCK)]
+            yield rows(1, len(packed), block=list(range(len(packed))), counts=packed)
 
-    there = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return there.mapInPandas(scan, "kind int, doc_id long, n int, key long, check long, block int, counts binary")
+    there = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    return there.mapInArrow(scan, f"kind int, doc_id {id_type}, hash long, n int, key long, check long, block int, counts binary")
 
 
 def frequency(profile: DataFrame) -> np.ndarray:
-    """One byte a slot: the logarithm of its count. Summed in two steps, so that no task gets more than the
-    square root of the number of partitions; what arrives here has a fixed size."""
+    """One byte a slot: the logarithm of its count above that of the middle slot, which is what single shingles leave
+    everywhere. Summed in two steps, so that no task gets more than the square root of the number of partitions; what
+    arrives here has a fixed size."""
     parts = profile.where("kind = 1").select("block", "counts", F.spark_partition_id().alias("part"))
     groups = max(1, isqrt(profile.rdd.getNumPartitions()))
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u8") for c in rows["counts"])
-        return pd.DataFrame({"block": [rows["block"].iat[0]], "counts": [total.tobytes()], "part": [0]})
+        total = np.zeros(BLOCK, np.uint64)
+        for c in rows["counts"]:
+            total += np.frombuffer(zstandard.decompress(c), "<u8")
+        return pd.DataFrame({"block": [rows["block"].iat[0]], "counts": [zstandard.compress(total.tobytes(), 1)], "part": [0]})
 
     first = parts.groupBy("block", (F.col("part") % groups).alias("g")).applyInPandas(add, "block int, counts binary, part int")
-    total = np.zeros(SLOTS, np.uint64)
-    for r in first.groupBy("block").applyInPandas(add, "block int, counts binary, part int").toLocalIterator():
-        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<u8")
-    return np.minimum(255, np.round(4 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+    total = np.zeros(SLOTS, np.float64)
+    for r in first.groupBy("block").applyInPandas(add, "block int, counts binary, part int").collect():
+        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.decompress(r["counts"]), "<u8")
+    middle = np.median(total)
+    return np.minimum(255, np.round(8 * np.log2(1 + np.maximum(total - middle, 0) / (2 * np.sqrt(middle + 1))))).astype(np.uint8)
 
 
 def fewest(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -115,12 +140,12 @@ def fewest(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
     """shingle, key, n, place: the entries of each set that a link must share one of."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         out: list[tuple] = []
         held = 0
-        for b in batches:
-            for text in b["text"]:
+        for b in parts_of(batches):
+            for text in b.column("text").to_pylist():
                 s = shingles(text, size)
                 if not len(s):
                     continue
@@ -133,20 +158,21 @@ def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> Dat
                 order = np.lexsort((s, level[(s % np.uint64(SLOTS)).astype(np.int64)]))[:n]
                 out.append((s[order].view(np.int64), key, len(s)))
                 held += n
-                if held > 200_000:
+                if held > 100_000:
                     yield flat(out)
                     out, held = [], 0
         if out:
             yield flat(out)
 
-    def flat(out: list[tuple]) -> pd.DataFrame:
+    def flat(out: list[tuple]) -> pa.RecordBatch:
         sizes = [len(h) for h, _, _ in out]
-        return pd.DataFrame({
+        columns = {
             "shingle": np.concatenate([h for h, _, _ in out]), "key": np.repeat(np.array([k for _, k, _ in out], np.int64), sizes),
             "n": np.repeat(np.array([n for _, _, n in out], np.int32), sizes), "place": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-        })
+        }
+        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
-    return docs.select("text").mapInPandas(scan, "shingle long, key long, n int, place int")
+    return docs.select("text").mapInArrow(scan, "shingle long, key long, n int, place int")
 
 
 def _possible(n, p, m, q, percent: int):
@@ -177,75 +203,88 @@ def _columns(batches: Iterator[pd.DataFrame], keep: int = 0) -> Iterator[pd.Data
 
 
 def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
-    """a, b, shingle: candidate pairs (shingle 0), and the entries (key as a, n and place in b's stead) of wide columns."""
+    """shingle, a, b, n, place: candidate pairs (shingle 0; a is the smaller set, ties by key), and the entries (key as a,
+    b 0) of wide columns."""
+    schema = "shingle long, a long, b long, n int, place int"
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: set = set()
         for b in _columns(batches, keep=wide + 1):
-            h, key, n, p = (b[c].to_numpy() for c in ("shingle", "key", "n", "place"))
+            h = b["shingle"].to_numpy()
+            alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]])
+            h, key, n, p = (b[c].to_numpy()[~alone] for c in ("shingle", "key", "n", "place"))
+            if not len(h):
+                continue
             n, p = n.astype(np.int64), p.astype(np.int64)
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             width = np.diff(np.append(start, len(h)))
-            pairs, columns = [], []
-            row = np.arange(len(h)) - np.repeat(start, width)
-            whole = np.repeat(width, width)
-            for gap in range(1, int(min(wide, width.max(initial=1)))):
-                i = np.flatnonzero((whole <= wide) & (row + gap < whole))
-                if len(i):
-                    ok = i[_possible(n[i], p[i], n[i + gap], p[i + gap], percent)]
-                    pairs.append((key[ok], key[ok + gap]))
+            row, whole = np.arange(len(h)) - np.repeat(start, width), np.repeat(width, width)
+            x, y = [], []
+            for gap in range(1, int(min(wide, width.max()))):
+                i = np.flatnonzero(((whole <= wide) | (gap == 1)) & (row + gap < whole))
+                x.append(i), y.append(i + gap)
+            columns = []
             for s, w in zip(start[width > wide], width[width > wide]):
-                pivot, to = s, []
-                for i in range(s + 1, s + w):
-                    if 100 * n[pivot] < percent * n[i]:
-                        pivot = i
-                    else:
-                        to.append((pivot, i))
-                if to:
-                    x, y = np.array(to).T
-                    ok = _possible(n[x], p[x], n[y], p[y], percent)
-                    pairs.append((key[x[ok]], key[y[ok]]))
+                at, i = s, s + 1
+                while i < s + w:  # a new pivot where a row is too large for the last one
+                    end = s + int(np.searchsorted(n[s : s + w], 100 * n[at] // percent, "right"))
+                    x.append(np.full(max(0, end - i), at)), y.append(np.arange(i, max(i, end)))
+                    at, i = max(i, end), max(i, end) + 1
                 columns.append((h[s : s + w], key[s : s + w], n[s : s + w], p[s : s + w]))
-            if pairs:
-                a, c = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-                new = [q for q in set(zip(np.minimum(a, c).tolist(), np.maximum(a, c).tolist())) if q not in made]
-                if len(made) > 300_000:
-                    made.clear()
-                made.update(new)
-                yield pd.DataFrame([(0, x, y, 0, 0) for x, y in new], columns=["shingle", "a", "b", "n", "place"])
+            i, j = np.concatenate(x), np.concatenate(y)
+            ok = _possible(n[i], p[i], n[j], p[j], percent)
+            new = [q for q in set(zip(key[i[ok]].tolist(), key[j[ok]].tolist())) if q not in made]
+            if len(made) > 300_000:
+                made.clear()
+            made.update(new)
+            if new:
+                a, c = np.array(new, np.int64).T
+                yield pd.DataFrame({"shingle": 0, "a": a, "b": c, "n": 0, "place": 0})
             for hs, ks, ns, ps in columns:
                 yield pd.DataFrame({"shingle": hs, "a": ks, "b": 0, "n": ns, "place": ps})
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    return dealt.mapInPandas(multiply, "shingle long, a long, b long, n int, place int")
+    return dealt.mapInPandas(multiply, schema)
 
 
 def crossing(columns: DataFrame, percent: int, block: int = 5000) -> DataFrame:
-    """a, b: candidate pairs of wide columns whose components differ; columns has shingle, key, n, place, component.
+    """key, component, cell: rows of wide columns to be held against another component (cell), the larger one of a pair
+    of rows that may link; columns has shingle, key, n, place, component and its number of rows, `held`.
     Of such a pair one row at least is outside the column's largest component: those rows (side 0) meet all (side 1), in
     blocks of about `block` rows by `block` rows."""
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set = set()
         for b in _blocks(batches):
+            new: set = set()
             for _, g in b.groupby(["shingle", "x", "y"]):
-                c, key, n, p = (g[x].to_numpy() for x in ("component", "key", "n", "place"))
+                c, key, n, p, held = (g[x].to_numpy() for x in ("component", "key", "n", "place", "held"))
                 n, p = n.astype(np.int64), p.astype(np.int64)
                 every = np.flatnonzero(g["side"].to_numpy() == 1)
-                for i in np.flatnonzero(g["side"].to_numpy() == 0):
+                for i in np.flatnonzero(g["side"].to_numpy() == 0).tolist():
                     j = every[c[every] != c[i]]
                     j = j[_possible(n[i], p[i], n[j], p[j], percent)]
-                    if len(j):
-                        yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
-
-    held = columns.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed_ = held.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("top")).where("top.rows < rows")
+                    if not len(j):
+                        continue
+                    into = (held[j] > held[i]) | ((held[j] == held[i]) & (c[j] < c[i]))
+                    new.update((int(key[i]), int(c[i]), t) for t in np.unique(c[j[into]]).tolist())
+                    new.update((k, t, int(c[i])) for k, t in zip(key[j[~into]].tolist(), c[j[~into]].tolist()))
+            new -= made
+            if len(made) > 300_000:
+                made.clear()
+            made |= new
+            if new:
+                yield pd.DataFrame(np.array(list(new), np.int64), columns=["key", "component", "cell"])
+
+    sizes = columns.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed_ = sizes.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("top")).where("top.rows < rows")
     mixed_ = mixed_.select("shingle", F.col("top.component").alias("main"), F.ceil((F.col("rows") - F.col("top.rows")) / block).alias("outer"), F.ceil(F.col("rows") / block).alias("whole"))
     rows, salt, zero = columns.join(mixed_, "shingle"), F.xxhash64("key"), F.lit(0).cast("long")
-    kept_ = ["shingle", "key", "n", "place", "component"]
+    kept_ = ["shingle", "key", "n", "place", "component", "held"]
     outside = rows.where("component <> main").select(*kept_, F.lit(0).alias("side"), F.pmod(salt, "outer").alias("x"), F.explode(F.sequence(zero, F.col("whole") - 1)).alias("y"))
     every = rows.select(*kept_, F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("outer") - 1)).alias("x"), F.pmod(salt, "whole").alias("y"))
     dealt = outside.unionByName(every).repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
-    return dealt.mapInPandas(multiply, "a long, b long").distinct()
+    return dealt.mapInPandas(multiply, "key long, component long, cell long").distinct()
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,12 +303,11 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only one document of each set that some pair needs is shingled again:
-    a filter of fixed size by doc_id leaves out most others, and what it lets through too much finds no pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    slots = wanted.join(first, "key").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
+def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
+    """key, set: the whole sets of the wanted keys. Only one document of each is shingled again: a filter of fixed size
+    by doc_id leaves out most others, and what it lets through too much joins nothing."""
+    wanted = keys.distinct()
+    slots = wanted.join(firsts, "key").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER, bool)
@@ -278,62 +316,121 @@ def links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, percent
         yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
     bits = np.zeros(FILTER // 8, np.uint8)
-    for r in slots.coalesce(8).mapInPandas(gather, "bits binary").toLocalIterator():
+    for r in slots.coalesce(8).mapInPandas(gather, "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            for some in parts_of([b.filter(pa.array(mask[b.column("slot").to_numpy()]))]):
+                found = [s for s in (shingles(t, size) for t in some.column("text").to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_pydict({"key": pa.array([digest(s)[0] for s in found], pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+
+    there = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot"), "text")
+    return there.mapInArrow(shingled, "key long, set binary").groupBy("key").agg(F.first("set").alias("set")).join(wanted, "key", "left_semi")
+
+
+def linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cell, key: rows asked about (side 1) that link with a row of the block (side 0) of the same cell and part. The product
+    of a block: its rows' postings by shingle, overlaps accumulated over the shingles of each row asked about."""
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, post = None, [], None
         for b in batches:
             out = []
-            for text in b["text"][mask[b["slot"].to_numpy()]]:
-                s = shingles(text, size)
-                if len(s):
-                    out.append((digest(s)[0], s.tobytes()))
-                if len(out) == 500:
-                    yield pd.DataFrame(out, columns=["key", "set"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["key", "set"])
-
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            overlap = len(a) + len(b) - len(np.union1d(a, b))
-            out.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
-        return pd.Series(out, dtype=bool)
-
-    there = docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot"), "text")
-    found = there.mapInPandas(shingled, "key long, set binary").groupBy("key").agg(F.first("set").alias("set"))
-    x, y = found.select(F.col("key").alias("a"), F.col("set").alias("x")), found.select(F.col("key").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(linked("x", "y")).select("a", "b")
-
-
-def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+            for cell, part, side, key, data in zip(b["cell"].tolist(), b["part"].tolist(), b["side"].tolist(), b["key"].tolist(), b["set"]):
+                if (cell, part) != now:
+                    now, rows, post = (cell, part), [], None
+                s = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    rows.append(s)
+                    continue
+                if not rows:
+                    continue
+                if post is None:
+                    m = np.array([len(r) for r in rows])
+                    every, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), m)
+                    order = np.argsort(every, kind="stable") if len(rows) > 1 else np.arange(len(every))
+                    post = every[order], owner[order]
+                low, high = np.searchsorted(post[0], s, "left"), np.searchsorted(post[0], s, "right")
+                width = high - low
+                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+                overlap = np.bincount(post[1][at], minlength=len(rows))
+                if (100 * overlap >= percent * (len(s) + m - overlap)).any():
+                    out.append((cell, key))
+            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["cell", "key"])
+
+    dealt = blocks.join(sets, "key").repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+    return dealt.mapInPandas(multiply, "cell long, key long")
+
+
+def dealt(rows: DataFrame, asked: DataFrame, per_block: int, per_lane: int) -> DataFrame:
+    """cell, part, side, key: the rows of a cell (cell, key, n) in blocks of about `per_block` entries, each met by those asked
+    about (cell, key) in lanes of about `per_lane` rows, so that no task gets a cell of any size whole."""
+    zero, salt = F.lit(0).cast("long"), F.xxhash64("key")
+    parts = rows.groupBy("cell").agg(F.ceil(F.sum("n") / per_block).alias("blocks")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_lane).alias("lanes")), "cell")
+    block = rows.join(parts, "cell").select("cell", F.explode(F.transform(F.sequence(zero, F.col("lanes") - 1), lambda k: F.pmod(salt, "blocks") * F.col("lanes") + k)).alias("part"), F.lit(0).alias("side"), "key")
+    lane = asked.join(parts, "cell").select("cell", F.explode(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: k * F.col("lanes") + F.pmod(salt, "lanes"))).alias("part"), F.lit(1).alias("side"), "key")
+    return block.unionByName(lane)
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 4, per_block: int = 1_000_000, per_lane: int = 4000) -> DataFrame:
+    """doc_id, hash (of the text), n, key, class: a row for each document; documents of one class are linked, class is null
+    for those without words."""
     profile = materialize(profiles(docs, size), "profiles")
     level = frequency(profile)
-    sets = profile.where("kind = 0").select("doc_id", "n", "key", "check")
-    clash = sets.where("n > 0").groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
-    if clash.limit(1).count():
+    sets = profile.where("kind = 0").select("doc_id", "hash", "n", "key", "check")
+    firsts = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
+    if firsts.where("x <> y").limit(1).count():
         raise RuntimeError("two different sets have the same digest")
-    made = materialize(products(prefixes(docs.where(F.col("doc_id").isNotNull()), level, size, percent), percent, wide), "products")
-    pairs = materialize(made.where("shingle = 0 and b <> 0").select("a", "b").distinct(), "pairs")
-    linked = materialize(links(docs, pairs, sets, size, percent), "links")
+
+    def held(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        blocks = materialize(dealt(rows.join(firsts.select("key", "n"), "key"), asked, per_block, per_lane), "blocks")
+        return linked(blocks, fetched(docs, blocks.select("key"), firsts, size), percent)
+
+    made = materialize(products(prefixes(docs, level, size, percent), percent, wide), "products")
+    pairs = made.where("shingle = 0 and b <> 0").select(F.col("a").alias("cell"), F.col("b").alias("key")).distinct()
+    first = materialize(held(pairs.select("cell", F.col("cell").alias("key")).distinct(), pairs), "links")
+    class_of = materialize(components(first, "cell", "key"), "classes")
+    sizes = class_of.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    known = class_of.join(sizes, "component").select(F.col("node").alias("key"), "component", "held")
     columns = made.where("b = 0").select("shingle", F.col("a").alias("key"), "n", "place").distinct()
-    class_of = components(linked)
-    named = columns.join(class_of.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    late = materialize(crossing(named, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if late.limit(1).count():
-        class_of = components(linked.unionByName(links(docs, late, sets, size, percent)))
-    whole = sets.join(class_of.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = columns.join(known, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
+    asked = materialize(crossing(named, percent), "asked")
+    if asked.limit(1).count():
+        cells = asked.select("cell").distinct().join(class_of, F.col("cell") == F.col("component"), "left").select("cell", F.coalesce("node", "cell").alias("key"))
+        late = held(cells, asked).distinct().join(asked, ["cell", "key"]).select(F.col("cell").alias("a"), F.col("component").alias("b"))
+        merged = components(materialize(late, "links")).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        alone = asked.select(F.col("component").alias("node")).unionByName(asked.select(F.col("cell").alias("node"))).distinct()
+        every = class_of.unionByName(alone.join(class_of, "node", "left_anti").select("node", F.col("node").alias("component")))
+        class_of = every.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    whole = sets.join(class_of.select(F.col("node").alias("key"), "component"), "key", "left")
+    return whole.select("doc_id", "hash", "n", "key", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("class"))
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 4, **sizes: int) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    whole = materialize(classes(docs, size, percent, wide, **sizes), "classes")
+    least = whole.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    named = whole.join(least, "class", "left")
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows, with all their columns, of the smallest doc_id of each component."""
-    first = join(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("__id"), "left_semi")
+    """One row of each class, with all its columns: that of the smallest doc_id (nulls last), of two texts under it that
+    of the smaller hash, of rows alike in both any one. Rows without words are linked with nothing and all stay."""
+    rows = materialize(classes(docs, size, percent).select("doc_id", "hash", "n", "class"), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    best = rows.where("n > 0").groupBy("class").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class", "r")
+    # of a class of one nothing goes; of the others all rows go but one, and what is left of rows alike is decided on few
+    ranked = rows.join(best, "class").select("doc_id", "hash", rank.eqNullSafe(F.col("r")).alias("best"))
+    marks = materialize(ranked.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(F.bool_or("best").alias("__best"), F.count(F.lit(1)).alias("__rows")), "marks")
+    own = [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    stay = marked.join(marks.where("not (__best and __rows = 1)"), same, "left_anti").select(*own)
+    alike = marks.where("__best and __rows > 1")
+    if not alike.limit(1).count():
+        return stay
+    return stay.unionByName(marked.join(alike, same).dropDuplicates(["__id", "__hash"]).select(*own))

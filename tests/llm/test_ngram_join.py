@@ -68,8 +68,39 @@ def test_no_task_meets_a_whole_wide_column(spark, monkeypatch):
 
     monkeypatch.setattr(J, "_possible", bounded)
     parts = {k: 1 if k > 3 else -k for k in range(1, 12_001)}
-    rows = [(5, k, 100, 0, c) for k, c in parts.items()] + [(6, k, 100, 0, 1) for k in range(50)] + [(7, k, 50 + k, k % 40, k % 3) for k in range(60)]
-    got = {(x.a, x.b) for x in J.crossing(spark.createDataFrame(rows, "shingle long, key long, n int, place int, component long"), 75).collect()}
-    want = {(a, b) for a in (1, 2, 3) for b in range(a + 1, 12_001)}
-    want |= {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3 and plain(50 + a, a % 40, 50 + b, b % 40, 75)}
+    rows = [(5, k, 100, 0, c, 11_997 if c == 1 else 1) for k, c in parts.items()] + [(6, k, 100, 0, 1, 11_997) for k in range(50)]
+    rows += [(7, k, 50 + k, k % 40, 100 + k % 3, 20) for k in range(60)]
+    got = {(x.key, x.component, x.cell) for x in J.crossing(spark.createDataFrame(rows, "shingle long, key long, n int, place int, component long, held long"), 75).collect()}
+    want = {(k, -k, 1) for k in (1, 2, 3)} | {(a, -a, -b) for a in (1, 2, 3) for b in (1, 2, 3) if -b < -a}
+    want |= {(a, 100 + a % 3, 100 + b % 3) for a in range(60) for b in range(60) if b % 3 < a % 3 and plain(50 + a, a % 40, 50 + b, b % 40, 75)}
+    assert got == want
+
+
+def test_null_and_repeated_ids(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, long), (7, long), (7, long), (3, long + " x"), (3, "other words stand here and there"), (None, "alone with its own words here"), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, __text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.join(docs).collect()), key=str)
+    assert got == sorted([(None, 8, 3), (7, 8, 3), (7, 8, 3), (3, 9, 3), (3, 2, 3), (None, 2, None), (9, 0, 9), (9, 0, 9), (None, 0, None)], key=str)
+    left = J.keep_one(docs.drop("__text")).collect()
+    assert sorted(((x.doc_id, x.text) for x in left), key=str) == sorted([(3, long + " x"), (3, "other words stand here and there"), (None, "alone with its own words here"), (9, None), (9, None), (None, "")], key=str)
+    same = spark.createDataFrame([(1, long), (1, long), (2, long), (None, long)], "doc_id long, text string")
+    assert [(x.doc_id, x.text) for x in J.keep_one(same).collect()] == [(1, long)]
+    assert J.keep_one(same.where("doc_id is null")).count() == 1
+
+
+def test_blocks_and_lanes_of_one_cell(spark):
+    """Cells far over their sizes give the same classes."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    base = r.choices(words, k=90)
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(r.randrange(5)):
+            copy[r.randrange(90)] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.join(docs, wide=2, per_block=300, per_lane=7).collect()}
     assert got == want
