@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
@@ -36,9 +38,13 @@ _KEPT: dict[str, Any] = {}
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps from task to task: that of one operator at a time, as workers are used again."""
+    """What a Python worker keeps from task to task: that of one operator at a time, as workers are used again. What
+    the last one leaves goes back to the system, where its C library can give memory back."""
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
         _KEPT[name] = make()
     return _KEPT[name]
 

@@ -8,8 +8,10 @@ nothing more. A group never holds more than `group` open bins, and rows hold no
 
 Words are encoded once and remembered: the vocabulary's pre-tokeniser never joins across white space.
 
-Defined cases: null text counts as empty, an empty text is the end id alone; repeated rows are packed each by
-itself; ties in length are broken by (doc_id, piece); an empty table gives no rows. Texts are encoded whole.
+Defined cases: null text counts as empty, an empty text is the end id alone; an added token's text within a text is that
+token, as the library has it; repeated rows are packed each by itself; a null doc_id stays null and its pieces are packed
+like others; ties in length are broken by (doc_id, piece), nulls last; an empty table gives no rows; other columns are not
+read. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import kept
+from geoweft.llm.common import kept, parts_of
 from geoweft.tables import materialize
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBER = "struct<doc_id: long, piece: int, start: long, length: int, ids_crc32: long, offset: int>"
 BIN = f"open boolean, fill int, members array<{MEMBER}>"
+#: The same to Arrow.
+PIECE_A = pa.schema({"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64()})
+BIN_A = pa.schema({"open": pa.bool_(), "fill": pa.int32(), "members": pa.list_(pa.struct([*PIECE_A, pa.field("offset", pa.int32())]))})
 
 
 class WordEncoder:
@@ -39,12 +45,13 @@ class WordEncoder:
 
     MARKS = ".,!?;:%$#&*-_/\\()[]{}\"+=~^@`"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -70,6 +77,9 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         cores, marked, plain = self.cores, [], []
         for w in words:
+            if self.special(w):  # an added token is matched as it stands, so nothing is taken from the word
+                self.known[w] = self._one(w)
+                continue
             core = w.rstrip(self.MARKS)
             if len(core) == len(w) or not core or not core[-1].isalnum():
                 plain.append((w, w.lower() if w.isascii() else w))
@@ -102,23 +112,29 @@ def encoder(path: str) -> WordEncoder:
     return kept(f"words of {path}", lambda: WordEncoder(path))
 
 
+def _cut(batches: Iterable[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[tuple]:
+    """doc_id, piece, start, length, ids_crc32 of batches of doc_id and text."""
+    last = np.array([end], "<u4").tobytes()
+    for b in parts_of(batches, 500):
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in b.column("text").to_pylist()])):
+            ids += last
+            for p, a in enumerate(range(0, len(ids), 4 * size)):
+                one = ids[a : a + 4 * size]
+                yield doc_id, p, a // 4, len(one) // 4, zlib.crc32(one)
+
+
 def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = np.array([end], "<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 500):
-                some, rows = b.iloc[k : k + 500], []
-                for doc_id, ids in zip(some["doc_id"], encoder(path).encode([t or "" for t in some["text"]])):
-                    ids += last
-                    for p, a in enumerate(range(0, len(ids), 4 * size)):
-                        one = ids[a : a + 4 * size]
-                        rows.append((doc_id, p, a // 4, len(one) // 4, zlib.crc32(one)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+            rows = list(_cut([b], path, size, end))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, PIECE_A.types)], schema=PIECE_A)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE)
+    return _texts(docs).mapInArrow(cut, PIECE)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -165,38 +181,55 @@ def _members(rows) -> list[tuple]:
     return [(m["doc_id"], m["piece"], m["start"], m["length"], m["ids_crc32"]) for m in rows]
 
 
+def _packed(parts: Iterable[tuple], capacity: int, slack: int, block: int) -> Iterator[pd.DataFrame]:
+    """Bins of one partition's pieces, block by block: full ones at once, underfull ones as items of the next block."""
+    held: list[tuple[int, list[tuple]]] = []
+    new = 0
+    for part in parts:
+        held.append((part[3], [part]))
+        new += 1
+        if new == block:
+            held, new = _joined(held, capacity), 0
+            done = [x for x in held if capacity - x[0] <= slack]
+            held = [x for x in held if capacity - x[0] > slack]
+            if len(held) > block:  # too long to be joined with anything here
+                held.sort(key=lambda x: x[0])
+                yield _frame(held[block:], True)
+                held = held[:block]
+            yield _frame(done, False)
+    held = _joined(held, capacity)
+    yield _frame([x for x in held if capacity - x[0] <= slack], False)
+    yield _frame([x for x in held if capacity - x[0] > slack], True)
+
+
+def _frames(frames: Iterable[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    for f in frames:
+        for k in range(0, len(f), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(f[c].iloc[k : k + 2000].tolist(), t) for c, t in zip(BIN_A.names, BIN_A.types)], schema=BIN_A)
+
+
 def pack(parts: DataFrame, capacity: int = 4096, slack: int = 4, block: int = 20_000, group: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to rows of doc_id, piece, start, length, ids_crc32."""
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, list[tuple]]] = []
-        new = 0
-        for b in batches:
-            for r in b.itertuples(index=False):
-                held.append((int(r.length), [(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.piece), int(r.start), int(r.length), int(r.ids_crc32))]))
-                new += 1
-                if new == block:
-                    held, new = _joined(held, capacity), 0
-                    done = [x for x in held if capacity - x[0] <= slack]
-                    held = [x for x in held if capacity - x[0] > slack]
-                    if len(held) > block:  # too long to be joined with anything here
-                        held.sort(key=lambda x: x[0])
-                        yield _frame(held[block:], True)
-                        held = held[:block]
-                    yield _frame(done, False)
-        held = _joined(held, capacity)
-        yield _frame([x for x in held if capacity - x[0] <= slack], False)
-        yield _frame([x for x in held if capacity - x[0] > slack], True)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        bins = _joined([(int(f), _members(m)) for f, m in zip(rows["fill"], rows["members"])], capacity)
-        return pd.concat([_frame([x for x in bins if capacity - x[0] <= slack], False), _frame([x for x in bins if capacity - x[0] > slack], True)])
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        rows = (row for b in parts_of(batches, 2000) for row in zip(*[b.column(c).to_pylist() for c in names]))
+        return _frames(_packed(rows, capacity, slack, block))
+
+    return _treed(parts.mapInArrow(local, BIN), capacity, slack, group)
+
+
+def _treed(bins: DataFrame, capacity: int, slack: int, group: int) -> DataFrame:
+    def meet(rows: pa.Table) -> pa.Table:
+        bins = _joined([(f, _members(m)) for f, m in zip(rows.column("fill").to_pylist(), rows.column("members").to_pylist())], capacity)
+        both = [_frame([x for x in bins if (capacity - x[0] > slack) == open_], open_) for open_ in (False, True)]
+        return pa.Table.from_batches(_frames(both), BIN_A)
 
     def written(bins: DataFrame, turn: int) -> DataFrame:
         """Bins get their number once, when they are written."""
         return materialize(bins.withColumn("sequence_id", F.monotonically_increasing_id() * 64 + turn), "bins")
 
-    made = written(parts.mapInPandas(local, BIN), 0)
+    made = written(bins, 0)
     done, open_, before = [made.where(~F.col("open"))], made.where("open"), None
     for turn in range(1, 41):
         n = open_.count()
@@ -205,7 +238,7 @@ def pack(parts: DataFrame, capacity: int = 4096, slack: int = 4, block: int = 20
             break
         first = F.col("members")[0]
         to = F.pmod(F.xxhash64(first["doc_id"], first["piece"], "fill"), F.lit(groups))
-        met = written(open_.groupBy(to.alias("g")).applyInPandas(meet, BIN), turn)
+        met = written(open_.groupBy(to.alias("g")).applyInArrow(meet, BIN), turn)
         done.append(met.where(~F.col("open")))
         open_, before = met.where("open"), (n, groups)
     every = open_
@@ -215,5 +248,10 @@ def pack(parts: DataFrame, capacity: int = 4096, slack: int = 4, block: int = 20
     return out.select("m.doc_id", "m.piece", "m.start", F.col("m.length").cast("long").alias("length"), "m.ids_crc32", "sequence_id", F.col("m.offset").cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
-    return pack(pieces(docs, path, size, end), size)
+def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 1, slack: int = 4, block: int = 20_000, group: int = 20_000) -> DataFrame:
+    """Texts are encoded, cut and packed within their partition in one pass of one worker."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames(_packed(_cut(batches, path, size, end), size, slack, block))
+
+    return _treed(_texts(docs).mapInArrow(local, BIN), size, slack, group)

@@ -25,9 +25,8 @@ def check(rows, capacity=4096):
 
 def test_documents_against_the_library(spark):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    texts = ["", None, "Hello, world's it!", "a\x1cb c", "Été　NAÏVE ΣΑΣ ό", "<|endoftext|> x", "word " * 9000, "x y\nz\t w", "1234 5"] + ["lorem ipsum " * k for k in range(1, 60)]
-    docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(3, "a\x1cb c", "q"), (None, "z", "q")], "doc_id long, text string, piece string")
+    texts = ["", None, "Hello, world's it!", "a\x1cb c", "Été　NAÏVE ΣΑΣ ό", "<|endoftext|> x", "a<|endoftext|>B.<|ENDOFTEXT|>, <|endoftext|>!? <|startoftext|>\x1cx", "word " * 9000, "x y\nz\t w", "1234 5"] + ["lorem ipsum " * k for k in range(1, 60)]
+    docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(3, "a\x1cb c", "q"), (None, "z", "q"), (9007199254740993, "z", "q")], "doc_id long, text string, piece string")
     rows = packing.pack_documents(docs, PATH).collect()
     check(rows)
     found = {(r.doc_id, r.piece): r for r in rows}
@@ -37,8 +36,10 @@ def test_documents_against_the_library(spark):
             one = ids[a : a + 4096]
             r = found.pop((i, p))
             assert (r.start, r.length, r.ids_crc32) == (a, len(one), zlib.crc32(np.array(one, "<u4").tobytes()))
-    assert set(found) == {(None, 0)} and len([r for r in rows if r.doc_id == 3]) == 2
+    assert set(found) == {(None, 0), (9007199254740993, 0)} and len([r for r in rows if r.doc_id == 3]) == 2
     assert packing.pack_documents(docs.limit(0), PATH).collect() == []
+    apart = packing.pack(packing.pieces(docs, PATH)).select("doc_id", "piece", "ids_crc32").collect()
+    assert sorted(apart, key=str) == sorted(((r.doc_id, r.piece, r.ids_crc32) for r in rows), key=str)
 
 
 def test_few_sequences_in_many_rounds(spark):
