@@ -9,7 +9,9 @@ Shots: 32-bin histograms of neighbouring frames are compared; a boundary is wher
 both a floor and mean + k deviations of the differences before it in the same shot.
 
 Defined cases: null text counts as empty; an empty text is 64 zero bytes, so one frame; equal bytes give equal
-files; a file that is no such AVI raises ValueError. A text of any length is handled frame by frame.
+files; a file that is no such AVI raises ValueError, and so does a payload whose file would not fit RIFF's 32-bit sizes;
+repeated rows give a file each, a null doc_id stays null, an empty table gives no rows, other columns are not read. A text
+of any length is handled frame by frame.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.llm.common import parts_of
+
 WIDTH, HEIGHT, FPS, BINS = 64, 16, 25, 32
 #: Codes of 16 - s bits for category s = 8, 7, ..., 0: symbols in order of length, counts by length.
 LENGTHS = bytes([0] * 7 + [1] * 9)
@@ -124,6 +128,8 @@ def write_avi(payload: bytes) -> bytes:
         index.append(b"00dc" + struct.pack("<III", 0x10, at, len(f)))
         movie.append(c)
         at += len(c)
+    if at + 16 * len(frames) + len(header) > 0xFFFFFF00:
+        raise ValueError("too long for one AVI")
     body = b"AVI " + header + _list(b"movi", b"".join(movie)) + _chunk(b"idx1", b"".join(index))
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -172,12 +178,12 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as an AVI file."""
 
-    @F.pandas_udf("n_bytes long, media binary")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        both = map(padded, texts)
-        return pd.DataFrame([(n, write_avi(p)) for n, p in both], columns=["n_bytes", "media"])
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches):
+            n, payloads = zip(*map(padded, b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(map(write_avi, payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n_bytes long, media binary")
 
 
 CLIP = "clip: int, start_frame: int, frames: int, start_s: double, end_s: double, mean: double"
@@ -199,12 +205,15 @@ def read(media: DataFrame) -> DataFrame:
         ]
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), clips
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"]
-        for b in batches:
-            yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame([one(m) for m in b["media"]], columns=names)], axis=1)
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+    kinds["clips"] = pa.list_(pa.struct({"clip": pa.int32(), "start_frame": pa.int32(), "frames": pa.int32(), "start_s": pa.float64(), "end_s": pa.float64(), "mean": pa.float64()}))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches):
+            found = zip(*[one(m.as_py()) for m in b.column("media")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(found, kinds.values())]], ["doc_id", "n_bytes", *kinds])
 
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(rows, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, schema)
 
 
 def clips(media: DataFrame) -> DataFrame:

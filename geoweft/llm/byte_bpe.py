@@ -10,7 +10,8 @@ token, which bounds the lookahead. States are memoised up to a limit; where a te
 memoised part, its hypotheses are followed one byte at a time without being made into states.
 
 Defined cases: null text counts as empty; an empty text has no tokens; a match of the pattern that is
-itself a token is emitted as that token; texts of any length are read once, from left to right.
+itself a token is emitted as that token; texts of any length are read once, from left to right; repeated rows are
+encoded each by itself, a null doc_id stays null, an empty table gives no rows, other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from itertools import islice
 from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, kept
+from geoweft.llm.common import Memo, by_parts, kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -236,30 +237,27 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of token ids."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(texts: list[str | None]) -> list[np.ndarray]:
         e = encoder(path, pattern)
-        return pd.Series([np.frombuffer(e.encode(t), "<i4") for t in texts])
+        return [np.frombuffer(e.encode(t), "<i4") for t in texts]
 
-    return ids(text)
+    return by_parts(ids, "array<int>", pa.list_(pa.int32()))(text)
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """The text of an array<int> of token ids; null for null."""
 
-    @F.pandas_udf("string")
-    def text(rows: pd.Series) -> pd.Series:
+    def text(rows: list[list[int] | None]) -> list[str | None]:
         token = encoder(path, pattern).transducer.token
-        return pd.Series([None if r is None else "".join(decode_stream(r.tolist(), token)) for r in rows])
+        return [None if r is None else "".join(decode_stream(r, token)) for r in rows]
 
-    return text(ids)
+    return by_parts(text, "string", pa.string())(ids)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode the ids, digest both in one pass."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(texts: list[str | None]) -> list[dict]:
         e, rows = encoder(path, pattern), []
         token = e.transducer.token
         for t in texts:
@@ -267,7 +265,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             decoded = hashlib.sha256()
             for part in decode_stream(np.frombuffer(ids, "<u4").tolist(), token):
                 decoded.update(part.encode())
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": decoded.hexdigest()})
+        return rows
 
-    return docs.select("doc_id", both("text").alias("b")).select("doc_id", "b.*")
+    digested = by_parts(both, "n_tokens long, ids_sha256 string, decoded_sha256 string", pa.struct({"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}))
+    return docs.select("doc_id", digested(F.col("text")).alias("b")).select("doc_id", "b.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-
 _KEPT: dict[str, Any] = {}
 
 
@@ -56,9 +55,12 @@ def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
             yield b.slice(k, rows)
 
 
-def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """The same frame; its session hands texts to Python at most `rows` at a time, as single texts can be long."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= rows:
-        conf.set(key, str(rows))
-    return docs
+def by_parts(compute: Callable[[list], list], returns: str, kind: pa.DataType, rows: int = 256) -> Callable[[Column], Column]:
+    """A column function from compute(values) -> results, which sees at most `rows` values of a batch at once."""
+
+    @F.arrow_udf(returns)
+    def run(values: pa.Array) -> pa.Array:
+        done = [pa.array(compute(values.slice(k, rows).to_pylist()), kind) for k in range(0, len(values), rows)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
+
+    return run

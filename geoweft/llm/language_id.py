@@ -6,22 +6,22 @@ each codeword, every bit weighted by how well its classifier separates, and take
 Up to seven languages get the exhaustive code, more get a random code chosen for its smallest distance.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the language that
-sorts first; with nothing to learn from all texts are `und`; with one language all others get it.
+sorts first; with nothing to learn from all texts are `und`; with one language all others get it; repeated rows and
+rows with a null doc_id are predicted like others, an empty table gives no rows, other columns are not read.
 Texts are read whole; n-grams are those of the whole text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoweft.llm.common import fold
+from geoweft.llm.common import by_parts, fold
 
 DIM = 2048
 UNKNOWN = "und"
@@ -52,11 +52,19 @@ def codewords(n: int, tries: int = 64, seed: int = 7) -> np.ndarray:
         first = np.ones((1, bits), np.int8)
         rest = [[1 if (b >> k) & 1 else -1 for b in range(bits)] for k in range(n - 1)]
         return np.concatenate([first, np.array(rest, np.int8)])
-    r, bits, best, most = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1
-    for _ in range(tries):
-        code = r.choice(np.array([-1, 1], np.int8), (n, bits))
-        near = min(int((code[i] != code[j]).sum()) for i, j in combinations(range(n), 2))
-        if near > most and (abs(code.sum(0)) < n).all():
+    r, bits, best, most = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, 0
+    while best is None or tries > 0:
+        tries -= 1
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:  # the first row is all ones, so no column can be another's opposite
+            c = np.append(np.int8(1), r.choice(np.array([-1, 1], np.int8), n - 1))
+            if (c < 0).any():
+                columns[c.tobytes()] = c
+        code = np.stack(list(columns.values()), 1)
+        agree = code.astype(np.int32) @ code.T.astype(np.int32)
+        np.fill_diagonal(agree, -bits)
+        near = (bits - int(agree.max())) // 2
+        if near > most:
             best, most = code, near
     return best
 
@@ -95,23 +103,23 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 400,
     return Model(languages, code, w, b, (trust / max(trust.mean(), 1e-9)).astype(np.float32))
 
 
-def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 500, most_languages: int = 400) -> Model:
-    """Learns from at most per_language texts of each language, those with the smallest hash of their id,
-    outside the held-out fold. Only lang and text of those rows are read."""
+def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 500, most_texts: int = 20_000) -> Model:
+    """Learns every language from at most per_language of its texts, those with the smallest hash of their id, outside
+    the held-out fold; with so many languages that this comes to more than most_texts, from most_texts / languages of each
+    (one at least). A text is 8 KB to the driver, so most_texts bounds what travels to 160 MB. Only lang and text of those
+    rows are read."""
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), folds) != held_out)
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], codewords(0), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
-    draw, share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2 * per_language / n)).otherwise(share)
-
-    @F.pandas_udf("array<float>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([gram_counts(t) for t in texts])
+    per_language = max(1, min(per_language, most_texts // len(sizes)))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    often = {lang: min(1.0, (2 * per_language + 20) / n) for lang, n in sizes.items()}  # languages of about as many rows as are learned from are read whole
+    share = F.coalesce(F.create_map(*[F.lit(x) for lang, q in often.items() if q < 1 for x in (lang, q)])[F.col("lang")], F.lit(1.0)) if min(often.values()) < 1 else F.lit(1.0)
 
+    grams = by_parts(lambda texts: [gram_counts(t) for t in texts], "array<float>", pa.list_(pa.float32()))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = (
         known.where(draw < share * 1_000_000).select("lang", "text", "doc_id", F.row_number().over(order).alias("place"))
@@ -129,20 +137,20 @@ def predict(text: Column, model: Model, margin: float = 0.1) -> Column:
     """struct<lang_pred, score, ambiguous, second>; ambiguous where the two nearest codewords are
     closer than `margin` in probability."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, second string")
-    def decoded(texts: pd.Series) -> pd.DataFrame:
-        out: list[tuple] = [(UNKNOWN, 0.0, False, None)] * len(texts)
+    def decoded(texts: list[str | None]) -> list[dict]:
+        out: list[dict] = [{"lang_pred": UNKNOWN, "score": 0.0, "ambiguous": False, "second": None}] * len(texts)
         at = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if model.languages else []
-        for k in range(0, len(at), 256):
-            some = at[k : k + 256]
-            p = model.decode(np.stack([gram_counts(texts.iat[i]) for i in some]))
-            near = np.argsort(-p, axis=1, kind="stable")
-            for i, q, o in zip(some, p, near):
-                next_ = q[o[1]] if len(o) > 1 else 0.0
-                out[i] = (model.languages[o[0]], float(min(1.0, q[o[0]])), bool(q[o[0]] - next_ < margin), model.languages[o[1]] if len(o) > 1 else None)
-        return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous", "second"])
-
-    return decoded(text)
+        if not at:
+            return out
+        p = model.decode(np.stack([gram_counts(texts[i]) for i in at]))
+        near = np.argsort(-p, axis=1, kind="stable")
+        for i, q, o in zip(at, p, near):
+            next_ = q[o[1]] if len(o) > 1 else 0.0
+            out[i] = {"lang_pred": model.languages[o[0]], "score": float(min(1.0, q[o[0]])), "ambiguous": bool(q[o[0]] - next_ < margin), "second": model.languages[o[1]] if len(o) > 1 else None}
+        return out
+
+    kind = pa.struct({"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_(), "second": pa.string()})
+    return by_parts(decoded, "lang_pred string, score double, ambiguous boolean, second string", kind)(text)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -25,10 +25,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.llm.common import by_parts
 from geoweft.tables import materialize
 
 WHITE = r"[ \t\r\n\f\x0B]"
@@ -84,12 +85,12 @@ def dedup(docs: DataFrame, unit: str = "line", least: int = 24, passage: int = 2
     """All columns of docs with `text` cut, `__removed`: the original [start, end) of each run cut out, and `__passages`: that
     of each repeated passage, kept or not."""
 
-    @F.pandas_udf("text string, removed array<struct<start: int, end: int>>, passages array<struct<start: int, end: int>>")
-    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def cut(rows: list[dict]) -> list[dict]:
         out = []
-        for t, found in zip(texts, places):
-            if t is None or found is None or not len(found):
-                out.append((t, [], []))
+        for row in rows:
+            t, found = row["text"], row["__places"]
+            if t is None or not found:
+                out.append({"text": t, "removed": [], "passages": []})
                 continue
             marks = {m["place"]: m for m in found}
             kept, runs, passages = [], [], []
@@ -114,12 +115,15 @@ def dedup(docs: DataFrame, unit: str = "line", least: int = 24, passage: int = 2
                     close()
                     open_, words = None, 0
             close()
-            out.append(("".join(kept), runs, passages))
-        return pd.DataFrame(out, columns=["text", "removed", "passages"])
+            out.append({"text": "".join(kept), "removed": runs, "passages": passages})
+        return out
+
+    places = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))
+    cut_ = by_parts(cut, "text string, removed array<struct<start: int, end: int>>, passages array<struct<start: int, end: int>>", pa.struct({"text": pa.string(), "removed": places, "passages": places}))
 
     gone = repeated_units(docs, unit, least, most_hot).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    done = joined.withColumn("__cut", cut("text", "__places"))
+    done = joined.withColumn("__cut", cut_(F.struct("text", "__places")))
     return done.select(*[F.col("__cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__cut.removed").alias("__removed"), F.col("__cut.passages").alias("__passages"))
 
 

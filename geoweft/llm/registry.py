@@ -6,12 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
-from geoweft.llm.common import in_small_batches
 from geoweft.tables import table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_small_batches(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +31,11 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"))
+    return line_dedup.summary(documents(spark, sf_dir))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

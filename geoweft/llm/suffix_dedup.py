@@ -17,7 +17,8 @@
 Texts that occur more than once are one text up to here and are removed whole if they hold a window. Matches
 never cross documents; overlaps and matches within one document count. Defined cases: null text counts as empty;
 texts shorter than `length` lose nothing; texts of any length are read whole, in segments that overlap.
-Texts are told apart by a 64-bit hash, windows of frequent anchors by a 128-bit one.
+A null doc_id stays null; repeated rows are copies of each other and get the same result each; an empty table gives no rows;
+other columns are not read. Texts are told apart by two 64-bit hashes, windows of frequent anchors by a 128-bit one.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.llm.common import by_parts, parts_of
 from geoweft.llm.ngram_join import mixed
 from geoweft.tables import materialize
 
@@ -175,17 +178,16 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
     if not gram <= length <= 4096:
         raise ValueError("length must be from gram to 4096")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s in range(0, len(b), 400):
-                some = b.iloc[s : s + 400]
-                found = [anchors(t.encode("utf-8", "surrogatepass"), length, gram) for t in some["text"]]
-                x = np.concatenate(found)
-                # first start, distance of the anchor from it and number of further starts in one value: rows are what is shuffled
-                packed = x[:, 2] << 24 | (x[:, 1] - x[:, 2]) << 12 | (x[:, 3] - x[:, 2])
-                yield pd.DataFrame({"h": x[:, 0], "k1": np.repeat(some["k1"].to_numpy(), [len(f) for f in found]), "windows": packed})
-
-    every = texts.where(F.col("n") >= length).select("k1", "text").mapInPandas(find, "h long, k1 long, windows long")
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches, 400):
+            found = [anchors(t.encode("utf-8", "surrogatepass"), length, gram) for t in b.column("text").to_pylist()]
+            x = np.concatenate(found)
+            # first start, distance of the anchor from it and number of further starts in one value: rows are what is shuffled
+            packed = x[:, 2] << 24 | (x[:, 1] - x[:, 2]) << 12 | (x[:, 3] - x[:, 2])
+            k1 = np.repeat(b.column("k1").to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x[:, 0], k1, packed)], ["h", "k1", "windows"])
+
+    every = texts.where(F.col("n") >= length).select("k1", "text").mapInArrow(find, "h long, k1 long, windows long")
     # both uses below read this one exchange
     every = every.where(F.col("h").isNotNull()).repartition("h")
     whole = F.struct("k1", "windows")
@@ -194,11 +196,15 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
     wanted = every.join(shared, "h").groupBy("k1").agg(F.collect_set(F.struct("h", "windows", "hot")).alias("anchors"))
     known = texts.select("k1", "text").groupBy("k1").agg(F.first("text").alias("text"))
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["p", "hot", "h", "lead", "span", "k1", "first"]
-        for b in batches:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"p": pa.int64(), "hot": pa.bool_(), "h": pa.int64(), "lead": pa.int32(), "span": pa.binary(), "k1": pa.int64(), "first": pa.int32()}
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], list(kinds))
+
+        for b in parts_of(batches, 400):
             out: list[tuple] = []
-            for k1, text, places in zip(b["k1"], b["text"], b["anchors"]):
+            for k1, text, places in zip(*[b.column(c).to_pylist() for c in ("k1", "text", "anchors")]):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in places:
                     first, lead, more = r["windows"] >> 24, r["windows"] >> 12 & 4095, r["windows"] & 4095
@@ -207,12 +213,12 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
                         p = xxhash.xxh64_intdigest(span, seed=(p + lead) % 2**64) - 2**63
                     out.append((p, r["hot"], r["h"], lead, span, k1, first))
                     if len(out) > 10_000:
-                        yield pd.DataFrame(out, columns=columns)
+                        yield rows(out)
                         out = []
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield rows(out)
 
-    spans = wanted.join(known, "k1").mapInPandas(take, "p long, hot boolean, h long, lead int, span binary, k1 long, first int")
+    spans = wanted.join(known, "k1").select("k1", "text", "anchors").mapInArrow(take, "p long, hot boolean, h long, lead int, span binary, k1 long, first int")
 
     def covered(spans: list[bytes], owners: list[list[tuple]]) -> list[tuple]:
         index, out = RunLengthIndex(spans), []
@@ -294,21 +300,29 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
     return found.where("kind = 0").select("k1", "start", "stop").unionByName(hits)
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """rows with k1, a 64-bit number of the text: its hash, or a second hash where another text has the same first one."""
+    both = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("second"), "text"))
+    clash = both.groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x <> y").select("k1", F.lit(True).alias("other"))
+    if not clash.limit(1).count():  # of 2 ** 32 texts about one pair is expected, of 2 ** 36 some hundred
+        return both.drop("k2")
+    return both.join(F.broadcast(clash), "k1", "left").withColumn("k1", F.when(F.col("other"), F.col("k2")).otherwise(F.col("k1"))).drop("k2", "other")
+
+
 def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.octet_length(text).alias("n"))
+    rows = apart(docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("n")))
     again = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # a text that occurs twice stands in for all its copies in the search and is then removed whole
     spans = repeated(rows, length, gram).groupBy("k1").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
-    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
-    def cut(texts: pd.Series, spans: pd.Series, times: pd.Series) -> pd.DataFrame:
+    def cut(rows: list[dict]) -> list[dict]:
         out = []
-        for t, found, n in zip(texts, spans, times):
-            data = t.encode("utf-8", "surrogatepass")
-            runs = [] if found is None else sorted((r["start"], r["stop"]) for r in found)
-            if n > 1 and len(data) >= length:
+        for r in rows:
+            data = r["text"].encode("utf-8", "surrogatepass")
+            runs = sorted((s["start"], s["stop"]) for s in r["spans"] or [])
+            if (r["times"] or 1) > 1 and len(data) >= length:
                 runs = [(0, len(data))]
             merged: list[list[int]] = []
             for a, b in runs:
@@ -321,8 +335,10 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            out.append((sum(b - a for a, b in merged), len(merged), hashlib.sha256(b"".join(kept)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
+            out.append({"n_removed": sum(b - a for a, b in merged), "n_spans": len(merged), "kept_sha256": hashlib.sha256(b"".join(kept)).hexdigest()})
+        return out
+
+    cut_ = by_parts(cut, "n_removed long, n_spans long, kept_sha256 string", pa.struct({"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}))
 
     joined = rows.join(spans, "k1", "left").join(again, "k1", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_bytes"), cut("text", "spans", F.coalesce("times", F.lit(1))).alias("c")).select("doc_id", "n_bytes", "c.*")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_bytes"), cut_(F.struct("text", "spans", "times")).alias("c")).select("doc_id", "n_bytes", "c.*")

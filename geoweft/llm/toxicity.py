@@ -16,17 +16,16 @@ label of one of the classes every score is 0. Texts are read whole; repeated wor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from geoweft.llm.common import Memo, fold, kept
+from geoweft.llm.common import Memo, by_parts, fold, kept
 
 WORD = re.compile(r"\w+").findall
 
@@ -127,21 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    order = W.partitionBy("toxic").orderBy("draw", "doc_id")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return train([], np.zeros(0))
     share = F.when(F.col("toxic") == 1, min(1.0, 2 * per_class / sizes[1])).otherwise(min(1.0, 2 * per_class / sizes[0]))
-    some = (
-        known.withColumn("draw", F.xxhash64("doc_id")).where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000)
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
-        .select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    )
-
-    @F.pandas_udf("binary")
-    def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_set(t).tobytes() for t in texts])
+    drawn = known.withColumn("draw", F.xxhash64("doc_id")).where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000)
+    each = [drawn.where(F.col("toxic") == c).orderBy("draw", "doc_id").limit(per_class) for c in (0, 1)]
+    some = each[0].unionByName(each[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
 
+    terms = by_parts(lambda texts: [term_set(t).tobytes() for t in texts], "binary", pa.binary())
     # the sample has 2 * per_class rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "__toxic", terms("text").alias("terms")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
@@ -149,18 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
 
 
 def score(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at = model.lookup()
-        for texts in batches:
-            out = []
-            for t in texts:
-                found: set[int] = set()
-                found.update(*map(at.__getitem__, set((t or "").lower().split())))
-                out.append(model.score(np.array(sorted(found), np.int64)))
-            yield pd.Series(out, dtype="float64")
-
-    return scores(text)
+    name = f"terms of {uuid.uuid4().hex}"
+
+    def scores(texts: list[str | None]) -> list[float]:
+        at, out = kept(name, model.lookup), []
+        for t in texts:
+            found: set[int] = set()
+            found.update(*map(at.__getitem__, set((t or "").lower().split())))
+            out.append(model.score(np.array(sorted(found), np.int64)))
+        return out
+
+    return by_parts(scores, "double", pa.float64())(text)
 
 
 def rate(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, least: float = 0.7) -> DataFrame:
