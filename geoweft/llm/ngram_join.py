@@ -9,8 +9,9 @@ can matter:
    good one keeps frequent shingles out.
 3. A pair at or above the bound shares a shingle among the first |A| - ceil(least |A|) + 1 of both. Only those
    entries are shuffled, by shingle. Within a column the sizes and positions bound the overlap that is still
-   possible, and pairs below what their sizes ask for are discarded. Columns with up to `wide` rows give all pairs
-   left; in wider ones each row meets a pivot and its neighbour in size.
+   possible. Columns with up to `wide` rows count all pairs of fitting sizes; the counts are added up over all blocks of
+   columns, and pairs below the overlap that their sizes ask for are discarded. In wider columns each row meets a pivot
+   and its neighbour in size.
 4. Blocks of the product: the rows to be held against each other are gathered as a block (its rows' whole sets,
    once each) and the rows asked about; a block is inverted to postings, the overlaps of an asked row with all rows of
    the block are accumulated over its shingles, and counts below the bound are discarded. Links leave, pairs don't.
@@ -43,6 +44,7 @@ from geoweft.tables import materialize
 
 #: Slots of the count sketch, and of each block of it that travels.
 SLOTS, BLOCK = 1 << 22, 1 << 16
+NAMES = ["shingle", "a", "b", "n", "m", "place", "hits"]
 #: Slots of the fixed filter that says which sets are worth fetching.
 FILTER = 1 << 23
 
@@ -203,9 +205,10 @@ def _columns(batches: Iterator[pd.DataFrame], keep: int = 0) -> Iterator[pd.Data
 
 
 def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
-    """shingle, a, b, n, place: candidate pairs (shingle 0; a is the smaller set, ties by key), and the entries (key as a,
-    b 0) of wide columns."""
-    schema = "shingle long, a long, b long, n int, place int"
+    """shingle, a, b, n, m, place, hits: counts of pairs (shingle 0; a is the smaller set, ties by key; n and m are their
+    sizes, hits the narrow columns that they share, place 1 if one of them allows a link), and the entries (key as a,
+    b 0) of wide columns. Pairs of wide columns have no hits."""
+    schema = "shingle long, a long, b long, n int, m int, place int, hits int"
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: set = set()
@@ -219,11 +222,18 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             width = np.diff(np.append(start, len(h)))
             row, whole = np.arange(len(h)) - np.repeat(start, width), np.repeat(width, width)
-            x, y = [], []
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for gap in range(1, int(min(wide, width.max()))):
-                i = np.flatnonzero(((whole <= wide) | (gap == 1)) & (row + gap < whole))
+                i = np.flatnonzero((whole <= wide) & (row + gap < whole))
+                i = i[100 * n[i] >= percent * n[i + gap]]
                 x.append(i), y.append(i + gap)
-            columns = []
+            i, j = np.concatenate(x), np.concatenate(y)
+            if len(i):
+                counts = pd.DataFrame({"a": key[i], "b": key[j], "n": n[i], "m": n[j], "place": _possible(n[i], p[i], n[j], p[j], percent).astype(np.int32), "hits": 1})
+                counts = counts.groupby(["a", "b"], sort=False, as_index=False).agg({"n": "first", "m": "first", "place": "max", "hits": "sum"})
+                yield counts.assign(shingle=0)[NAMES]
+            near = np.flatnonzero((whole > wide) & (row + 1 < whole))
+            x, y, columns = [near], [near + 1], []
             for s, w in zip(start[width > wide], width[width > wide]):
                 at, i = s, s + 1
                 while i < s + w:  # a new pivot where a row is too large for the last one
@@ -233,20 +243,34 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
                 columns.append((h[s : s + w], key[s : s + w], n[s : s + w], p[s : s + w]))
             i, j = np.concatenate(x), np.concatenate(y)
             ok = _possible(n[i], p[i], n[j], p[j], percent)
-            new = [q for q in set(zip(key[i[ok]].tolist(), key[j[ok]].tolist())) if q not in made]
-            if len(made) > 300_000:
+            i, j = i[ok], j[ok]
+            new = [q for q in set(zip(key[i].tolist(), key[j].tolist(), n[i].tolist(), n[j].tolist())) if q not in made]
+            if len(made) > 200_000:
                 made.clear()
             made.update(new)
             if new:
-                a, c = np.array(new, np.int64).T
-                yield pd.DataFrame({"shingle": 0, "a": a, "b": c, "n": 0, "place": 0})
+                a, c, an, cn = np.array(new, np.int64).T
+                yield pd.DataFrame({"shingle": 0, "a": a, "b": c, "n": an, "m": cn, "place": 1, "hits": 0})[NAMES]
             for hs, ks, ns, ps in columns:
-                yield pd.DataFrame({"shingle": hs, "a": ks, "b": 0, "n": ns, "place": ps})
+                yield pd.DataFrame({"shingle": hs, "a": ks, "b": 0, "n": ns, "m": 0, "place": ps, "hits": 0})[NAMES]
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
     return dealt.mapInPandas(multiply, schema)
 
 
+def counted(made: DataFrame, percent: int) -> DataFrame:
+    """cell, key: the pairs of products() whose accumulated hits still allow a link. What two sets share is in both of their
+    prefixes or in the rest of the one whose prefix ends first; of shared wide columns there are no more than either has."""
+    pairs = made.where("shingle = 0 and b <> 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("place").alias("place"), F.first("n").alias("n"), F.first("m").alias("m")).where("place = 1")
+    broad = materialize(made.where("b = 0").select("shingle", "a").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("broad")), "broad")
+    for end in ("a", "b"):
+        pairs = pairs.join(broad.select(F.col("a").alias(end), F.col("broad").alias(f"broad_{end}")), end, "left")
+    both = F.least(F.coalesce("broad_a", F.lit(0)), F.coalesce("broad_b", F.lit(0)))
+    rest = F.greatest(F.expr(f"({percent} * n + 99) div 100 - 1"), F.expr(f"({percent} * m + 99) div 100 - 1"))
+    asked = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    return pairs.where(F.col("hits") + both + rest >= asked).select(F.col("a").alias("cell"), F.col("b").alias("key"))
+
+
 def crossing(columns: DataFrame, percent: int, block: int = 5000) -> DataFrame:
     """key, component, cell: rows of wide columns to be held against another component (cell), the larger one of a pair
     of rows that may link; columns has shingle, key, n, place, component and its number of rows, `held`.
@@ -390,7 +414,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 4, pe
         return linked(blocks, fetched(docs, blocks.select("key"), firsts, size), percent)
 
     made = materialize(products(prefixes(docs, level, size, percent), percent, wide), "products")
-    pairs = made.where("shingle = 0 and b <> 0").select(F.col("a").alias("cell"), F.col("b").alias("key")).distinct()
+    pairs = materialize(counted(made, percent), "pairs")
     first = materialize(held(pairs.select("cell", F.col("cell").alias("key")).distinct(), pairs), "links")
     class_of = materialize(components(first, "cell", "key"), "classes")
     sizes = class_of.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
