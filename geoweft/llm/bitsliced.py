@@ -8,18 +8,23 @@ Only the upper slices of attributes are added first, which gives a lower bound o
 what is missing. The k-th largest bound is found from the most significant slice downward; rows whose bound is
 within the width of it are the boundary rows, and those are resolved with exact integer products.
 
-Queries meet all rows in blocks: a row goes to one of `salts` blocks, queries come in groups of `per_group`, and a
-pair of a group and a block is one task's work. Each leaves k rows a query, and the best k of those are the result.
-
-Defined cases: vectors that are null, empty, hold null or non-finite components, or whose quantised components do not
-fit 31 bits take no part; null ids take no part; a query meets only vectors of its own length and never a row with
-its own id; repeated rows count each; ties go to the smaller id; fewer than k others give all of them.
+Rows are dealt into blocks once and stay there: a block is indexed and all queries stream past it. Each block leaves k
+rows a query, and the best k of those are the result. What a task holds is its block, whatever the number of queries.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part; null ids take no part; a query
+meets only vectors of its own length (those of length 0 score 0) and never a row with its own id; repeated rows count
+each; ties go to the smaller id; fewer than k others give all of them. Vectors with a component of 2 ** 21 or more in
+size are scored by whole numbers of any length beside the index; a score that no long can hold is given as the nearest
+long, and such scores rank by their first 40 bits or so.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -122,63 +127,109 @@ class Index:
         return np.flatnonzero(found)
 
 
-def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """id, v: array<int> of floor(scale * component)."""
-    v = F.transform("vector", lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float(2**31)) / scale))
-    there = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where((F.size("vector") > 0) & F.coalesce(fine, F.lit(False)))
-    return there.select("id", F.transform(v, lambda x: x.cast("long")).alias("v"))
+#: Components from here on are scored beside the index.
+WIDE = 2.0**21
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, per_block: int = 16_384, per_group: int = 2_048) -> DataFrame:
-    """query_id, rank, id, score; both frames have id and v as quantised() gives them."""
-    salts = max(1, -(-vectors.count() // per_block))
-    groups = max(1, -(-queries.count() // per_group))
-    rows = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "v")
-    asked = queries.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "v")
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "id", "score"]
-        if not len(rows) or not len(asked):
-            return pd.DataFrame([], columns=names).astype("int64")
-        ids = rows["id"].to_numpy()
-        x = np.stack(rows["v"].to_numpy()).astype(np.int64)
+def finite(vectors: DataFrame) -> DataFrame:
+    """id, v: array<double>, of the rows that take part."""
+    v = F.transform("vector", lambda x: x.cast("double"))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False))).select("id", v.alias("v"))
+
+
+def whole(x: list[float], scale: int) -> list[int]:
+    """floor(scale * x), whatever its size."""
+    return [int(c) * scale if abs(c) >= 2.0**52 else math.floor(c * scale) for c in x]
+
+
+def near(s: int) -> float:
+    """Ordered as s is, for whole numbers that no double can hold: the number of bits and the first of them."""
+    bits = abs(s).bit_length()
+    return (bits + (abs(s) >> max(0, bits - 53)) / 2**53) * (1 if s >= 0 else -1)
+
+
+class Block:
+    """Rows that queries stream past: ids and vectors, indexed in parts; those with wide components apart."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, scale: int, most: int):
+        self.scale = scale
+        narrow = (np.abs(x) < WIDE).all(1)
+        self.wide = [(i, whole(v, scale)) for i, v in zip(ids[~narrow].tolist(), x[~narrow].tolist())]
+        ids, x = ids[narrow], x[narrow]
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        index, out = Index(x), []
-        wide = int(np.abs(x).max()) > 1 << 20
-        for q_id, v in zip(asked["id"], asked["v"]):
-            q = np.asarray(v, np.int64)
+        ids, y = ids[order], np.floor(scale * x[order]).astype(np.int64)
+        self.parts = [(ids[k : k + most], Index(y[k : k + most]) if y.shape[1] else None, y[k : k + most]) for k in range(0, len(ids), most)]
+
+    def best(self, q_id: int, v: list[float], k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows with another id."""
+        q = whole(v, self.scale)
+        narrow = all(abs(c) < WIDE for c in v)
+        found = [(sum(a * b for a, b in zip(w, q)), i) for i, w in self.wide if i != q_id]
+        for ids, index, y in self.parts:
             own = np.arange(np.searchsorted(ids, q_id), np.searchsorted(ids, q_id, "right"))
-            at = index.top(q, k, own)
-            if wide or int(np.abs(q).max()) > 1 << 20:
-                score = np.array([sum(a * b for a, b in zip(r, q.tolist())) for r in x[at].tolist()], object)
+            if index is None or not narrow:
+                at = np.setdiff1d(np.arange(len(ids)), own)
+            else:
+                at = index.top(np.array(q, np.int64), k, own)
+            if narrow and max(map(abs, q), default=0) < 1 << 20 and (not y.size or int(np.abs(y[at]).max(initial=0)) < 1 << 20):
+                score = (y[at] @ np.array(q, np.int64).reshape(-1)).tolist()
             else:
-                score = x[at] @ q
-            best = np.argsort(-score, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": q_id, "id": ids[at[best]], "score": score[best]}))
-        return pd.concat(out)
-
-    key = ["dim", "salt", "group"]
-    found = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, "query_id long, id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                score = [sum(a * b for a, b in zip(r, q)) for r in y[at].tolist()]
+            found += zip(score, ids[at].tolist())
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, per_block: int = 32_768) -> DataFrame:
+    """query_id, rank, id, score; both frames have id and v as finite() gives them."""
+    salts = max(1, -(-vectors.count() // per_block))
+    rows = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(salts)).cast("int").alias("salt"), F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), "v")
+    asked = queries.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), "v")
+    low, high = -(2**63), 2**63 - 1
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("dim", "salt", "side")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for start, end in zip(cuts, cuts[1:]):
+                dim, salt, side = key[start].tolist() if end > start else (0, 0, 0)
+                if end == start:
+                    continue
+                if (dim, salt) != now:
+                    now, held, block = (dim, salt), [], None
+                ids, v = b.column("id").slice(start, end - start).to_numpy(), b.column("v").slice(start, end - start).flatten().to_numpy().reshape(-1, dim) if dim else np.zeros((end - start, 0))
+                if side == 0:
+                    held.append((ids.copy(), v.copy()))
+                    continue
+                if block is None and held:
+                    block = Block(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]), scale, per_block)
+                    held = []
+                if block is None:
+                    continue
+                out = [(q_id, i, min(max(s, low), high), near(s)) for q_id, q in zip(ids.tolist(), v.tolist()) for s, i in block.best(q_id, q, k)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score", "near"])
+
+    dealt = rows.unionByName(asked).repartition("dim", "salt").sortWithinPartitions("dim", "salt", "side", "id")
+    found = dealt.mapInArrow(search, "query_id long, id long, score long, near double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(F.col("score").isin(low, high), F.col("near"))), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, **sizes: int) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by `every`."""
-    v = quantised(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    v = finite(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
     return top_k(v, v.where(F.pmod("id", F.lit(every)) == 0), k, **sizes).withColumnRenamed("id", "vec_id")
 
 
 SQL = """
 with v as (
-  select vec_id, [cast(floor(1024e0 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len([x for x in embedding if x is null or not isfinite(x) or abs(x) >= 2097152e0]) = 0),
+  select vec_id, [cast(floor(1024e0 * cast(x as double)) as hugeint) for x in embedding] as e from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 q as (select vec_id as query_id, e as f from v where vec_id % 100 = 0),
 scored as (
-  select query_id, vec_id, cast(list_sum([e[i] * f[i] for i in range(1, len(e) + 1)]) as bigint) as score
+  select query_id, vec_id, cast(coalesce(list_sum([e[i] * f[i] for i in range(1, len(e) + 1)]), 0) as bigint) as score
   from q join v on vec_id <> query_id and len(e) = len(f)),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
