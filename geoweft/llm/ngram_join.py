@@ -127,11 +127,14 @@ def frequency(profile: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": [rows["block"].iat[0]], "counts": [zstandard.compress(total.tobytes(), 1)], "part": [0]})
 
     first = parts.groupBy("block", (F.col("part") % groups).alias("g")).applyInPandas(add, "block int, counts binary, part int")
-    total = np.zeros(SLOTS, np.float64)
-    for r in first.groupBy("block").applyInPandas(add, "block int, counts binary, part int").collect():
+    total = np.zeros(SLOTS, np.float32)
+    for r in first.groupBy("block").applyInPandas(add, "block int, counts binary, part int").toLocalIterator():
         total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.decompress(r["counts"]), "<u8")
-    middle = np.median(total)
-    return np.minimum(255, np.round(8 * np.log2(1 + np.maximum(total - middle, 0) / (2 * np.sqrt(middle + 1))))).astype(np.uint8)
+    middle, level = np.median(total), np.zeros(SLOTS, np.uint8)
+    for k in range(0, SLOTS, BLOCK):  # block by block, as the driver's memory is small
+        above = np.maximum(total[k : k + BLOCK] - middle, 0)
+        level[k : k + BLOCK] = np.minimum(255, np.round(8 * np.log2(1 + above / (2 * np.sqrt(middle + 1)))))
+    return level
 
 
 def fewest(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
