@@ -13,16 +13,19 @@ from geoweft.functions import geo
 
 
 def tiles_of(pixels: DataFrame, size: int = 512) -> DataFrame:
-    """Pixels (dataset, level, band, col, row, value) to full tiles; missing pixels are null."""
+    """Pixels (dataset, level, band, col, row, value), each once, to full tiles; missing pixels are null. A tile's pixels are
+    put in order by one sort of what there is and what is missing."""
+    key = ["dataset", "level", "band"]
+    extent = pixels.groupBy(*key).agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
     keyed = pixels.withColumn("tile_col", F.floor(F.col("col") / size).cast("int")).withColumn("tile_row", F.floor(F.col("row") / size).cast("int"))
-    extent = keyed.groupBy("dataset", "level", "band").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
-    grouped = keyed.groupBy("dataset", "level", "band", "tile_col", "tile_row").agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % size * size + F.col("col") % size).cast("int"), "value"))).alias("m"))
-    out = grouped.join(F.broadcast(extent), ["dataset", "level", "band"])
+    entry = F.struct((F.col("row") % size).cast("int").alias("y"), (F.col("col") % size).cast("int").alias("x"), F.col("value").cast("double").alias("value"))
+    out = keyed.groupBy(*key, "tile_col", "tile_row").agg(F.collect_list(entry).alias("there")).join(extent, key)
     out = out.withColumn("width", F.least(F.lit(size), F.col("w") - F.col("tile_col") * size).cast("int")).withColumn("height", F.least(F.lit(size), F.col("h") - F.col("tile_row") * size).cast("int"))
-    at = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
-    # entries sorted by place are merged with the full range by a second pass over the map's arrays
-    data = F.transform(at, lambda i: F.try_element_at("m", (F.floor(i / F.col("width")) * size + i % F.col("width")).cast("int")))
-    return out.select("dataset", "level", "band", "tile_col", "tile_row", "width", "height", data.alias("data"))
+    out = out.withColumn("there", F.transform("there", lambda e: F.struct((e["y"] * F.col("width") + e["x"]).alias("i"), e["value"].alias("value"))))
+    missing = F.array_except(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), F.transform("there", lambda e: e["i"]))
+    every = F.sort_array(F.concat("there", F.transform(missing, lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("value")))))
+    data = F.when(F.size(every) == F.col("width") * F.col("height"), F.transform(every, lambda e: e["value"])).otherwise(F.raise_error(F.lit("a pixel occurs twice")))
+    return out.select(*key, "tile_col", "tile_row", "width", "height", data.alias("data"))
 
 
 def pixels_of(tiles: DataFrame, size: int = 512) -> DataFrame:
@@ -51,11 +54,11 @@ def _lookup(at: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     keyed = at.withColumn("tile_col", F.floor(F.col("col") / size).cast("int")).withColumn("tile_row", F.floor(F.col("row") / size).cast("int"))
     t = tiles.where("level = 0").select("dataset", "band", "tile_col", "tile_row", "width", "data")
     i = (F.col("row") - F.col("tile_row") * size) * F.col("width") + F.col("col") - F.col("tile_col") * size
-    return keyed.join(t, ["dataset", "tile_col", "tile_row"]).withColumn("value", F.get("data", i.cast("int"))).drop("data", "width", "tile_col", "tile_row")
+    return keyed.join(t, ["dataset", "tile_col", "tile_row"], "left").withColumn("value", F.get("data", i.cast("int"))).drop("data", "width", "tile_col", "tile_row")
 
 
 def pixel_values(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int = 512) -> DataFrame:
-    """qid, inside, col, row, band, value: null for NoData and one row without band for points outside."""
+    """qid, inside, col, row, band, value: null for NoData; one row without band for points outside or where the tile is missing."""
     p = located(points, meta)
     inside = p.where("inside").withColumn("col", F.floor("px").cast("int")).withColumn("row", F.floor("py").cast("int"))
     found = _lookup(inside, tiles, size).select("qid", "inside", "col", "row", "band", F.when(~geo.is_nodata(F.col("value"), F.col("nodata")), F.col("value")).alias("value"))

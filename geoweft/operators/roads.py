@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,59 +92,176 @@ def max_speed_mps(edges_: DataFrame) -> DataFrame:
     return car.select(F.explode(rows).alias("r")).select("r.mode", (F.col("r.v") / 3.6).alias("vmax"))
 
 
-def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """Labels od_id, node, g, edge_id, pred of od (od_id, src, dst, mode): label-correcting relaxation, one hop a round.
-
-    dst may be null (one to all). A label that is no better than the target's best is not carried on; with nodes and vmax
-    the straight line to the target at top speed is added to it first, which is never too much. Each round's labels are
-    written to the shared folder."""
-    cost = materialize(cost, "cost")
-    asked = materialize(od.select("od_id", "src", "dst", "mode"), "od")
+#: Nodes of a cell: a range of node numbers, the unit that one step of a search works through at once.
+CELL = 1024
+_TREE = "src long, mode string, cell long, g array<double>, edge_id array<long>, pred array<long>"
+
+
+def _cell(node: str):
+    return F.floor(F.col(node) / CELL)
+
+
+def _relaxed(rows: pa.Table, edges: pa.Table) -> pa.Table:
+    """Settles one cell for many sources: messages (cheaper ways into the cell) go along the cell's edges until nothing gets
+    cheaper; edges that leave it make the messages of the next round."""
+    n, none = rows.num_rows, np.int64(-1)
+    best, via, pred = np.full((n, CELL), np.inf), np.full((n, CELL), none), np.full((n, CELL), none)
+    had = np.flatnonzero(rows.column("g").is_valid().to_numpy())
+    if len(had):
+        for out, name in ((best, "g"), (via, "edge_id"), (pred, "pred")):
+            out[had] = rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, CELL)
+    bound = np.nan_to_num(rows.column("bound").to_numpy().astype(np.float64), nan=np.inf) + 1e-6
+    told = rows.column("told").combine_chunks()
+    row = np.repeat(np.arange(n), told.value_lengths().to_numpy())
+    node, g, edge, frm = (told.flatten().field(k).to_numpy() for k in ("node", "g", "edge_id", "pred"))
+    ok = g < best[row, node % CELL]
+    row, at = row[ok], node[ok] % CELL
+    best[row, at], via[row, at], pred[row, at] = g[ok], edge[ok], frm[ok]
+    fresh = np.zeros((n, CELL), bool)
+    fresh[row, at] = True
+    moved = fresh.copy()
+    e = {k: edges.column(k).to_numpy() for k in ("edge_id", "src", "dst", "cost", "dlon", "dlat")}
+    inner = edges.column("inner").to_numpy().astype(bool)
+    order = np.flatnonzero(inner)[np.lexsort((e["edge_id"][inner], e["dst"][inner]))]
+    src, dst, cost = e["src"] % CELL, e["dst"] % CELL, e["cost"]
+    while True:
+        use, act = order[fresh.any(0)[src[order]]], np.flatnonzero(fresh.any(1))
+        fresh = np.zeros((n, CELL), bool)
+        if not len(use) or not len(act):
+            break
+        to, start = np.unique(dst[use], return_index=True)  # edges are in order of their targets
+        way = best[np.ix_(act, src[use])] + cost[use]
+        way[way > bound[act, None]] = np.inf
+        least = np.minimum.reduceat(way, start, axis=1)
+        first = np.minimum.reduceat(np.where(way == np.repeat(least, np.diff(np.append(start, len(use))), axis=1), np.arange(len(use)), len(use)), start, axis=1)
+        i, j = np.nonzero(least < best[np.ix_(act, to)])
+        taken = use[first[i, j]]
+        best[act[i], to[j]], via[act[i], to[j]], pred[act[i], to[j]] = least[i, j], e["edge_id"][taken], e["src"][taken]
+        fresh[act[i], to[j]] = True
+        moved |= fresh
+    out = np.flatnonzero(~inner)
+    i, j = np.nonzero(moved[:, src[out]])
+    way, leave = best[i, src[out[j]]] + cost[out[j]], out[j]
+    if "tlon" in rows.column_names:  # with the straight line to the nearest target at top speed, which is never too much
+        far = np.full(len(i), np.inf)
+        lists = [rows.column(c).to_pylist() for c in ("tlon", "tlat", "vmax")]
+        for s in np.unique(i):
+            here = i == s
+            x, y, v = (lists[k][s] for k in range(3))
+            if not x or v is None or None in x:
+                far[here] = 0.0
+                continue
+            lon, lat = np.radians(e["dlon"][leave[here]]), np.radians(e["dlat"][leave[here]])
+            for tx, ty in zip(np.radians(x), np.radians(y)):
+                h = np.sin((ty - lat) / 2) ** 2 + np.cos(lat) * np.cos(ty) * np.sin((tx - lon) / 2) ** 2
+                far[here] = np.fmin(far[here], 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1))) / v)
+        ok = way + np.nan_to_num(far) <= bound[i]
+    else:
+        ok = way <= bound[i]
+    i, way, leave = i[ok], way[ok], leave[ok]
+    tell = pa.StructArray.from_arrays([pa.array(e["dst"][leave]), pa.array(way), pa.array(e["edge_id"][leave]), pa.array(e["src"][leave])], ["node", "g", "edge_id", "pred"])
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(i, minlength=n))).astype(np.int32))
+    fixed = pa.array(np.arange(0, n * CELL + 1, CELL, dtype=np.int32))
+    lists = [pa.ListArray.from_arrays(fixed, pa.array(x.reshape(-1))) for x in (best, via, pred)]
+    return pa.Table.from_arrays([*(rows.column(c) for c in ("src", "mode", "cell")), *lists, pa.ListArray.from_arrays(offsets, tell)], ["src", "mode", "cell", "g", "edge_id", "pred", "tell"])
+
+
+def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax: DataFrame | None = None, max_rounds: int = 10_000, per_task: int = 256) -> DataFrame:
+    """Least-time trees of od (od_id, src, dst, mode): a row for each source, mode and cell of CELL node numbers, with the
+    cell's nodes in order: g (infinite where not reached), edge_id and pred (-1 at the source).
+
+    Pairs that share source and mode share a tree. A round settles every cell that got a cheaper way in, for up to about
+    `per_task` sources a task, so there are as many rounds as cells on a way, not edges. Once all targets of a tree are
+    reached, nothing dearer than the dearest of them is carried on; with nodes and vmax neither is what the straight line at top
+    speed makes dearer. dst may be null (one to all); pairs without src have no tree. Each round is written to the shared folder."""
+    tree = ["src", "mode"]
+    asked = materialize(od.where("src is not null").select("src", "mode", "dst").distinct(), "asked")
+    targets = asked.withColumn("cell", _cell("dst"))
+    known = asked.groupBy(*tree).agg(F.bool_or(F.col("dst").isNull()).alias("all"))
+    place = (nodes if nodes is not None else asked.select(F.col("src").alias("node_seq"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat")).limit(0)).select("node_seq", "lon", "lat")
     if nodes is not None:
-        at = nodes.select(F.col("node_seq").alias("dst"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-        asked = materialize(asked.join(at, "dst", "left").join(F.broadcast(vmax), "mode", "left"), "od")
-    start = asked.select("od_id", F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("pred"))
-    labels = materialize(start, "labels")
-    frontier = labels
+        there = asked.join(place.withColumnRenamed("node_seq", "dst"), "dst", "left").groupBy(*tree).agg(F.collect_list("lon").alias("tlon"), F.collect_list("lat").alias("tlat"), F.count_if(F.col("lon").isNull()).alias("lost"))
+        known = known.join(there, tree).join(vmax, "mode", "left").withColumn("vmax", F.when(~F.col("all") & (F.col("lost") == 0), F.col("vmax"))).drop("lost")
+    known = materialize(known, "trees")
+    salts = max(1, -(-known.count() // per_task))
+    salt = F.pmod(F.xxhash64("src"), F.lit(salts))
+    edges_ = cost.join(place.select(F.col("node_seq").alias("dst"), F.col("lon").alias("dlon"), F.col("lat").alias("dlat")), "dst", "left")
+    edges_ = materialize(edges_.select("mode", _cell("src").alias("cell"), "edge_id", "src", "dst", "cost", "dlon", "dlat", (_cell("src") == _cell("dst")).alias("inner")), "edges")
+    tell = F.struct(F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(-1).cast("long").alias("edge_id"), F.lit(-1).cast("long").alias("pred"))
+    told = known.select(*tree, _cell("src").alias("cell"), F.array(tell).alias("told"))
+    state, reached = None, None
     for _ in range(max_rounds):
-        here = frontier.select("od_id", F.col("node").alias("pred"), "g").join(asked, "od_id")
-        step = here.drop("src").join(cost.withColumnRenamed("dst", "node"), (F.col("pred") == cost["src"]) & (here["mode"] == cost["mode"])).select("od_id", "node", (F.col("g") + F.col("cost")).alias("g"), "edge_id", "pred")
-        cand = step.groupBy("od_id", "node").agg(F.min(F.struct("g", "edge_id", "pred")).alias("c")).select("od_id", "node", "c.*")
-        old = labels.select("od_id", "node", F.col("g").alias("old"))
-        better = cand.join(old, ["od_id", "node"], "left").where(F.col("old").isNull() | (F.col("g") < F.col("old"))).drop("old")
-        best = labels.join(asked.select("od_id", F.col("dst").alias("node")), ["od_id", "node"]).select("od_id", F.col("g").alias("best"))
-        kept = better.join(best, "od_id", "left")
-        if nodes is not None:
-            place = nodes.select(F.col("node_seq").alias("node"), "lon", "lat")
-            kept = kept.join(asked.select("od_id", "tlon", "tlat", "vmax"), "od_id").join(place, "node")
-            kept = kept.withColumn("h", F.coalesce(geo.haversine("lon", "lat", "tlon", "tlat") / F.col("vmax"), F.lit(0.0))).where(F.col("best").isNull() | (F.col("g") + F.col("h") <= F.col("best") + 1e-6))
+        rows = told.join(known, tree)
+        if state is None:
+            rows = rows.withColumns({"g": F.lit(None).cast("array<double>"), "edge_id": F.lit(None).cast("array<long>"), "pred": F.lit(None).cast("array<long>"), "bound": F.lit(None).cast("double")})
         else:
-            kept = kept.where(F.col("best").isNull() | (F.col("g") < F.col("best")))
-        frontier = materialize(kept.select("od_id", "node", "g", "edge_id", "pred"), "frontier")
-        if frontier.limit(1).count() == 0:
-            return labels
-        labels = materialize(labels.join(frontier.select("od_id", "node"), ["od_id", "node"], "left_anti").unionByName(frontier), "labels")
+            rows = rows.join(state, [*tree, "cell"], "left").join(bound, tree, "left")
+        rows = rows.withColumn("salt", salt)
+        lanes = edges_.join(rows.select("mode", "cell", F.col("salt").alias("lane")).distinct(), ["mode", "cell"])
+        settled = rows.groupBy("mode", "cell", "salt").cogroup(lanes.groupBy("mode", "cell", "lane")).applyInArrow(_relaxed, f"{_TREE}, tell array<struct<node: long, g: double, edge_id: long, pred: long>>")
+        new = materialize(settled, "settled")
+        found = targets.join(new.select(*tree, "cell", "g"), [*tree, "cell"]).select(*tree, "dst", F.get("g", F.pmod("dst", F.lit(CELL)).cast("int")).alias("g"))
+        reached = materialize((found if reached is None else reached.unionByName(found)).groupBy(*tree, "dst").agg(F.min("g").alias("g")), "reached")
+        bound = asked.join(reached, [*tree, "dst"], "left").groupBy(*tree).agg(F.when(F.bool_and(F.coalesce(F.col("g") < float("inf"), F.lit(False))), F.max("g")).alias("bound")).where("bound is not null")
+        bound = materialize(asked.groupBy(*tree).agg(F.count_if(F.col("dst").isNull()).alias("open")).where("open = 0").join(bound, tree).drop("open"), "bound")
+        trees = new.drop("tell")
+        state = materialize(trees if state is None else state.join(trees.select(*tree, "cell"), [*tree, "cell"], "left_anti").unionByName(trees), "trees")
+        ways = new.select(*tree, F.explode("tell").alias("t")).groupBy(*tree, F.col("t.node").alias("node")).agg(F.min(F.struct("t.g", "t.edge_id", "t.pred")).alias("w"))
+        ways = ways.withColumn("cell", _cell("node")).join(bound, tree, "left").where("bound is null or w.g <= bound + 1e-6")
+        told = materialize(ways.groupBy(*tree, "cell").agg(F.collect_list(F.struct("node", "w.g", "w.edge_id", "w.pred")).alias("told")), "told")
+        if not told.limit(1).count():
+            return state
     raise RuntimeError(f"search not settled in {max_rounds} rounds")
 
 
-def visited(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("od_id").agg(F.countDistinct("node").alias("visited"))
+def labels(trees: DataFrame) -> DataFrame:
+    """src, mode, node, g, edge_id, pred of every node that search() reached; edge_id and pred are null at the source."""
+    each = trees.select("src", "mode", (F.col("cell") * CELL).alias("first"), F.posexplode(F.arrays_zip("g", "edge_id", "pred")).alias("i", "l")).where(F.col("l.g") < float("inf"))
+    return each.select("src", "mode", (F.col("first") + F.col("i")).alias("node"), "l.g", F.nullif("l.edge_id", F.lit(-1)).alias("edge_id"), F.nullif("l.pred", F.lit(-1)).alias("pred"))
+
+
+def reached(od: DataFrame, trees: DataFrame) -> DataFrame:
+    """od_id, g of the pairs whose target can be reached."""
+    at = od.select("od_id", "src", "mode", "dst", _cell("dst").alias("cell")).join(trees.select("src", "mode", "cell", "g"), ["src", "mode", "cell"])
+    return at.select("od_id", F.get("g", F.pmod("dst", F.lit(CELL)).cast("int")).alias("g")).where(F.col("g") < float("inf"))
+
 
+def visited(trees: DataFrame) -> DataFrame:
+    """Nodes that the tree of each source and mode holds."""
+    return trees.groupBy("src", "mode").agg(F.sum(F.size(F.filter("g", lambda g: g < float("inf")))).alias("visited"))
 
-def paths(od: DataFrame, labels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """od_id, back (0 for the last edge), edge_id: the predecessor edges walked back from the target."""
-    steps = od.select("od_id", F.col("dst").alias("node")).join(labels, ["od_id", "node"]).where("edge_id is not null")
-    out, now, back = None, materialize(steps.select("od_id", "edge_id", "pred"), "steps"), 0
-    while now.limit(1).count() and back < max_rounds:
-        part = now.select("od_id", F.lit(back).alias("back"), "edge_id")
+
+def paths(od: DataFrame, trees: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """od_id, back (0 for the last edge), edge_id: the tree edges walked back from the target, one cell a round."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                od_id, node, back = (b.column(c)[k].as_py() for c in ("od_id", "node", "back"))
+                via, pred = (b.column(c)[k].values.to_numpy() for c in ("edge_id", "pred"))
+                cell, steps = node // CELL, []
+                while node // CELL == cell and via[node % CELL] >= 0:
+                    steps.append(int(via[node % CELL]))
+                    node = int(pred[node % CELL])
+                out.append((od_id, steps, back, node if node // CELL != cell else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["od_id", "steps", "back", "node"])
+
+    found = reached(od, trees).select("od_id")
+    now = od.join(found, "od_id", "left_semi").select("od_id", "src", "mode", F.col("dst").alias("node"), F.lit(0).cast("long").alias("back"))
+    out = None
+    for _ in range(max_rounds):
+        at = now.withColumn("cell", _cell("node")).join(trees, ["src", "mode", "cell"]).select("od_id", "node", "back", "edge_id", "pred")
+        walked = materialize(at.mapInArrow(walk, "od_id long, steps array<long>, back long, node long"), "steps")
+        part = walked.select("od_id", "back", F.posexplode("steps").alias("i", "edge_id")).select("od_id", (F.col("back") + F.col("i")).alias("back"), "edge_id")
         out = part if out is None else out.unionByName(part)
-        prev = labels.select("od_id", F.col("node").alias("pred"), "edge_id", F.col("pred").alias("next"))
-        now = materialize(now.select("od_id", "pred").join(prev, ["od_id", "pred"]).where("edge_id is not null").select("od_id", "edge_id", F.col("next").alias("pred")), "steps")
-        back += 1
-    return out if out is not None else now.select("od_id", F.lit(0).alias("back"), "edge_id")
+        now = walked.where("node is not null").select("od_id", "node", (F.col("back") + F.size("steps")).alias("back")).join(od.select("od_id", "src", "mode"), "od_id")
+        if not walked.where("node is not null").limit(1).count():
+            return out
+    raise RuntimeError(f"paths not walked in {max_rounds} rounds")
 
 
-def routes(od: DataFrame, labels: DataFrame, steps: DataFrame, edges_: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def routes(od: DataFrame, trees: DataFrame, steps: DataFrame, edges_: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, segments). Header: status OK, NO_PATH or UNSNAPPED, duration, distance, ascent and descent (null if the
     graph knows no elevation), line in travel direction without repeated joints. Segment: neighbours of the same name
     and class merged."""
@@ -151,8 +272,8 @@ def routes(od: DataFrame, labels: DataFrame, steps: DataFrame, edges_: DataFrame
     joined = F.concat(F.slice(F.get(coords, 0)["line"], 1, 1), F.flatten(F.transform(coords, lambda c: F.slice(c["line"], 2, F.size(c["line"])))))
     total = e.groupBy("od_id").agg(F.sum("length_m").alias("distance_m"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") < 0, -F.col("d"))), F.lit(0.0)).alias("down"), joined.alias("line"))
     place = nodes.select(F.col("node_seq").alias("src"), geo.point(F.col("lon"), F.col("lat")).alias("p"))
-    goal = labels.select("od_id", F.col("node").alias("dst"), F.col("g").alias("duration_s"))
-    h = od.join(goal, ["od_id", "dst"], "left").join(total, "od_id", "left").join(place, "src", "left").crossJoin(F.broadcast(known))
+    goal = reached(od, trees).withColumnRenamed("g", "duration_s")
+    h = od.join(goal, "od_id", "left").join(total, "od_id", "left").join(place, "src", "left").crossJoin(F.broadcast(known))
     there = F.col("duration_s").isNotNull()
     status = F.when(F.col("src").isNull() | F.col("dst").isNull(), "UNSNAPPED").when(there, "OK").otherwise("NO_PATH")
     headers = h.select(

@@ -282,12 +282,12 @@ def out_degree(spark, d):
     return roads.edges(grid_links(spark, d)).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-SEARCH = f"""with recursive {LK}, cost as ({COST}), od as ({fx.OD}),
-best(od_id, node, g) using key (od_id, node) as (
- select od_id, src, 0e0 from od
+SEARCH = f"""with recursive {LK}, cost as materialized ({COST}), od as ({fx.OD}), trees as (select distinct src, mode from od),
+best(src, mode, node, g) using key (src, mode, node) as (
+ select src, mode, src, 0e0 from trees
  union all
- select c.od_id, c.dst, c.g from (select b.od_id, e.dst, min(b.g + e.cost) g from best b join od using (od_id) join cost e on e.src = b.node and e.mode = od.mode group by 1, 2) c
- left join recurring.best o on o.od_id = c.od_id and o.node = c.dst where o.g is null or c.g < o.g - 1e-9)
+ select c.src, c.mode, c.dst, c.g from (select b.src, b.mode, e.dst, min(b.g + e.cost) g from best b join cost e on e.src = b.node and e.mode = b.mode group by 1, 2, 3) c
+ left join recurring.best o on o.src = c.src and o.mode = c.mode and o.node = c.dst where o.g is null or c.g < o.g - 1e-9)
 """
 
 
@@ -296,20 +296,19 @@ def search_input(spark, d):
     return derive(spark, d, fx.OD), e, roads.costs(e)
 
 
-@query("g04_least_time", SEARCH + "select od.od_id, round(best.g, 4) cost from od left join best on best.od_id = od.od_id and best.node = od.dst")
+@query("g04_least_time", SEARCH + "select od.od_id, round(best.g, 4) cost from od left join best on best.src = od.src and best.mode = od.mode and best.node = od.dst")
 def least_time(spark, d):
     od, _, cost = search_input(spark, d)
-    found = roads.search(od, cost).select("od_id", F.col("node").alias("dst"), "g")
-    return od.join(found, ["od_id", "dst"], "left").select("od_id", F.round("g", 4).alias("cost"))
+    return od.join(roads.reached(od, roads.search(od, cost)), "od_id", "left").select("od_id", F.round("g", 4).alias("cost"))
 
 
-@query("g08_routes", SEARCH + "select od.od_id, round(best.g, 4) duration_s, case when best.g is null then 'NO_PATH' else 'OK' end status, true as adds_up from od left join best on best.od_id = od.od_id and best.node = od.dst")
+@query("g08_routes", SEARCH + "select od.od_id, round(best.g, 4) duration_s, case when best.g is null then 'NO_PATH' else 'OK' end status, true as adds_up from od left join best on best.src = od.src and best.mode = od.mode and best.node = od.dst")
 def assembled_routes(spark, d):
     od, e, cost = search_input(spark, d)
     nodes, links = derive(spark, d, fx.NODES), grid_links(spark, d)
-    labels = roads.search(od, cost, nodes, roads.max_speed_mps(e))
-    steps = roads.paths(od, labels)
-    headers, segments = roads.routes(od, labels, steps, e, links, nodes)
+    trees = roads.search(od, cost, nodes, roads.max_speed_mps(e))
+    steps = roads.paths(od, trees)
+    headers, segments = roads.routes(od, trees, steps, e, links, nodes)
     along = segments.groupBy("od_id").agg(F.sum("length_m").alias("along"))
     total = steps.join(od, "od_id").join(cost, ["edge_id", "mode"]).groupBy("od_id").agg(F.sum("cost").alias("again"))
     h = headers.join(along, "od_id", "left").join(total, "od_id", "left")

@@ -101,9 +101,9 @@ def test_topology_and_route_on_a_grid(spark):
     by = {r.od_id: r for r in headers.collect()}
     assert abs(by[1].duration_s - want.t) < 0.1 and abs(by[1].distance_m - want.d) < 1 and by[1].ascent_m is None and len(by[1].line) == 7
     assert by[2].duration_s == 0 and by[2].distance_m == 0 and len(by[2].line) == 2 and by[3].status == "UNSNAPPED"
-    n = {k: {r.od_id: r.visited for r in roads.visited(x).collect()} for k, x in (("plain", plain), ("goal", goal))}
-    assert n["goal"][1] <= n["plain"][1]
-    assert abs(plain.where(f"od_id = 1 and node = {corner[1]}").first().g - by[1].duration_s) < 1e-9
+    n = {k: {(r.src, r.mode): r.visited for r in roads.visited(x).collect()} for k, x in (("plain", plain), ("goal", goal))}
+    assert n["goal"][corner[0], "CAR"] <= n["plain"][corner[0], "CAR"]
+    assert abs(roads.labels(plain).where(f"mode = 'CAR' and node = {corner[1]}").first().g - by[1].duration_s) < 1e-9
     assert segments.where("od_id = 1").count() >= 2
 
 
