@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import concat
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = lambda text: any(map(text.lower().__contains__, added))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -75,27 +76,26 @@ class WordEncoder:
                 at = 4 * end
 
     def _learn(self, words: list[str]) -> None:
-        cores, marked, plain = self.cores, [], []
+        cores, get = self.cores, self.cores.__getitem__
+        plain, plain_core, marked, marked_core, marks = [], [], [], [], []
         for w in words:
-            if self.special(w):  # an added token is matched as it stands, so nothing is taken from the word
-                self.known[w] = self._one(w)
-                continue
             core = w.rstrip(self.MARKS)
-            if len(core) == len(w) or not core or not core[-1].isalnum():
-                plain.append((w, w.lower() if w.isascii() else w))
+            if core is w or not core or not core[-1].isalnum():
+                plain.append(w)
+                plain_core.append(w.lower() if w.isascii() else w)
             else:
-                marked.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
-        needed = {core for _, core in plain}
-        needed.update(core for _, core, _ in marked)
-        needed.update(marks for _, _, marks in marked)
+                marked.append(w)
+                marked_core.append(core.lower() if core.isascii() else core)
+                marks.append(w[len(core) :])
+        needed = {*plain_core, *marked_core, *marks}
         new = needed.difference(cores)
         if len(cores) + len(new) > self.limit * 2 // 3:
             cores.clear()
             new = needed
         self._letters([x for x in new if x.isalpha()])
         cores.update((x, self._one(x)) for x in new if not x.isalpha())
-        self.known.update((w, cores[core]) for w, core in plain)
-        self.known.update((w, cores[core] + cores[marks]) for w, core, marks in marked)
+        self.known.update(zip(plain, map(get, plain_core)))
+        self.known.update(zip(marked, map(concat, map(get, marked_core), map(get, marks))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -104,6 +104,10 @@ class WordEncoder:
         new = every.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known, new = {}, every
+        if any(map(self.special, texts)):  # an added token is matched as it stands, so nothing is taken from its word
+            apart = set(filter(self.special, new))
+            self.known.update((w, self._one(w)) for w in apart)
+            new -= apart
         self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, row)) for row in words]
 
