@@ -31,7 +31,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     now = materialize(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now)), "edges", replaces=now)
         sign = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if sign == seen:
             break

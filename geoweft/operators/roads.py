@@ -189,7 +189,7 @@ def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax:
     edges_ = materialize(edges_.select("mode", _cell("src").alias("cell"), "edge_id", "src", "dst", "cost", "dlon", "dlat", (_cell("src") == _cell("dst")).alias("inner")), "edges")
     tell = F.struct(F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(-1).cast("long").alias("edge_id"), F.lit(-1).cast("long").alias("pred"))
     told = known.select(*tree, _cell("src").alias("cell"), F.array(tell).alias("told"))
-    state, reached = None, None
+    state, reached, new, bound = None, None, None, None
     for _ in range(max_rounds):
         rows = told.join(known, tree)
         if state is None:
@@ -199,16 +199,16 @@ def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax:
         rows = rows.withColumn("salt", salt)
         lanes = edges_.join(rows.select("mode", "cell", F.col("salt").alias("lane")).distinct(), ["mode", "cell"])
         settled = rows.groupBy("mode", "cell", "salt").cogroup(lanes.groupBy("mode", "cell", "lane")).applyInArrow(_relaxed, f"{_TREE}, tell array<struct<node: long, g: double, edge_id: long, pred: long>>")
-        new = materialize(settled, "settled")
+        new = materialize(settled, "settled", replaces=new)
         found = targets.join(new.select(*tree, "cell", "g"), [*tree, "cell"]).select(*tree, "dst", F.get("g", F.pmod("dst", F.lit(CELL)).cast("int")).alias("g"))
-        reached = materialize((found if reached is None else reached.unionByName(found)).groupBy(*tree, "dst").agg(F.min("g").alias("g")), "reached")
+        reached = materialize((found if reached is None else reached.unionByName(found)).groupBy(*tree, "dst").agg(F.min("g").alias("g")), "reached", replaces=reached)
         bound = asked.join(reached, [*tree, "dst"], "left").groupBy(*tree).agg(F.when(F.bool_and(F.coalesce(F.col("g") < float("inf"), F.lit(False))), F.max("g")).alias("bound")).where("bound is not null")
-        bound = materialize(asked.groupBy(*tree).agg(F.count_if(F.col("dst").isNull()).alias("open")).where("open = 0").join(bound, tree).drop("open"), "bound")
+        bound = materialize(asked.groupBy(*tree).agg(F.count_if(F.col("dst").isNull()).alias("open")).where("open = 0").join(bound, tree).drop("open"), "bound")  # small, and the next round's plan still names the last one
         trees = new.drop("tell")
-        state = materialize(trees if state is None else state.join(trees.select(*tree, "cell"), [*tree, "cell"], "left_anti").unionByName(trees), "trees")
+        state = materialize(trees if state is None else state.join(trees.select(*tree, "cell"), [*tree, "cell"], "left_anti").unionByName(trees), "trees", replaces=state)
         ways = new.select(*tree, F.explode("tell").alias("t")).groupBy(*tree, F.col("t.node").alias("node")).agg(F.min(F.struct("t.g", "t.edge_id", "t.pred")).alias("w"))
         ways = ways.withColumn("cell", _cell("node")).join(bound, tree, "left").where("bound is null or w.g <= bound + 1e-6")
-        told = materialize(ways.groupBy(*tree, "cell").agg(F.collect_list(F.struct("node", "w.g", "w.edge_id", "w.pred")).alias("told")), "told")
+        told = materialize(ways.groupBy(*tree, "cell").agg(F.collect_list(F.struct("node", "w.g", "w.edge_id", "w.pred")).alias("told")), "told", replaces=told)
         if not told.limit(1).count():
             return state
     raise RuntimeError(f"search not settled in {max_rounds} rounds")

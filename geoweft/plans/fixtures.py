@@ -39,6 +39,11 @@ VERSIONS = """
 select o_custkey dataset, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) version_no, cast(cast(floor(o_totalprice/5000e0) as bigint) as varchar(20)) checksum,
        case o_orderstatus when 'F' then 'REJECTED' when 'O' then 'ARCHIVED' else 'PUBLISHED' end status, o_orderdate changed_at, o_orderkey
 from orders"""
+#: Every line of an order is an event of one of its two versions.
+STATUS_EVENTS = """
+select l_orderkey dataset, cast(l_linenumber%2+1 as int) version_no, cast(l_linenumber as bigint)*1000000000+l_partkey*1000+l_suppkey changed_at,
+       case (l_orderkey+l_linenumber*3)%8 when 0 then 'UPLOADED' when 1 then 'VALIDATING' when 2 then 'VALIDATED' when 3 then 'REJECTED' when 4 then 'PROCESSING' when 5 then 'PROCESSED' when 6 then 'PUBLISHED' else 'ARCHIVED' end to_status
+from lineitem"""
 DEM_GT = (126.95, 0.0005, 0.0, 37.57, 0.0, -0.0003)
 
 

@@ -374,10 +374,10 @@ LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in catalog.TRANSITIONS)
 
 
 @query("c02_illegal_transitions", f"""
-select dataset, version_no, from_status, to_status from (select dataset, version_no, lag(status) over (partition by dataset order by changed_at, version_no) from_status, status to_status from ({fx.VERSIONS}) v) x
+select dataset, version_no, from_status, to_status from (select dataset, version_no, lag(to_status) over (partition by dataset, version_no order by changed_at) from_status, to_status from ({fx.STATUS_EVENTS}) v) x
 where from_status is not null and (from_status, to_status) not in (values {LEGAL})""")
 def illegal_transitions(spark, d):
-    pairs = catalog.transitions(versions(spark, d).withColumnRenamed("status", "to_status"), ["dataset"])
+    pairs = catalog.transitions(derive(spark, d, fx.STATUS_EVENTS))
     return catalog.illegal(pairs).select("dataset", "version_no", "from_status", "to_status")
 
 

@@ -13,13 +13,17 @@ from geoweft.operators import catalog, quality
 from geoweft.sources import vector
 
 
-def poi_batch(features: DataFrame, out: str) -> None:
-    """Validates features (dataset, version_no, geom_type, parts, attrs) and stores the places of accepted versions."""
+def poi_batch(features: DataFrame, out: str, unreadable: DataFrame | None = None) -> None:
+    """Validates features (dataset, version_no, geom_type, parts, attrs) and stores the places of accepted versions. Versions
+    among `unreadable` (dataset, version_no) get one blocking row and no other."""
     from geoweft.functions import roads
 
     a = {k: roads.truncated(roads.attr(F.col("attrs"), v), roads.WIDTHS[k]) for k, v in roads.POI_ATTRS.items()}
     p = features.select("dataset", "version_no", "geom_type", F.get(F.get("parts", 0), 0)["x"].alias("lon"), F.get(F.get("parts", 0), 0)["y"].alias("lat"), *[c.alias(k) for k, c in a.items()]).persist()
     report = quality.run(quality.poi_measures(p))
+    if unreadable is not None:
+        bad = unreadable.select("dataset", "version_no").distinct()
+        report = report.join(bad, ["dataset", "version_no"], "left_anti").unionByName(quality.unreadable(bad))
     decided = quality.decide(report)
     good = decided.where("status = 'VALIDATED'").select("dataset", "version_no")
     vector.write_snapshot(p.where("geom_type = 'Point' and lon is not null and lat is not null").drop("geom_type").join(good, ["dataset", "version_no"]), f"{out}/poi")
@@ -33,17 +37,21 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str):
 
     def batch(rows: DataFrame, _: int) -> None:
         name = F.element_at(F.split("path", "/"), -1)
-        f = rows.select(F.regexp_extract(name, "^(.*)@", 1).alias("dataset"), F.regexp_extract(name, r"@(\d+)\.", 1).cast("int").alias("version_no"), F.from_json("value", vector.FEATURE).alias("feature"))
-        f = f.select("dataset", "version_no", F.col("feature.geometry.type").alias("geom_type"), vector.parts(F.col("feature.geometry")).alias("parts"), F.transform_keys("feature.properties", lambda k, _: F.lower(k)).alias("attrs"))
+        lines = vector.parsed_lines(rows).withColumns({"dataset": F.regexp_extract(name, "^(.*)@", 1), "version_no": F.regexp_extract(name, r"@(\d+)\.", 1).cast("int")})
+        f = lines.where(F.col("feature.type") == "Feature").select("dataset", "version_no", F.col("feature.geometry.type").alias("geom_type"), vector.parts(F.col("feature.geometry")).alias("parts"), F.transform_keys("feature.properties", lambda k, _: F.lower(k)).alias("attrs"))
         if rows.limit(1).count():
-            poi_batch(f, out)
+            poi_batch(f, out, lines.where("bad"))
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_files(uploads: DataFrame) -> DataFrame:
-    """The first upload of each (dataset, checksum); works on streams and tables."""
-    return uploads.dropDuplicates(["dataset", "checksum"])
+def first_files(uploads: DataFrame, event_time: str | None = None, delay: str = "30 days") -> DataFrame:
+    """The first upload of each (dataset, checksum) that isn't rejected (status, where there is one); works on streams and
+    tables. With the name of a timestamp column, state is kept for `delay` only: a copy that comes later counts as new."""
+    live = uploads.where(~F.col("status").eqNullSafe("REJECTED")) if "status" in uploads.columns else uploads
+    if event_time is None:
+        return live.dropDuplicates(["dataset", "checksum"])
+    return live.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dataset", "checksum"])
 
 
 def live_active(events: DataFrame) -> DataFrame:
@@ -52,18 +60,19 @@ def live_active(events: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
-    """Illegal (from, to) pairs of each dataset's events as they arrive; the last status is the state."""
+    """Illegal (from, to) pairs of each version's events (dataset, version_no, to_status, changed_at) as they arrive; the last
+    status is the state. Events of one batch are put in order; those of a version are expected in order across batches."""
     legal = set(catalog.TRANSITIONS)
 
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["changed_at", "version_no"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values("changed_at", kind="stable")
         out = []
-        for v, to in zip(rows["version_no"], rows["to_status"]):
+        for to in rows["to_status"]:
             if last is not None and (last, to) not in legal:
-                out.append((key[0], int(v), last, to))
+                out.append((key[0], int(key[1]), last, to))
             last = to
         state.update((last,))
         yield pd.DataFrame(out, columns=["dataset", "version_no", "from_status", "to_status"])
 
-    return events.groupBy("dataset").applyInPandasWithState(check, "dataset long, version_no int, from_status string, to_status string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("dataset", "version_no").applyInPandasWithState(check, "dataset long, version_no int, from_status string, to_status string", "last string", "append", GroupStateTimeout.NoTimeout)

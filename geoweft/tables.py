@@ -4,28 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where materialize() has written a frame.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one only where none is configured (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. A temporary one only in local mode, where driver and
+    executors are one process; a cluster without that setting is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="geoweft-")
         sc.setCheckpointDir(found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, so that what follows
-    neither recomputes it nor depends on any single executor."""
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back, so that what follows neither recomputes it nor depends
+    on any single executor. What materialize() wrote for `replaces`, of which nothing more is read, is deleted after that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoweft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    if replaces is not None and (old := _WRITTEN.pop(replaces, None)):
+        old = spark._jvm.org.apache.hadoop.fs.Path(old)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
