@@ -17,13 +17,17 @@ from geoweft.operators.numbering import numbered
 from geoweft.tables import materialize
 
 
+VERSION = ["dataset", "version_no"]
+
+
 def link_lines(features: DataFrame) -> DataFrame:
-    """One row for each part of a feature (feature_id, geom_type, parts, attrs) with mapped attributes; `ok` says
-    whether it becomes a link. One-way in reverse turns the line round."""
+    """One row for each part of a feature (feature_id, geom_type, parts, attrs) with mapped attributes, and with dataset and
+    version_no where there are any; `ok` says whether it becomes a link. One-way in reverse turns the line round."""
     a = {k: rules.attr(rules.lower_keys(F.col("attrs")), v) for k, v in rules.ROAD_ATTRS.items()}
     way = rules.direction(a["oneway"])
     is_line = F.col("geom_type").isin("LineString", "MultiLineString")
-    rows = features.select("feature_id", F.posexplode_outer(F.when(is_line, F.col("parts"))).alias("part", "line"), way.alias("way"), *[rules.truncated(a[k], rules.WIDTHS[k]).alias(k) for k in ("source_id", "road_class", "road_name")], rules.speed_kph(a["max_speed"]).alias("max_speed_kph"))
+    own = [c for c in VERSION if c in features.columns]
+    rows = features.select(*own, "feature_id", F.posexplode_outer(F.when(is_line, F.col("parts"))).alias("part", "line"), way.alias("way"), *[rules.truncated(a[k], rules.WIDTHS[k]).alias(k) for k in ("source_id", "road_class", "road_name")], rules.speed_kph(a["max_speed"]).alias("max_speed_kph"))
     rows = rows.withColumn("geom", F.when(F.col("way") == "REVERSE", F.reverse("line")).otherwise(F.col("line"))).withColumn("oneway", F.col("way") != "BOTH")
     rows = rows.withColumn("length_m", geo.line_length(F.col("geom")))
     return rows.withColumn("ok", geo.valid_line(F.col("line")) & F.coalesce(F.col("length_m") > 0, F.lit(False))).drop("way", "line")
@@ -63,6 +67,26 @@ def connectivity(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return total.withColumn("ratio", F.when(F.col("node_count") > 0, F.col("largest") / F.col("node_count")).otherwise(0.0))
 
 
+def measures(features: DataFrame) -> DataFrame:
+    """What the rules on road data ask for, by dataset and version_no, from features as link_lines() takes them: features of
+    another type, links that can't be made, links without speed or class, extent, components and the share of the largest."""
+    lines = link_lines(features)
+    line = F.coalesce(F.col("geom_type").isin("LineString", "MultiLineString"), F.lit(False))
+    base = features.groupBy(*VERSION).agg(F.lit("ROAD_NETWORK").alias("type"), F.count(F.lit(1)).alias("n_features"), F.count_if(~line).alias("n_mismatched"))
+    made = lines.where("ok").groupBy(*VERSION).agg(
+        F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("max_speed_kph").isNull()).alias("n_no_speed"), F.count_if(F.coalesce(F.trim("road_class"), F.lit("")) == "").alias("n_no_class"),
+        *[f(g(c)).alias(n + k) for n, f, g in (("min", F.min, F.array_min), ("max", F.max, F.array_max)) for k, c in (("x", F.col("geom.x")), ("y", F.col("geom.y")))],
+    )
+    invalid = lines.where("not ok and geom is not null").groupBy(*VERSION).agg(F.countDistinct("feature_id").alias("n_invalid"))
+    node = lambda p: F.xxhash64(*VERSION, geo.snapped(p["x"]), geo.snapped(p["y"]))
+    ends = materialize(lines.where("ok").select(*VERSION, node(F.element_at("geom", 1)).alias("a"), node(F.element_at("geom", -1)).alias("b")), "ends")
+    of = ends.select(*VERSION, F.explode(F.array("a", "b")).alias("node")).distinct().join(components(ends), "node")
+    sizes = of.groupBy(*VERSION, "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy(*VERSION).agg(F.count(F.lit(1)).alias("n_components"), (F.max("n") / F.sum("n")).alias("largest_ratio"))
+    out = base.join(made, VERSION, "left").join(invalid, VERSION, "left").join(whole, VERSION, "left")
+    return out.fillna(0, ["n_links", "n_invalid", "n_no_speed", "n_no_class", "n_components"])
+
+
 def edges(links: DataFrame, elevation: DataFrame | None = None) -> DataFrame:
     """Two directed edges a link: edge_id, link_id, src, dst, forward, car, length_m, road_class, max_speed_kph, slope.
     elevation: node_seq, z (null where unknown)."""

@@ -348,6 +348,30 @@ def decision(spark, d):
     return quality.decide(quality.run(quality.poi_measures(derive(spark, d, POIF)))).select("dataset", "version_no", "status")
 
 
+#: One road data set for each island of seven columns, some without speeds or classes.
+ROADF = f"""select link_id feature_id, cast(floor(c/7) as bigint) dataset, lon1, lat1, lon2, lat2, from_node, to_node, n,
+ case when cast(floor(c/7) as bigint)%3 = 1 and k%4 <> 0 or k%4 = 3 then null else cast(max_speed_kph as varchar(9)) end speed_text, case when cast(floor(c/7) as bigint)%5 = 4 and k%11 = 0 then null else road_class end road_class
+ from ({fx.ISLANDS}) i"""
+ROADR = f"""
+with recursive f as ({ROADF}), e as (select from_node a, to_node b from f union select to_node, from_node from f),
+r(root, node) as (select distinct a, a from e union select r.root, e.b from r join e on e.a = r.node),
+m as (select node, min(root) c from r group by node), n as (select max(n) n from f),
+s as (select cast(floor(node%n/7) as bigint) dataset, c, count(*) k from m, n group by 1, 2), w as (select dataset, max(k)/(sum(k)*1e0) ratio from s group by 1),
+q as (select dataset, count(*) n, count(*) filter (speed_text is null) slow, count(*) filter (road_class is null) plain from f group by 1)
+select dataset, 1 version_no, 'ROAD_CONNECTIVITY' rule_code, case when ratio < 0.95e0 then 'WARN' else 'INFO' end severity from w
+union all select dataset, 1, 'ROAD_ATTRIBUTES', case when slow/(n*1e0) > 0.5e0 or plain > 0 then 'WARN' else 'INFO' end from q
+union all select dataset, 1, rule_code, 'INFO' from q, (select unnest(['WITHIN_SERVICE_AREA', 'GEOMETRY_TYPE', 'GEOMETRY_VALID']) rule_code) c"""
+
+
+@query("v08_v09_road_rules", ROADR)
+def road_rules(spark, d):
+    f = derive(spark, d, ROADF.replace("varchar(9)", "string"))
+    line = F.array(F.array(geo.point(F.col("lon1"), F.col("lat1")), geo.point(F.col("lon2"), F.col("lat2"))))
+    attrs = F.map_from_arrays(F.array(F.lit("highway"), F.lit("maxspeed")), F.array("road_class", "speed_text"))
+    roads_ = f.select("dataset", F.lit(1).alias("version_no"), "feature_id", F.lit("LineString").alias("geom_type"), line.alias("parts"), attrs.alias("attrs"))
+    return quality.run(roads.measures(roads_)).select("dataset", "version_no", "rule_code", "severity")
+
+
 RASTERS = "select o_custkey dataset, cast(o_orderkey as int) version_no, o_orderkey%1001/1000e0 nodata_ratio, case when o_orderkey%9 = 0 then null else (o_orderkey%2000)/1e0 end resolution_m, case when o_orderkey%11 = 0 then ' ' else 'WKT' end srs, 'RASTER' type from orders"
 
 
