@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from geoweft.functions import geo
 from geoweft.functions import roads as rules
+from geoweft.operators import raster
 from geoweft.operators.components import components
 from geoweft.operators.numbering import numbered
 from geoweft.tables import materialize
@@ -87,6 +88,12 @@ def measures(features: DataFrame) -> DataFrame:
     return out.fillna(0, ["n_links", "n_invalid", "n_no_speed", "n_no_class", "n_components"])
 
 
+def node_elevation(nodes: DataFrame, tiles: DataFrame, meta: DataFrame, dataset: str, size: int = 512) -> DataFrame:
+    """node_seq, z: bilinear elevation of each node in an elevation model, null outside and on NoData."""
+    at = nodes.select(F.col("node_seq").alias("qid"), F.lit(dataset).alias("dataset"), "lon", "lat")
+    return raster.bilinear(at, tiles, meta, size).select(F.col("qid").alias("node_seq"), F.col("elevation").alias("z"))
+
+
 def edges(links: DataFrame, elevation: DataFrame | None = None) -> DataFrame:
     """Two directed edges a link: edge_id, link_id, src, dst, forward, car, length_m, road_class, max_speed_kph, slope.
     elevation: node_seq, z (null where unknown)."""

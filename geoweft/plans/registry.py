@@ -89,6 +89,12 @@ def road_attributes(spark, d):
     return roads.link_lines(features(spark, d)).select("source_id", "road_class", "oneway", "max_speed_kph")
 
 
+def bil(px: str, py: str) -> str:
+    x0, y0 = f"least(floor(greatest({px}-0.5e0, 0e0)), 398e0)", f"least(floor(greatest({py}-0.5e0, 0e0)), 398e0)"
+    fx_, fy = f"least(greatest({px}-0.5e0, 0e0), 399e0)", f"least(greatest({py}-0.5e0, 0e0), 399e0)"
+    return f"case when {px} >= 0 and {px} < 400 and {py} >= 0 and {py} < 400 then case when {x0} < 10 and {y0} < 10 then case when floor({px}) < 10 and floor({py}) < 10 then null else 50e0+0.5e0*floor({px})+0.25e0*floor({py}) end else 50e0+0.5e0*{fx_}+0.25e0*{fy} end end"
+
+
 SPEED = "cast(max_speed_kph as double)"
 COST = f"""select mode, edge_id, src, dst, cost from (
  select link_id*2 edge_id, from_node src, to_node dst, true fwd, * from lk union all select link_id*2+1, to_node, from_node, false, * from lk) e,
@@ -109,6 +115,21 @@ def edge_costs(spark, d):
     return roads.costs(roads.edges(grid_links(spark, d))).withColumn("cost", F.round("cost", 6)).select("mode", "edge_id", "src", "dst", "cost")
 
 
+SLOPED = f"""with {LK}, z as (select *, {bil('((lon1-126.95e0)/0.0005e0)', '((37.57e0-lat1)/0.0003e0)')} z1, {bil('((lon2-126.95e0)/0.0005e0)', '((37.57e0-lat2)/0.0003e0)')} z2 from lk),
+s as (select *, coalesce(greatest(-1e0, least(1e0, (z2-z1)/len)), 0e0) up from z where road_class <> 'motorway'),
+e as (select link_id*2 edge_id, len, up from s union all select link_id*2+1, len, -up from s)
+select 'WALK' as mode, edge_id, round(up, 6) slope, round(len/(6e0*exp(-3.5e0*abs(up+0.05e0))/3.6e0), 6) as cost from e
+union all select 'BIKE', edge_id, round(up, 6), round(len/(case when up >= 0 then greatest(3e0, 15e0*(1-8*up)) else least(30e0, 15e0*(1-4*up)) end/3.6e0), 6) from e"""
+
+
+@query("j14_g11_slope_costs", SLOPED)
+def slope_costs(spark, d):
+    tiles, meta = fx.dem(spark)
+    e = roads.edges(grid_links(spark, d), roads.node_elevation(derive(spark, d, fx.NODES), tiles, meta, "dem", 128))
+    c = roads.costs(e).where("mode <> 'CAR'").join(e.select("edge_id", "slope"), "edge_id")
+    return c.select("mode", "edge_id", F.round("slope", 6).alias("slope"), F.round("cost", 6).alias("cost"))
+
+
 @query("p36_p37_slope_speeds", """
 select l_linenumber, l_orderkey, round(s, 9) slope, round(6e0*exp(-3.5e0*abs(s+0.05e0)), 6) walk_kph, round(case when s >= 0 then greatest(3e0, 15e0*(1-8*s)) else least(30e0, 15e0*(1-4*s)) end, 6) bike_kph
 from (select l_orderkey, l_linenumber, (l_orderkey%41-20)/20e0 s from lineitem) x""")
@@ -182,12 +203,6 @@ def pixel_values(spark, d):
     return raster.pixel_values(dem_points(spark, d), tiles, meta, 128).select("qid", "inside", "value")
 
 
-def bil(px: str, py: str) -> str:
-    x0, y0 = f"least(floor(greatest({px}-0.5e0, 0e0)), 398e0)", f"least(floor(greatest({py}-0.5e0, 0e0)), 398e0)"
-    fx_, fy = f"least(greatest({px}-0.5e0, 0e0), 399e0)", f"least(greatest({py}-0.5e0, 0e0), 399e0)"
-    return f"case when {px} >= 0 and {px} < 400 and {py} >= 0 and {py} < 400 then case when {x0} < 10 and {y0} < 10 then case when floor({px}) < 10 and floor({py}) < 10 then null else 50e0+0.5e0*floor({px})+0.25e0*floor({py}) end else 50e0+0.5e0*{fx_}+0.25e0*{fy} end end"
-
-
 @query("r04_bilinear_elevation", f"select qid, round({bil('px', 'py')}, 6) elevation from ({PIXEL}) x")
 def bilinear(spark, d):
     tiles, meta = fx.dem(spark)
