@@ -141,6 +141,11 @@ def slope(z_from: Column, z_to: Column, length: Column) -> Column:
     return F.when(z_from.isNull() | z_to.isNull() | (length <= 0), F.lit(0.0)).otherwise(clamp((z_to - z_from) / length, F.lit(-1.0), F.lit(1.0)))
 
 
+def flat_coordinates(line: Column) -> Column:
+    """[x0, y0, x1, y1, ...]"""
+    return F.flatten(F.transform(line, lambda p: F.array(p["x"], p["y"])))
+
+
 def is_nodata(v: Column, nodata: Column) -> Column:
     return F.coalesce(F.isnan(v), F.lit(False)) | F.coalesce(v == nodata, F.lit(False)) | v.isNull()
 

@@ -79,3 +79,37 @@ def with_message(versions: DataFrame) -> DataFrame:
 
 def datasets(dataset: DataFrame, versions: DataFrame) -> DataFrame:
     return dataset.join(active(versions).withColumnRenamed("version_no", "active_version"), "dataset", "left")
+
+
+def status_in(rows: DataFrame, statuses: list[str]) -> DataFrame:
+    return rows.where(F.col("status").isin(statuses))
+
+
+def active_of_type(dataset: DataFrame, versions: DataFrame, kind: str) -> DataFrame:
+    """Datasets (dataset, type, ...) of one type that have an active version, by dataset."""
+    return dataset.where(F.col("type") == kind).join(active(versions).withColumnRenamed("version_no", "active_version"), "dataset").orderBy("dataset")
+
+
+def details(versions: DataFrame, dataset: DataFrame, raster_meta: DataFrame) -> DataFrame:
+    """Every version with its dataset's type, whether it is the active one, and for rasters what raster_meta (dataset,
+    version_no, ...) says of it."""
+    now = active(versions).select("dataset", F.col("version_no").alias("__active"))
+    own = [c for c in raster_meta.columns if c not in VERSION]
+    meta = raster_meta.select(*VERSION, *own)
+    out = versions.join(dataset.select("dataset", "type"), "dataset").join(now, "dataset", "left").join(meta, VERSION, "left")
+    return out.withColumn("active", F.col("version_no").eqNullSafe(F.col("__active"))).drop("__active").withColumns({c: F.when(F.col("type") == "RASTER", F.col(c)) for c in own})
+
+
+def history(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """All state changes of the versions asked for (dataset, version_no), in order."""
+    return transitions(events.join(versions.select(*VERSION).distinct(), VERSION, "left_semi")).orderBy(*VERSION, "changed_at")
+
+
+def known(requests: DataFrame, existing: DataFrame, keys: list[str], there: bool = True) -> DataFrame:
+    """Requests whose keys exist already, or (there=False) don't."""
+    return requests.join(existing.select(*keys), keys, "left_semi" if there else "left_anti")
+
+
+def row_counts(rows: DataFrame) -> DataFrame:
+    """dataset, version_no, rows."""
+    return rows.groupBy(*VERSION).agg(F.count(F.lit(1)).alias("rows"))

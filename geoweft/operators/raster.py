@@ -42,6 +42,27 @@ def statistics(tiles: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select("dataset", "band", "n_pixels", F.when(F.col("n_pixels") > 0, 1 - F.col("good") / F.col("n_pixels")).alias("nodata_ratio"), "min_value", "max_value")
 
 
+def inspected(tiles: DataFrame, meta: DataFrame) -> DataFrame:
+    """A row for each raster of meta (with epsg, where there is one): size, bands, pixel sizes, extent in its own system, and the
+    statistics of its first band."""
+    bands = tiles.where("level = 0").groupBy("dataset").agg(F.countDistinct("band").alias("n_bands"), F.min("band").alias("band"))
+    stats = statistics(tiles, meta).join(bands, ["dataset", "band"]).drop("band")
+    gt, w, h = F.col("gt"), F.col("raster_width"), F.col("raster_height")
+    corner = [geo.apply_transform(gt, x.cast("double"), y.cast("double")) for x in (F.lit(0), w) for y in (F.lit(0), h)]
+    side = lambda f, k: f(*[c[k] for c in corner])
+    own = meta.select(
+        *meta.columns, F.abs(F.get(gt, 1)).alias("pixel_x"), F.abs(F.get(gt, 5)).alias("pixel_y"), geo.is_georeferenced(gt).alias("georeferenced"),
+        side(F.least, "x").alias("minx"), side(F.least, "y").alias("miny"), side(F.greatest, "x").alias("maxx"), side(F.greatest, "y").alias("maxy"),
+    )
+    return own.join(stats, "dataset", "left")
+
+
+def write_tiles(tiles: DataFrame, meta: DataFrame, path: str, version_no: int, size: int = 512, most: int = 512) -> None:
+    """Level 0 and its overviews as Parquet by dataset, version_no and level; what was there of the same three is replaced."""
+    every = overviews(tiles, meta, size, most).withColumn("version_no", F.lit(version_no))
+    every.hint("rebalance", "dataset", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "version_no", "level").parquet(path)
+
+
 def located(points: DataFrame, meta: DataFrame) -> DataFrame:
     """points (qid, dataset, lon, lat) with px, py and whether the raster holds them."""
     p = points.join(F.broadcast(meta), "dataset", "left").withColumn("p", geo.to_pixel(F.col("gt"), F.col("lon"), F.col("lat")))

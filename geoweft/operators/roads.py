@@ -88,6 +88,18 @@ def measures(features: DataFrame) -> DataFrame:
     return out.fillna(0, ["n_links", "n_invalid", "n_no_speed", "n_no_class", "n_components"])
 
 
+def component_sizes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node_seq, component, size: of nodes without links too."""
+    found = components(links, "from_node", "to_node")
+    of = nodes.join(found, nodes["node_seq"] == found["node"], "left").select("node_seq", F.coalesce("component", "node_seq").alias("component"))
+    return of.join(of.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node_seq", "component", "size")
+
+
+def edge_offsets(edges_: DataFrame) -> DataFrame:
+    """src, offset, degree: where a node's edges begin when all are in order of (src, edge_id), for nodes that have any."""
+    return numbered(edges_.select("src", "edge_id"), ["src", "edge_id"], "n").groupBy("src").agg(F.min("n").alias("offset"), F.count(F.lit(1)).alias("degree"))
+
+
 def node_elevation(nodes: DataFrame, tiles: DataFrame, meta: DataFrame, dataset: str, size: int = 512) -> DataFrame:
     """node_seq, z: bilinear elevation of each node in an elevation model, null outside and on NoData."""
     at = nodes.select(F.col("node_seq").alias("qid"), F.lit(dataset).alias("dataset"), "lon", "lat")

@@ -71,6 +71,33 @@ def crs(spark, d):
     return p.select("poi_id", F.round("e.x", 8).alias("lon"), F.round("e.y", 8).alias("lat"), F.round("c.x", 8).alias("lon2"), F.round("c.y", 8).alias("lat2"))
 
 
+def krueger(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
+    """Easting and northing above the origin on GRS 80 as SQL: the series in the third flattening n, to its fourth power."""
+    n, a = "(1e0/298.257222101e0/(2e0-1e0/298.257222101e0))", "6378137e0"
+    radius = f"({a}/(1+{n})*(1+{n}*{n}/4+pow({n},4)/64))"
+    alpha = [f"({n}/2-2*pow({n},2)/3+5*pow({n},3)/16+41*pow({n},4)/180)", f"(13*pow({n},2)/48-3*pow({n},3)/5+557*pow({n},4)/1440)", f"(61*pow({n},3)/240-103*pow({n},4)/140)", f"(49561*pow({n},4)/161280)"]
+    k = f"(2*sqrt({n})/(1+{n}))"
+
+    def ends(lon: str, lat: str) -> tuple[str, str]:
+        t, d = f"sinh(atanh(sin(radians({lat})))-{k}*atanh({k}*sin(radians({lat}))))", f"radians({lon}-({lon0}))"
+        return f"atan2({t}, cos({d}))", f"atanh(sin({d})/sqrt(1+pow({t},2)))"
+
+    xi, eta = ends(lon, lat)
+    xi0, _ = ends(lon0, lat0)
+    east = f"{radius}*({eta}+" + "+".join(f"{c}*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, c in enumerate(alpha, 1)) + ")"
+    north = f"{radius}*({xi}+" + "+".join(f"{c}*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, c in enumerate(alpha, 1)) + f"-({xi0})-(" + "+".join(f"{c}*sin({2 * j}*{xi0})" for j, c in enumerate(alpha, 1)) + "))"
+    return east, north
+
+
+EAST, NORTH = krueger("lon", "lat", "127e0", "38e0")
+
+
+@query("p15_projected", f"select poi_id, round(200000e0+{EAST}, 3) x, round(600000e0+{NORTH}, 3) y from ({fx.POI}) p")
+def projected(spark, d):
+    p = derive(spark, d, fx.POI).withColumn("a", geo.transform_crs(F.col("lon"), F.col("lat"), 4326, 5186))
+    return p.select("poi_id", F.round("a.x", 3).alias("x"), F.round("a.y", 3).alias("y"))
+
+
 ATTRS = f"""select link_id, k, road_class, max_speed_kph, oneway, case k%4 when 0 then cast(max_speed_kph as varchar(9)) when 1 then cast(max_speed_kph as varchar(9)) || ' km/h' when 2 then cast(max_speed_kph as varchar(9)) || ' mph' end speed_text,
  case when oneway and k%2=0 then 'yes' when oneway then '-1' else 'no' end way_text from ({fx.LINKS}) l"""
 
@@ -460,3 +487,66 @@ def active_boxes(spark, d):
 def extents(spark, d):
     b = derive(spark, d, fx.BOXES).withColumn("version_no", F.lit(1)).withColumn("line", geo.envelope(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
     return quality.bounds(b).select("dataset", "version_no", *[F.round(c, 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+TYPES = "select distinct o_custkey dataset, case o_custkey%3 when 0 then 'RASTER' when 1 then 'POI' else 'ROAD_NETWORK' end type from orders"
+METAS = "select o_custkey dataset, cast(l_linenumber as int) version_no, max(l_partkey) raster_width, max(l_suppkey) raster_height from orders join lineitem on l_orderkey = o_orderkey group by 1, 2"
+
+
+@query("p50_j05_c08_version_details", f"""
+select v.dataset, v.version_no, type, coalesce(a.version_no = v.version_no, false) active, case when type = 'RASTER' then raster_width end raster_width, case when type = 'RASTER' then raster_height end raster_height
+from ({fx.VERSIONS}) v join ({TYPES}) t using (dataset) left join ({ACTIVE}) a using (dataset) left join ({METAS}) m on m.dataset = v.dataset and m.version_no = v.version_no""")
+def version_details(spark, d):
+    return catalog.details(versions(spark, d), derive(spark, d, TYPES), derive(spark, d, METAS)).select("dataset", "version_no", "type", "active", "raster_width", "raster_height")
+
+
+@query("j04_t04_active_of_type", f"select dataset, type, version_no active_version from ({TYPES}) t join ({ACTIVE}) a using (dataset) where type = 'POI'")
+def active_of_type(spark, d):
+    return catalog.active_of_type(derive(spark, d, TYPES), versions(spark, d), "POI")
+
+
+@query("f11_s10_status_counts", f"select dataset, version_no, count(*) as rows from ({fx.STATUS_EVENTS}) e where to_status in ('PUBLISHED', 'ARCHIVED') group by 1, 2")
+def status_counts(spark, d):
+    return catalog.row_counts(catalog.status_in(derive(spark, d, fx.STATUS_EVENTS).withColumnRenamed("to_status", "status"), ["PUBLISHED", "ARCHIVED"]))
+
+
+@query("j17_new_checksums", f"select o_orderkey, checksum from ({fx.VERSIONS}) v where status = 'ARCHIVED' and not exists (select 1 from ({fx.VERSIONS}) w where w.status <> 'ARCHIVED' and w.dataset = v.dataset and w.checksum = v.checksum)")
+def new_checksums(spark, d):
+    v = versions(spark, d)
+    return catalog.known(v.where("status = 'ARCHIVED'"), v.where("status <> 'ARCHIVED'"), ["dataset", "checksum"], there=False).select("o_orderkey", "checksum")
+
+
+@query("f01_f02_checked_requests", """
+select o_orderkey qid, case when not (lon between -180e0 and 180e0) then 'POSITION' when not (radius > 0 and radius <= 20000) then 'RADIUS' when not (places between 1 and 200) then 'LIMIT' end error
+from (select o_orderkey, o_orderkey%400/1e0-200e0 lon, o_totalprice/10e0-500e0 radius, o_custkey%260 places from orders) x""")
+def checked_requests(spark, d):
+    q = derive(spark, d, "select o_orderkey qid, o_orderkey%400/1e0-200e0 lon, 37.5e0 lat, o_totalprice/10e0-500e0 radius, o_custkey%260 places from orders")
+    return spatial.checked(q, "radius", "places").select("qid", "error")
+
+
+@query("w09_edge_offsets", f"""
+with e as (select from_node src from ({fx.LINKS}) l union all select to_node from ({fx.LINKS}) l), g as (select src, count(*) degree from e group by 1)
+select src, cast(sum(degree) over (order by src) - degree as bigint) as "offset", degree from g""")
+def edge_offsets(spark, d):
+    return roads.edge_offsets(roads.edges(grid_links(spark, d)))
+
+
+@query("n08_flat_coordinates", f"select link_id, [round(lon1, 6), round(lat1, 6), round(lon2, 6), round(lat2, 6)] coordinates from ({fx.LINKS}) l")
+def flat_coordinates(spark, d):
+    return grid_links(spark, d).select("link_id", F.transform(geo.flat_coordinates(F.col("geom")), lambda c: F.round(c, 6)).alias("coordinates"))
+
+
+@query("a10_component_sizes", f"""
+with recursive e as (select from_node a, to_node b from ({fx.ISLANDS}) i union select to_node, from_node from ({fx.ISLANDS}) i),
+r(root, node) as (select node_seq, node_seq from ({fx.NODES}) n union select r.root, e.b from r join e on e.a = r.node),
+m as (select node, min(root) c from r group by node)
+select node node_seq, c component, count(*) over (partition by c) as size from m""")
+def component_sizes(spark, d):
+    return roads.component_sizes(derive(spark, d, fx.NODES), derive(spark, d, fx.ISLANDS))
+
+
+@query("r01_a04_inspection", f"""
+select 'heat' dataset, max(px)+1 raster_width, max(py)+1 raster_height, cast(1 as bigint) n_bands, 0.001e0 pixel_x, true georeferenced, round(126.95e0+0.001e0*(max(px)+1), 6) maxx, round(37.57e0-0.001e0*(max(py)+1), 6) miny, max(v) max_value from ({fx.HEAT}) h""")
+def inspection(spark, d):
+    tiles, meta = fx.heat(spark, d)
+    return raster.inspected(tiles, meta).select("dataset", "raster_width", "raster_height", "n_bands", "pixel_x", "georeferenced", F.round("maxx", 6).alias("maxx"), F.round("miny", 6).alias("miny"), "max_value")

@@ -33,6 +33,13 @@ def test_distances_and_projections(spark):
         geo.transform_crs(F.lit(1.0), F.lit(1.0), 4326, 99999)
 
 
+def test_spheroid_against_published_lengths(spark):
+    """A degree of the equator and a quarter of a meridian on WGS 84."""
+    f = lambda *x: geo.spheroid_distance(*[F.lit(float(c)) for c in x])
+    r = one(spark, degree=f(10, 0, 11, 0), quarter=f(20, 0, 20, 90), same=f(127, 37, 127, 37))
+    assert abs(r.degree - 111319.490793) < 1e-3 and abs(r.quarter - 10001965.7293) < 1e-3 and r.same == 0
+
+
 def test_attributes_and_rules(spark):
     r = one(spark, mph=rules.speed_kph(F.lit("30 mph")), no=rules.speed_kph(F.lit("none")), zero=rules.speed_kph(F.lit("0")), km=rules.speed_kph(F.lit("50 km/h")), back=rules.direction(F.lit("-1")), both=rules.direction(F.lit(None).cast("string")), walk=rules.walk_allowed(F.lit(" Motorway ")), bike=rules.bike_allowed(F.lit("steps")), car=rules.car_allowed(F.lit("footway")), speed=rules.car_speed_kph(F.lit("103"), F.lit(None).cast("int")), tobler=rules.tobler_kph(F.lit(-0.05)), up=rules.bike_kph(F.lit(0.5)), down=rules.bike_kph(F.lit(-0.5)), ext=rules.extension(F.lit("A.b.GeoJSON")), ok=rules.allowed_extension(F.lit("RASTER"), F.lit("x.TIF")), pc=rules.percent(F.lit(0.1234)))
     assert (r.mph, r.no, r.zero, r.km, r.back, r.both) == (48, None, None, 50, "REVERSE", "BOTH")
