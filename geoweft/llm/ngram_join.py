@@ -209,13 +209,26 @@ def _columns(batches: Iterator[pd.DataFrame], keep: int = 0) -> Iterator[pd.Data
 
 def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
     """shingle, a, b, n, m, place, hits: counts of pairs (shingle 0; a is the smaller set, ties by key; n and m are their
-    sizes, hits the narrow columns that they share, place 1 if one of them allows a link), and the entries (key as a,
+    sizes, hits the narrow columns that they share in this row, place 1 if one of them allows a link), and the entries (key as a,
     b 0) of wide columns. Pairs of wide columns have no hits."""
     schema = "shingle long, a long, b long, n int, m int, place int, hits int"
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: set = set()
+        out: list[list[np.ndarray]] = []
+
+        def put(*columns) -> None:
+            size = len(columns[1])
+            out.append([np.full(size, c, np.int64) if np.isscalar(c) else c for c in columns])
+
+        def flush() -> pd.DataFrame:
+            done = pd.DataFrame({k: np.concatenate(c) for k, c in zip(NAMES, zip(*out))})
+            out.clear()
+            return done
+
         for b in _columns(batches, keep=wide + 1):
+            if sum(len(c[0]) for c in out) > 20_000:
+                yield flush()
             h = b["shingle"].to_numpy()
             alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]])
             h, key, n, p = (b[c].to_numpy()[~alone] for c in ("shingle", "key", "n", "place"))
@@ -231,10 +244,7 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
                 i = i[100 * n[i] >= percent * n[i + gap]]
                 x.append(i), y.append(i + gap)
             i, j = np.concatenate(x), np.concatenate(y)
-            if len(i):
-                counts = pd.DataFrame({"a": key[i], "b": key[j], "n": n[i], "m": n[j], "place": _possible(n[i], p[i], n[j], p[j], percent).astype(np.int32), "hits": 1})
-                counts = counts.groupby(["a", "b"], sort=False, as_index=False).agg({"n": "first", "m": "first", "place": "max", "hits": "sum"})
-                yield counts.assign(shingle=0)[NAMES]
+            put(0, key[i], key[j], n[i], n[j], _possible(n[i], p[i], n[j], p[j], percent).astype(np.int64), 1)
             near = np.flatnonzero((whole > wide) & (row + 1 < whole))
             x, y, columns = [near], [near + 1], []
             for s, w in zip(start[width > wide], width[width > wide]):
@@ -252,10 +262,11 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
                 made.clear()
             made.update(new)
             if new:
-                a, c, an, cn = np.array(new, np.int64).T
-                yield pd.DataFrame({"shingle": 0, "a": a, "b": c, "n": an, "m": cn, "place": 1, "hits": 0})[NAMES]
+                put(0, *np.array(new, np.int64).T, 1, 0)
             for hs, ks, ns, ps in columns:
-                yield pd.DataFrame({"shingle": hs, "a": ks, "b": 0, "n": ns, "m": 0, "place": ps, "hits": 0})[NAMES]
+                put(hs, ks, 0, ns, 0, ps, 0)
+        if out:
+            yield flush()
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
     return dealt.mapInPandas(multiply, schema)
