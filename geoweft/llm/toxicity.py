@@ -8,7 +8,7 @@ Learned from a bounded sample of labelled rows: at most per_class of each class,
 first, outside the held-out fold. Only terms of that sample that its classes tell apart are kept, at most
 most_terms, so the model has a fixed greatest size whatever the input.
 
-Defined cases: null and empty texts have no terms and get the score of the bias alone; several labels of a
+Defined cases: rows are scored whatever their doc_id, repeated rows each; terms with equal chi-square rank by hash; null and empty texts have no terms and get the score of the bias alone; several labels of a
 document count as toxic if one is; labels without a document or without a value teach nothing; with no
 label of one of the classes every score is 0. Texts are read whole; repeated words count once.
 """
@@ -68,7 +68,20 @@ class Model:
 
 
 def select(texts: list[np.ndarray], y: np.ndarray, most: int, least: int, least_chi: float) -> np.ndarray:
-    """The terms whose presence the classes tell apart most, by chi-square."""
+    """The terms whose presence the classes tell apart most, by chi-square, among all texts or among those that hold one of
+    the best terms of the first kind: a term that only matters beside another shows there alone."""
+    first, chi = _told_apart(texts, y, least, least_chi)
+    best = np.argsort(-chi, kind="stable")[: min(most, int((chi > 0).sum()))]
+    found, strong = first[best], np.sort(first[best[:50]])
+    beside = [i for i, t in enumerate(texts) if len(np.intersect1d(t, strong, assume_unique=True))]
+    if 0 < y[beside].sum() < len(beside):
+        second, chi = _told_apart([texts[i] for i in beside], y[beside], least, least_chi)
+        found = np.concatenate([found, second[np.argsort(-chi, kind="stable")[: int((chi > 0).sum())]]])
+    return np.sort(found[np.sort(np.unique(found, return_index=True)[1])][:most])
+
+
+def _told_apart(texts: list[np.ndarray], y: np.ndarray, least: int, least_chi: float) -> tuple[np.ndarray, np.ndarray]:
+    """All terms and their chi-square, 0 where there are too few or it is too small."""
     every = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
     terms, n = np.unique(every, return_counts=True)
     toxic = np.concatenate([t for t, v in zip(texts, y) if v] or [np.zeros(0, np.uint32)])
@@ -77,8 +90,7 @@ def select(texts: list[np.ndarray], y: np.ndarray, most: int, least: int, least_
     expect = n * (pos / total)
     chi = (n1 - expect) ** 2 / np.maximum(expect * (1 - n / total) * (1 - pos / total), 1e-9)
     chi[(n < least) | (chi < least_chi)] = 0
-    best = np.argsort(-chi, kind="stable")[: min(most, int((chi > 0).sum()))]
-    return np.sort(terms[best])
+    return terms, chi
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, k: int = 8, most_terms: int = 20_000, least: int = 4, least_chi: float = 15.0, epochs: int = 30, least_steps: int = 1500, rate: float = 0.02, decay: float = 2e-4, seed: int = 11) -> Model:

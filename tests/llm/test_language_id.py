@@ -47,3 +47,36 @@ def test_codewords():
         code = L.codewords(n)
         assert len({tuple(c) for c in code.tolist()}) == n
         assert (abs(code.sum(0)) < n).all()
+        assert len({tuple(c * c[0]) for c in code.T.tolist() for c in [np.array(c)]}) == code.shape[1]
+    code = L.codewords(60)
+    assert len({tuple(c) for c in code.tolist()}) == 60 and len({tuple(c) for c in code.T.tolist()}) == code.shape[1]
+
+
+def test_decoding_is_the_plain_weighted_loss():
+    r = np.random.default_rng(3)
+    code = L.codewords(9)
+    m = L.Model([f"l{k}" for k in range(9)], code, r.normal(0, 1, (L.DIM, code.shape[1])), r.normal(0, 1, code.shape[1]), r.random(code.shape[1]))
+    x = L.gram_counts("some words of a text")
+    f = [sum(x[i] * m.weight[i, b] for i in np.flatnonzero(x)) + m.bias[b] for b in range(code.shape[1])]
+    loss = [sum(m.trust[b] * np.log(1 + np.exp(-f[b] * c[b])) for b in range(len(f))) for c in code]
+    p = np.exp(-np.array(loss))
+    assert np.allclose(m.decode(x[None])[0], p / p.sum())
+
+
+def test_one_language_many_languages_and_ties(spark):
+    one = spark.createDataFrame([(i, f"words {i}", "aa") for i in range(8)] + [(99, "other", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.identify(one).collect()} == {"aa"}
+    r, rows = random.Random(9), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(600):
+        lang = i % 12
+        rows.append((i, " ".join("".join(r.choices(letters[2 * lang : 2 * lang + 3], k=4)) for _ in range(30)), f"l{lang:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, most_texts=120)
+    assert len(model.languages) == 12 and model.code.shape[0] == 12
+    got = L.identify(docs).where("held_out").collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert np.mean([x.lang_pred == truth[x.doc_id] for x in got]) > 0.9
+    same = spark.createDataFrame([(i, "one text", f"l{i % 2}") for i in range(40)], "doc_id long, text string, lang string")
+    tied = L.identify(same).collect()
+    assert len({(x.lang_pred, round(x.score, 6)) for x in tied}) == 1

@@ -4,7 +4,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
-import corpus_pipeline  # noqa: E402
+import corpus_pipeline
+from pyspark.sql import functions as F  # noqa: E402
 from geoweft.llm import language_id, line_dedup, toxicity  # noqa: E402
 from test_ngram_join import brute  # noqa: E402
 
@@ -47,3 +48,28 @@ def test_each_stage_against_a_plain_version(spark):
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in packed} == set(after)
     assert entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60)
+    schema = docs.schema
+    rows = [tuple(r) for r in docs.collect()]
+    at = schema.fieldNames().index("text")
+    odd = [(None, *rows[5][1:]), rows[6], rows[6], (rows[7][0], *rows[8][1:]), (10**17, *[None] * (len(schema) - 1))]
+    odd += [(10**17 + k, *[t if c == at else None for c in range(1, len(schema))]) for k, t in ((1, ""), (2, "12 34"), (3, "one short text in plain words"))]
+    wide = spark.createDataFrame(rows + odd, schema)
+    for c in ("hash", "key", "cell", "digest", "place", "n", "spans", "places", "__row"):
+        wide = wide.withColumn(c, F.lit(c))
+    docs, columns = wide, wide.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
+        assert docs.columns == columns
+        ids = [r.doc_id for r in docs.collect()]
+        if name == "language_id":
+            assert 10**17 not in ids and 10**17 + 1 not in ids and 10**17 + 2 not in ids
+        if name == "ngram_join":
+            assert ids.count(rows[6][0]) <= 1 and None not in ids
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in packed.collect()} == set(ids)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), DATA).collect() == []

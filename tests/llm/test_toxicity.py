@@ -42,3 +42,30 @@ def test_nothing_to_learn(spark):
     lab = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in T.rate(d, lab).collect()] == [0]
     assert T.rate(d.limit(0), lab.limit(0)).collect() == []
+
+
+def test_score_is_the_sum_over_pairs():
+    r = np.random.default_rng(2)
+    m = T.Model(np.arange(30, dtype=np.uint32), 0.3, r.normal(0, 1, 30).astype(np.float32), r.normal(0, 0.5, (30, 8)).astype(np.float32))
+    for size in (0, 1, 2, 9):
+        at = np.sort(r.choice(30, size, replace=False))
+        z = m.bias + sum(float(m.weight[i]) for i in at) + sum(float(m.factor[i] @ m.factor[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(m.score(at) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_a_term_that_counts_only_beside_another_is_kept():
+    r = random.Random(12)
+    plain = [f"w{k}" for k in range(200)]
+    texts, y = [], []
+    for _ in range(4000):
+        bad, group = r.random() < 0.3, r.random() < 0.5
+        toxic = bad and (group or r.random() < 0.1)
+        # the group is named as often in clean texts as in toxic ones
+        if not bad and r.random() < 0.25:
+            group = False
+        texts.append(T.term_set(" ".join(r.choices(plain, k=20) + ["vile"] * bad + ["tribe"] * group)))
+        y.append(int(toxic))
+    y = np.array(y)
+    term = T.hashed("tribe")
+    share = [np.mean([np.isin(term[0], t) for t, v in zip(texts, y) if v == c]) for c in (0, 1)]
+    assert np.isin(term, T.select(texts, y, 1000, 4, 15.0)).all(), share
