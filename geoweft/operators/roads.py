@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from geoweft.functions import geo
 from geoweft.functions import roads as rules
-from geoweft.operators import raster
+from geoweft.operators import raster, spatial
 from geoweft.operators.components import components
 from geoweft.operators.numbering import numbered
 from geoweft.tables import materialize
@@ -330,6 +330,26 @@ def routes(od: DataFrame, trees: DataFrame, steps: DataFrame, edges_: DataFrame,
     return headers, s.groupBy("od_id", "segment").agg(F.first("road_name").alias("road_name"), F.first("road_class").alias("road_class"), F.sum("length_m").alias("length_m"), F.count(F.lit(1)).alias("n_edges"))
 
 
+def snapped_pairs(requests: DataFrame, nodes: DataFrame, max_m: float = 500.0) -> DataFrame:
+    """requests (od_id, mode, from_lon, from_lat, to_lon, to_lat) with src, dst, from_snap_m and to_snap_m: the nearest nodes within
+    max_m of both ends, null where there is none; what search() and routes() take."""
+    ends = requests.select("od_id", F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}_lon").alias("lon"), F.col(f"{e}_lat").alias("lat")) for e in ("from", "to")])).alias("e"))
+    ends = ends.select(F.struct("od_id", "e.end").alias("qid"), "e.lon", "e.lat")
+    found = spatial.snap_join(ends, nodes, max_m).groupBy("qid.od_id").agg(*[F.max(F.when(F.col("qid.end") == e, F.col(c))).alias(name) for e, node in (("from", "src"), ("to", "dst")) for c, name in (("node_seq", node), ("snap_m", f"{e}_snap_m"))])
+    return requests.join(found, "od_id")
+
+
+def compared(od: DataFrame, cost: DataFrame, nodes: DataFrame, vmax: DataFrame) -> DataFrame:
+    """od_id, distance_m (straight), cost_a, nodes_a of the plain search and cost_b, nodes_b of the goal-directed one, as comparison()
+    takes them; nodes are those of the tree that a pair belongs to."""
+    place = nodes.select(F.col("node_seq").alias("src"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    goal = nodes.select(F.col("node_seq").alias("dst"), F.col("lon").alias("u"), F.col("lat").alias("v"))
+    out = od.join(place, "src").join(goal, "dst").withColumn("distance_m", geo.haversine("x", "y", "u", "v")).drop("x", "y", "u", "v")
+    for name, trees in (("a", search(od, cost)), ("b", search(od, cost, nodes, vmax))):
+        out = out.join(reached(od, trees).withColumnRenamed("g", f"cost_{name}"), "od_id").join(visited(trees).withColumnRenamed("visited", f"nodes_{name}"), ["src", "mode"])
+    return out.select("od_id", "distance_m", "cost_a", "cost_b", "nodes_a", "nodes_b")
+
+
 def value_at(counts: DataFrame, value: str, p: float) -> DataFrame:
     """bucket, v: the value at place floor(n * p) of each bucket, of rows (bucket, value, times) with each value once. No
     group is ordered in one task: values are dealt by range, and each range is told how many come before it."""

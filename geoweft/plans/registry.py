@@ -550,3 +550,20 @@ select 'heat' dataset, max(px)+1 raster_width, max(py)+1 raster_height, cast(1 a
 def inspection(spark, d):
     tiles, meta = fx.heat(spark, d)
     return raster.inspected(tiles, meta).select("dataset", "raster_width", "raster_height", "n_bands", "pixel_x", "georeferenced", F.round("maxx", 6).alias("maxx"), F.round("miny", 6).alias("miny"), "max_value")
+
+
+RIDES = """
+select od_id, mode, 127.018e0+(od_id*7919)%2400/100000e0 from_lon, 37.488e0+(od_id*104729)%2300/100000e0 from_lat, 127.018e0+(od_id*6151)%2400/100000e0 to_lon, 37.488e0+(od_id*3571)%2300/100000e0 to_lat
+from (select o_orderkey od_id, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode from orders) o"""
+
+
+def nearest_node(end: str) -> str:
+    d = hav(f"{end}_lon", f"{end}_lat", "p.lon", "p.lat")
+    return f"""select od_id, node_seq, round(d, 3) snap_m from (select od_id, node_seq, {d} d, row_number() over (partition by od_id order by {d}, node_seq) n
+ from ({RIDES}) q join ({fx.NODES}) p on abs(p.lat-q.{end}_lat) < 0.005e0 and abs(p.lon-q.{end}_lon) < 0.006e0 where {d} <= 500e0) x where n = 1"""
+
+
+@query("g08_j08_snapped_pairs", f"select q.od_id, a.node_seq src, b.node_seq dst, a.snap_m from_snap_m, b.snap_m to_snap_m from ({RIDES}) q left join ({nearest_node('from')}) a on a.od_id = q.od_id left join ({nearest_node('to')}) b on b.od_id = q.od_id")
+def snapped_pairs(spark, d):
+    found = roads.snapped_pairs(derive(spark, d, RIDES), derive(spark, d, fx.NODES))
+    return found.select("od_id", "src", "dst", metres(F.col("from_snap_m")).alias("from_snap_m"), metres(F.col("to_snap_m")).alias("to_snap_m"))

@@ -41,9 +41,14 @@ def test_trees_equal_dijkstra(spark, apart):
     vmax = spark.createDataFrame([("CAR", 20.0), ("WALK", 20.0)], "mode string, vmax double")
     trees = {7 * apart: dijkstra(by["CAR"], 7 * apart)}
     want = {i: dijkstra(by[m], s).get(d) for i, s, d, m in pairs if s is not None and d is not None}
-    for found in (roads.search(od, cost), roads.search(od, cost, nodes, vmax)):
+    reach = {i for i, g in want.items() if g is not None}
+    if apart == 1:
+        both = {x.od_id: x for x in roads.compared(od, cost, nodes, vmax).collect()}
+        assert set(both) == reach and all(abs(x.cost_a - want[i]) < 1e-6 and abs(x.cost_b - want[i]) < 1e-6 and x.nodes_b <= x.nodes_a for i, x in both.items())
+        return
+    for name, found in (("plain", roads.search(od, cost)), ("goal", roads.search(od, cost, nodes, vmax))):
         got = {x.od_id: x.g for x in roads.reached(od, found).collect()}
-        assert set(got) == {i for i, g in want.items() if g is not None}
+        assert set(got) == reach
         assert all(abs(g - want[i]) < 1e-6 for i, g in got.items())
         steps = {}
         for x in roads.paths(od, found).collect():
@@ -54,5 +59,5 @@ def test_trees_equal_dijkstra(spark, apart):
                 assert way[0][2] == s and way[-1][3] == d and all(a[3] == b[2] for a, b in zip(way, way[1:])) and all(e[0] == m for e in way)
                 assert abs(sum(e[4] for e in way) - got[i]) < 1e-6 and [b for b, _ in sorted(steps[i])] == list(range(len(way)))
         assert 40 not in steps
-    every = {x.node: x.g for x in roads.labels(roads.search(od.where("od_id = 41"), cost)).collect()}
-    assert set(every) == set(trees[7 * apart]) and all(abs(g - trees[7 * apart][k]) < 1e-6 for k, g in every.items())
+        every = {x.node: x.g for x in roads.labels(found.where(f"src = {7 * apart} and mode = 'CAR'")).collect()}
+        assert set(every) == set(trees[7 * apart]) and all(abs(g - trees[7 * apart][k]) < 1e-6 for k, g in every.items()), name
