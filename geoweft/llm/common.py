@@ -36,14 +36,18 @@ def fold(doc_id: Column, folds: int) -> Column:
 _KEPT: dict[str, Any] = {}
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where its C library can do that."""
+    gc.collect()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def kept(name: str, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps from task to task: that of one operator at a time, as workers are used again. What
-    the last one leaves goes back to the system, where its C library can give memory back."""
+    """What a Python worker keeps from task to task: that of one operator at a time, as workers are used again."""
     if name not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            gc.collect()
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+            give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoweft.llm.common import by_parts, fold
+from geoweft.llm.common import by_parts, fold, give_back
 
 DIM = 2048
 UNKNOWN = "und"
@@ -125,12 +125,16 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int =
         known.where(draw < share * 1_000_000).select("lang", "text", "doc_id", F.row_number().over(order).alias("place"))
         .where(F.col("place") <= per_language).select("lang", grams("text").alias("x"))
     )
-    rows = some.toPandas()
-    languages = sorted(rows["lang"].unique()) if len(rows) else []
+    rows = some.toArrow()
+    spoken = np.array(rows.column("lang").to_pylist(), object)
+    languages = sorted(set(spoken))
     if not languages:
         return Model([], codewords(0), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
-    rows = rows.sort_values("lang", kind="stable")
-    return train(np.stack(rows["x"]).astype(np.float32), np.searchsorted(languages, rows["lang"]), languages)
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIM)  # the only copy in this process
+    model = train(x, np.searchsorted(languages, spoken), languages)
+    del rows, x
+    give_back()
+    return model
 
 
 def predict(text: Column, model: Model, margin: float = 0.1) -> Column:

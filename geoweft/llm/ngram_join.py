@@ -341,11 +341,9 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    """key, set: the whole sets of the wanted keys. Only one document of each is shingled again: a filter of fixed size
-    by doc_id leaves out most others, and what it lets through too much joins nothing."""
-    wanted = keys.distinct()
-    slots = wanted.join(firsts, "key").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
+def slot_bits(rows: DataFrame) -> np.ndarray:
+    """The filter of a table's doc_ids: one bit for each slot of their hashes, 1 MB in all."""
+    slots = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER, bool)
@@ -356,7 +354,14 @@ def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int) -> D
     bits = np.zeros(FILTER // 8, np.uint8)
     for r in slots.coalesce(8).mapInPandas(gather, "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
+    """key, set: the whole sets of the wanted keys. Only one document of each is shingled again: a filter of fixed size
+    by doc_id leaves out most others, and what it lets through too much joins nothing."""
+    wanted = keys.distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bits(wanted.join(firsts, "key")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(shared.value).astype(bool)
@@ -465,10 +470,20 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     ranked = rows.join(best, "class").select("doc_id", "hash", rank.eqNullSafe(F.col("r")).alias("best"))
     marks = materialize(ranked.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(F.bool_or("best").alias("__best"), F.count(F.lit(1)).alias("__rows")), "marks")
     own = [f"`{c}`" for c in docs.columns]
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    stay = marked.join(marks.where("not (__best and __rows = 1)"), same, "left_anti").select(*own)
+    gone = marks.where("not (__best and __rows = 1)")
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bits(gone.select(F.col("__id").alias("doc_id"))))
+
+    @F.arrow_udf("boolean")
+    def hit(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy()
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    # rows whose slot nothing that goes has stay where they are, and only the others are joined
+    marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__hit", hit(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))))
+    some = marked.where("__hit")
+    same = some["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    stay = marked.where("not __hit").select(*own).unionByName(some.join(gone, same, "left_anti").select(*own))
     alike = marks.where("__best and __rows > 1")
     if not alike.limit(1).count():
         return stay
-    return stay.unionByName(marked.join(alike, same).dropDuplicates(["__id", "__hash"]).select(*own))
+    return stay.unionByName(some.join(alike, same).dropDuplicates(["__id", "__hash"]).select(*own))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, by_parts, fold, kept
+from geoweft.llm.common import Memo, by_parts, fold, give_back, kept
 
 WORD = re.compile(r"\w+").findall
 
@@ -148,9 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
 
     terms = by_parts(lambda texts: [term_set(t).tobytes() for t in texts], "binary", pa.binary())
     # the sample has 2 * per_class rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "__toxic", terms("text").alias("terms")).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    return train([np.frombuffer(t, np.uint32) for t in rows["terms"]], rows["__toxic"].to_numpy().astype(np.int64))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "__toxic", terms(F.col("text")).alias("terms")).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    found = rows.column("terms").to_pylist()
+    model = train([np.frombuffer(found[i], np.uint32) for i in order], rows.column("__toxic").to_numpy()[order].astype(np.int64))
+    del rows, found
+    give_back()
+    return model
 
 
 def score(text: Column, model: Model) -> Column:
