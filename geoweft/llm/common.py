@@ -33,6 +33,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with lines before it until no column of the caller has it, letter case aside."""
+    there = {c.lower() for c in taken}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 _KEPT: dict[str, Any] = {}
 
 

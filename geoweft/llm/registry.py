@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import avi, bitsliced, byte_bpe, language_id, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
+from geoweft.llm import avi, bitsliced, byte_bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
 from geoweft.tables import table
 
 
@@ -54,6 +54,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_avi": op2_avi,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_decontaminate": op13_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
+ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql(), "op13_decontaminate": decontaminate.SQL}
