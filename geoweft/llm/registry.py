@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import avi, bitsliced, byte_bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, prefix_trie, suffix_dedup, toxicity
+from geoweft.llm import avi, bitsliced, byte_bpe, decontaminate, divergence, language_id, licenses, line_dedup, ngram_join, packing, prefix_trie, suffix_dedup, toxicity
 from geoweft.tables import table
 
 
@@ -54,6 +54,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
 
@@ -73,8 +77,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_decontaminate": op13_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql(), "op12_prefix_trie": prefix_trie.SQL, "op13_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op4_top_k": bitsliced.SQL, "op8_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql(), "op11_source_divergence": divergence.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_decontaminate": decontaminate.SQL}
