@@ -39,6 +39,34 @@ VERSIONS = """
 select o_custkey dataset, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) version_no, cast(cast(floor(o_totalprice/5000e0) as bigint) as varchar(20)) checksum,
        case o_orderstatus when 'F' then 'REJECTED' when 'O' then 'ARCHIVED' else 'PUBLISHED' end status, o_orderdate changed_at, o_orderkey
 from orders"""
+#: Footprints of versions by point: rotated squares, every second one with a hole, every seventh of two parts.
+_RINGS = [(0, 0, [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)]), (0, 1, [(0.5, 0), (0, -0.5), (-0.5, 0), (0, 0.5), (0.5, 0)]), (1, 0, [(4, 0), (3, 1), (2, 0), (3, -1), (4, 0)])]
+_RING_ROWS = " union all ".join(f"select {p} part, {r} ring, {i} seq, {float(x)}e0 ux, {float(y)}e0 uy" for p, r, ring in _RINGS for i, (x, y) in enumerate(ring))
+FOOTPRINTS = f"""
+select o_orderkey fid, o_custkey dataset, part, ring, seq, cx+w*ux x, cy+h*uy y
+from (select o_orderkey, o_custkey, 126.95e0+((o_orderkey*7919)%15000)/100000e0 cx, 37.45e0+((o_orderkey*104729)%12000)/100000e0 cy, 0.001e0*(1+o_orderkey%5) w, 0.001e0*(1+o_orderkey%3) h from orders) o, ({_RING_ROWS}) t
+where (ring=0 or o_orderkey%2=0) and (part=0 or o_orderkey%7=0)"""
+#: Boxes of a supplier: a wide and a narrow one, and one for each order that starts where its footprint's right tip ends.
+POLYGON_SEARCH = f"""
+select qid*2+k qid, lon-r qminx, lat-r qminy, lon+r qmaxx, lat+r qmaxy from ({POINTS}) p, (select 0 k, 0.005e0 r union all select 1 k, 0.0004e0 r) t
+union all
+select 10000000+fid, x, y-0.0001e0, x+0.0002e0, y+0.0001e0 from ({FOOTPRINTS}) f where part=0 and ring=0 and seq=0"""
+#: One shape an order, some of each way to be wrong; places are eighths, so that nothing is rounded.
+_BAD = [
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "2 2,2 4,4 4,4 2,2 2")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "9 2,9 4,11 4,11 2,9 2")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "6 2,6 4,10 4,10 2,6 2")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "1 1,1 5,5 5,5 1,1 1"), (0, 2, "2 2,2 3,3 3,3 2,2 2")],
+    [(0, 0, "0 0,8 8,8 0,0 8,0 0")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 1")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (1, 0, "16 0,24 0,24 8,16 8,16 0")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (1, 0, "2 2,4 2,4 4,2 4,2 2")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "2 2,2 6,6 6,6 2,2 2"), (1, 0, "3 3,5 3,5 5,3 5,3 3")],
+    [(0, 0, "0 0,8 0,8 8,0 8,0 0"), (0, 1, "0 4,4 2,4 6,0 4")],
+    [(0, 0, "0 0,8 0,8 0,0 0")],
+]
+SHAPES = "select o_orderkey fid, part, ring, seq, ((o_orderkey*7919)%997+ux*(1+o_orderkey%3))/8e0 x, ((o_orderkey*104729)%991+uy*(1+o_orderkey%3))/8e0 y from orders o, (" + " union all ".join(
+    f"select {k} kind, {part} part, {ring} ring, {i} seq, {x} ux, {y} uy" for k, rings in enumerate(_BAD) for part, ring, line in rings for i, (x, y) in enumerate(p.split() for p in line.split(","))) + f") t where o_orderkey%{len(_BAD)}=kind"
 #: Every line of an order is an event of one of its two versions.
 STATUS_EVENTS = """
 select l_orderkey dataset, cast(l_linenumber%2+1 as int) version_no, cast(l_linenumber as bigint)*1000000000+l_partkey*1000+l_suppkey changed_at,

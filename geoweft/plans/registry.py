@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoweft.functions import geo
+from geoweft.functions import geo, polygons
 from geoweft.functions import roads as rules
 from geoweft.operators import catalog, lines, quality, raster, roads, spatial
 from geoweft.operators.components import components
@@ -208,6 +208,74 @@ def bbox_search(spark, d):
     return spatial.bbox_join(derive(spark, d, fx.SEARCH), derive(spark, d, fx.BOXES)).select("qid", "fid", "dataset")
 
 
+EDGES = "select *, lead(x) over (partition by fid, part, ring order by seq) x2, lead(y) over (partition by fid, part, ring order by seq) y2 from ({points}) f"
+SEARCHED = f"""
+with active as (select * from (select dataset, version_no, o_orderkey, row_number() over (partition by dataset order by changed_at desc, version_no desc) n from ({fx.VERSIONS}) v where status = 'PUBLISHED') x where n = 1),
+edges as (select a.dataset, a.version_no, e.* exclude (dataset) from ({EDGES.format(points=fx.FOOTPRINTS)}) e join active a on a.o_orderkey = e.fid where x2 is not null),
+boxes as (select fid, min(x) minx, min(y) miny, max(x) maxx, max(y) maxy from edges group by fid),
+sides as (
+  select q.qid, e.*, q.qminx, q.qminy, q.qmaxx, q.qmaxy, (x2-x)*(qminy-y)-(y2-y)*(qminx-x) a, (x2-x)*(qmaxy-y)-(y2-y)*(qminx-x) b, (x2-x)*(qminy-y)-(y2-y)*(qmaxx-x) c, (x2-x)*(qmaxy-y)-(y2-y)*(qmaxx-x) d
+  from ({fx.POLYGON_SEARCH}) q join boxes o on qminx <= maxx and qmaxx >= minx and qminy <= maxy and qmaxy >= miny join edges e on e.fid = o.fid),
+parts as (
+  select qid, dataset, version_no, part, bool_or(least(x,x2) <= qmaxx and greatest(x,x2) >= qminx and least(y,y2) <= qmaxy and greatest(y,y2) >= qminy and least(a,b,c,d) <= 0 and greatest(a,b,c,d) >= 0) touched,
+    sum(case when (y > qminy) <> (y2 > qminy) and qminx < (x2-x)*(qminy-y)/(y2-y)+x then 1 else 0 end) crossed
+  from sides group by all)
+select distinct qid, dataset, version_no from parts where touched or crossed % 2 = 1"""
+
+
+def footprints(spark, d):
+    shapes = vector.shapes_of(derive(spark, d, fx.FOOTPRINTS).drop("dataset"), ["fid"])
+    return shapes.join(versions(spark, d).select(F.col("o_orderkey").alias("fid"), "dataset", "version_no"), "fid")
+
+
+@query("f05_j02_c07_polygon_search", SEARCHED)
+def polygon_search(spark, d):
+    return spatial.polygon_search(derive(spark, d, fx.POLYGON_SEARCH), footprints(spark, d), versions(spark, d))
+
+
+PAIRED = f"""
+with e as (select *, count(*) over (partition by fid, part, ring) n from ({EDGES.format(points=fx.SHAPES)}) e where x2 is not null),
+p as (select a.fid, a.part part1, a.ring ring1, a.seq seq1, b.part part2, b.ring ring2, b.seq seq2, a.n,
+    sign((a.x2-a.x)*(b.y-a.y)-(a.y2-a.y)*(b.x-a.x)) d1, sign((a.x2-a.x)*(b.y2-a.y)-(a.y2-a.y)*(b.x2-a.x)) d2, sign((b.x2-b.x)*(a.y-b.y)-(b.y2-b.y)*(a.x-b.x)) d3, sign((b.x2-b.x)*(a.y2-b.y)-(b.y2-b.y)*(a.x2-b.x)) d4,
+    least(greatest(a.x,a.x2),greatest(b.x,b.x2))-greatest(least(a.x,a.x2),least(b.x,b.x2)) sx, least(greatest(a.y,a.y2),greatest(b.y,b.y2))-greatest(least(a.y,a.y2),least(b.y,b.y2)) sy
+  from e a join e b on a.fid = b.fid and (a.part, a.ring, a.seq) < (b.part, b.ring, b.seq)),
+m as (select *, d1*d2 < 0 and d3*d4 < 0 as through, d1 = 0 and d2 = 0 and sx >= 0 and sy >= 0 and (sx > 0 or sy > 0) as along, d1*d2 <= 0 and d3*d4 <= 0 and sx >= 0 and sy >= 0 as meet, part1 = part2 and ring1 = ring2 as one from p),
+points as (select fid, part, ring, x, y from e union select fid, part, ring, (x+x2)/2e0, (y+y2)/2e0 from e),
+placed as (
+  select q.fid, q.part part1, q.ring ring1, q.x, q.y, r.part part2, r.ring ring2,
+    bool_or((r.x2-r.x)*(q.y-r.y)-(r.y2-r.y)*(q.x-r.x) = 0 and least(r.x,r.x2) <= q.x and q.x <= greatest(r.x,r.x2) and least(r.y,r.y2) <= q.y and q.y <= greatest(r.y,r.y2)) as on_it,
+    sum(case when (r.y > q.y) <> (r.y2 > q.y) and q.x < (r.x2-r.x)*(q.y-r.y)/(r.y2-r.y)+r.x then 1 else 0 end) % 2 = 1 as odd
+  from points q join e r on r.fid = q.fid and (r.part, r.ring) <> (q.part, q.ring) group by all),
+inner_ as (select fid, part1, ring1, x, y, part2, bool_or(ring2 = 0 and odd and not on_it) and not bool_or(ring2 > 0 and (odd or on_it)) as within from placed where part1 <> part2 and ring1 = 0 group by all),
+found as (
+  select fid, 2 as k from (select fid, part, ring, arg_min(x, seq) x1, arg_min(y, seq) y1, arg_max(x, seq) x9, arg_max(y, seq) y9 from ({fx.SHAPES}) s group by all) where x1 <> x9 or y1 <> y9
+  union all select fid, 3 from (select fid, part, ring from (select distinct fid, part, ring, x, y from ({fx.SHAPES}) s) group by all having count(*) < 3)
+  union all select fid, 4 from m where one and (along or (meet and not (seq2-seq1 = 1 or seq2-seq1 = n-1)))
+  union all select fid, 5 from m where not one and part1 = part2 and (through or along)
+  union all select fid, 6 from placed where part1 = part2 and ring2 = 0 and not odd and not on_it
+  union all select fid, 7 from placed where part1 = part2 and ring1 > 0 and ring2 > 0 and odd and not on_it
+  union all select fid, 8 from m where part1 <> part2 and (through or along)
+  union all select fid, 8 from inner_ where within)
+select o_orderkey fid, {polygons.REASONS!r}[k + 1] as reason from orders left join (select fid, min(k) k from found group by fid) f on fid = o_orderkey"""
+
+
+@query("p23_polygon_validity", PAIRED)
+def polygon_validity(spark, d):
+    return vector.shapes_of(derive(spark, d, fx.SHAPES), ["fid"]).select("fid", polygons.invalid_reason(F.col("shapes")).alias("reason"))
+
+
+@query("p23_polygon_orientation", f"""
+select fid, sum(case when part = 0 and ring = 0 then a else 0e0 end) shell, sum(case when ring > 0 then 0e0-a else 0e0 end) holes
+from (select fid, part, ring, abs(sum((x-x1)*(y2-y1)-(x2-x1)*(y-y1))) a
+  from (select *, first_value(x) over (partition by fid, part, ring order by seq) x1, first_value(y) over (partition by fid, part, ring order by seq) y1 from ({EDGES.format(points=fx.SHAPES)}) e) g where x2 is not null group by fid, part, ring) r
+group by fid""")
+def polygon_orientation(spark, d):
+    s = vector.shapes_of(derive(spark, d, fx.SHAPES), ["fid"])
+    areas = F.transform(polygons.oriented(F.col("shapes")), lambda p: F.transform(p, polygons.doubled_area))
+    holes = F.aggregate(areas, F.lit(0.0), lambda n, p: n + F.aggregate(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), F.lit(0.0), lambda m, a: m + a))
+    return s.select("fid", areas[0][0].alias("shell"), holes.alias("holes"))
+
+
 @query("f13_service_area", f"select fid, maxx >= 124e0 and minx <= 127e0 and maxy >= 33e0 and miny <= 37.5e0 as meets, minx >= 124e0 and maxx <= 127e0 and miny >= 33e0 and maxy <= 37.5e0 as contained from ({fx.BOXES}) b")
 def service_area(spark, d):
     b = derive(spark, d, fx.BOXES).withColumns({"w": F.lit(124.0), "s": F.lit(33.0), "e": F.lit(127.0), "n": F.lit(37.5)})
