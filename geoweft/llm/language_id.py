@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geoweft.llm.common import by_parts, fold, give_back
+from geoweft.llm.common import by_parts, fold, free_name, give_back
 
 DIM = 2048
 UNKNOWN = "und"
@@ -100,7 +100,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 400,
             p -= rate * (moments[k] / (1 - 0.9**t)) / (np.sqrt(moments[k + 1] / (1 - 0.99**t)) + 1e-8)
     right = (((x @ w + b) * target > 0) * row).sum(0).clip(0.501, 0.999)
     trust = np.log(right / (1 - right))
-    return Model(languages, code, w, b, (trust / max(trust.mean(), 1e-9)).astype(np.float32))
+    return Model(languages, code, w, b, (trust / max(trust.mean() if len(trust) else 1.0, 1e-9)).astype(np.float32))
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 500, most_texts: int = 20_000) -> Model:
@@ -159,10 +159,11 @@ def predict(text: Column, model: Model, margin: float = 0.1) -> Column:
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     model = fit(docs, folds, held_out)
-    return docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is known and more likely than all others together."""
     p = predict(F.col("text"), fit(docs))
-    return docs.withColumn("__language", p).where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") > least)).drop("__language")
+    name = free_name("__language", docs.columns)
+    return docs.withColumn(name, p).where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") > least)).drop(name)

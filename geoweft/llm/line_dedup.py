@@ -17,7 +17,8 @@ bound below the length looked for.
 
 Defined cases: null text stays null with no units; null doc_id ranks last; rows alike in doc_id and text
 count as one document and get the same result each (their units count once); a text may lose all it has and is then
-empty; an empty table gives no rows; other columns pass through, whatever their names but __removed and __passages.
+empty; an empty table gives no rows; other columns pass through, whatever their names; a caller's own __removed or
+__passages stays, and the two made here, which come last, then have another line before their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import by_parts
+from geoweft.llm.common import by_parts, free_name
 from geoweft.tables import materialize
 
 WHITE = r"[ \t\r\n\f\x0B]"
@@ -88,7 +89,7 @@ def dedup(docs: DataFrame, unit: str = "line", least: int = 24, passage: int = 2
     def cut(rows: list[dict]) -> list[dict]:
         out = []
         for row in rows:
-            t, found = row["text"], row["__places"]
+            t, found = row["text"], row["places"]
             if t is None or not found:
                 out.append({"text": t, "removed": [], "passages": []})
                 continue
@@ -121,10 +122,12 @@ def dedup(docs: DataFrame, unit: str = "line", least: int = 24, passage: int = 2
     places = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))
     cut_ = by_parts(cut, "text string, removed array<struct<start: int, end: int>>, passages array<struct<start: int, end: int>>", pa.struct({"text": pa.string(), "removed": places, "passages": places}))
 
-    gone = repeated_units(docs, unit, least, most_hot).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    done = joined.withColumn("__cut", cut_(F.struct("text", "__places")))
-    return done.select(*[F.col("__cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__cut.removed").alias("__removed"), F.col("__cut.passages").alias("__passages"))
+    id_, key_, places_, cut_to = (free_name(f"__{c}", docs.columns) for c in ("id", "key", "places", "cut"))
+    gone = repeated_units(docs, unit, least, most_hot).select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("places").alias(places_))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key_)), "left")
+    done = joined.withColumn(cut_to, cut_(F.struct(F.col("text"), F.col(places_).alias("places"))))
+    own = [F.col(f"{cut_to}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*own, F.col(f"{cut_to}.removed").alias(free_name("__removed", docs.columns)), F.col(f"{cut_to}.passages").alias(free_name("__passages", docs.columns)))
 
 
 def summary(docs: DataFrame, unit: str = "line", least: int = 24, passage: int = 25) -> DataFrame:

@@ -38,15 +38,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, kept, parts_of
+from geoweft.llm.common import Memo, free_name, kept, parts_of
 from geoweft.operators.components import components
 from geoweft.tables import materialize
 
 #: Slots of the count sketch, and of each block of it that travels.
 SLOTS, BLOCK = 1 << 22, 1 << 16
 NAMES = ["shingle", "a", "b", "n", "m", "place", "hits"]
-#: Slots of the fixed filter that says which sets are worth fetching.
-FILTER = 1 << 23
+#: Fewest and most slots of the filter that says which rows are worth fetching; between them it has 10 for each.
+FILTER = 1 << 20, 1 << 27
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -74,6 +74,27 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return both >> 65, (both & (1 << 63) - 1)
 
 
+def key_of(s: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
+    """The key of a set; of sets whose first 63 bits are the same, all but one have another."""
+    both = digest(s)
+    return renamed.get(both, both[0]) if renamed else both[0]
+
+
+def clashes(sets: DataFrame, most: int = 100_000) -> dict[tuple[int, int], int]:
+    """New keys, -2 and below, by (key, check): where different sets share a key, all but the first get one. Of n sets some
+    n^2 / 2^64 do, so what travels is tiny; more than `most` mean that keys aren't what they should be."""
+    shared = sets.groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("key")
+    found = sets.select("key", "check").join(shared, "key", "left_semi").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise RuntimeError(f"more than {most} different sets share keys")
+    known, out = set(), {}
+    for key, check in sorted(tuple(r) for r in found):
+        if key in known:
+            out[key, check] = -2 - len(out)
+        known.add(key)
+    return out
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
     """Rows of doc_id, hash of the text, n, key, check (kind 0) and blocks of the sketch (kind 1: block, counts)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -142,7 +163,7 @@ def fewest(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int, renamed: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """shingle, key, n, place: the entries of each set that a link must share one of."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +175,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> Dat
                 s = shingles(text, size)
                 if not len(s):
                     continue
-                key = digest(s)[0]
+                key = key_of(s, renamed)
                 if key in seen:
                     continue
                 if len(seen) < 500_000:
@@ -341,36 +362,42 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def slot_bits(rows: DataFrame) -> np.ndarray:
-    """The filter of a table's doc_ids: one bit for each slot of their hashes, 1 MB in all."""
-    slots = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot")).distinct()
+def slot_bits(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter of a table's doc_ids, one bit for each slot of their hashes, and its slots: at least 10 a row, 16 MB at most."""
+    slots = min(FILTER[1], max(FILTER[0], 1 << (10 * rows.count()).bit_length()))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER, bool)
+        bits = np.zeros(slots // 8, np.uint8)
         for b in batches:
-            bits[b["slot"].to_numpy()] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+            at = b["slot"].to_numpy()
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
 
-    bits = np.zeros(FILTER // 8, np.uint8)
-    for r in slots.coalesce(8).mapInPandas(gather, "bits binary").collect():
+    bits = np.zeros(slots // 8, np.uint8)
+    some = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")).distinct().coalesce(8)
+    for r in some.mapInPandas(gather, "bits binary").toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
-    return bits
+    return bits, slots
+
+
+def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 
-def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    """key, set: the whole sets of the wanted keys. Only one document of each is shingled again: a filter of fixed size
-    by doc_id leaves out most others, and what it lets through too much joins nothing."""
+def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """key, set: the whole sets of the wanted keys. Only one document of each is shingled again: a filter by doc_id leaves
+    out most others, and what it lets through too much joins nothing."""
     wanted = keys.distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(slot_bits(wanted.join(firsts, "key")))
+    bits, slots = slot_bits(wanted.join(firsts, "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            for some in parts_of([b.filter(pa.array(mask[b.column("slot").to_numpy()]))]):
+            for some in parts_of([b.filter(pa.array(in_filter(shared.value, b.column("slot").to_numpy())))]):
                 found = [s for s in (shingles(t, size) for t in some.column("text").to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([digest(s)[0] for s in found], pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key_of(s, renamed) for s in found], pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    there = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("slot"), "text")
+    there = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), "text")
     return there.mapInArrow(shingled, "key long, set binary").groupBy("key").agg(F.first("set").alias("set")).join(wanted, "key", "left_semi")
 
 
@@ -424,15 +451,16 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 4, pe
     profile = materialize(profiles(docs, size), "profiles")
     level = frequency(profile)
     sets = profile.where("kind = 0").select("doc_id", "hash", "n", "key", "check")
-    firsts = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
-    if firsts.where("x <> y").limit(1).count():
-        raise RuntimeError("two different sets have the same digest")
+    if renamed := clashes(sets.where("n > 0")):
+        names = docs.sparkSession.createDataFrame([(*both, to) for both, to in renamed.items()], "key long, check long, to long")
+        sets = sets.join(F.broadcast(names), ["key", "check"], "left").select("doc_id", "hash", "n", F.coalesce("to", "key").alias("key"))
+    firsts = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     def held(rows: DataFrame, asked: DataFrame) -> DataFrame:
         blocks = materialize(dealt(rows.join(firsts.select("key", "n"), "key"), asked, per_block, per_lane), "blocks")
-        return linked(blocks, fetched(docs, blocks.select("key"), firsts, size), percent)
+        return linked(blocks, fetched(docs, blocks.select("key"), firsts, size, renamed), percent)
 
-    made = materialize(products(prefixes(docs, level, size, percent), percent, wide), "products")
+    made = materialize(products(prefixes(docs, level, size, percent, renamed), percent, wide), "products")
     pairs = materialize(counted(made, percent), "pairs")
     first = materialize(held(pairs.select("cell", F.col("cell").alias("key")).distinct(), pairs), "links")
     class_of = materialize(components(first, "cell", "key"), "classes")
@@ -462,28 +490,29 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, wide: int = 4, **siz
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row of each class, with all its columns: that of the smallest doc_id (nulls last), of two texts under it that
-    of the smaller hash, of rows alike in both any one. Rows without words are linked with nothing and all stay."""
+    of the smaller hash, of rows alike in both any one. Rows without words are linked with nothing and all stay. Columns may have any names."""
     rows = materialize(classes(docs, size, percent).select("doc_id", "hash", "n", "class"), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
     best = rows.where("n > 0").groupBy("class").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class", "r")
     # of a class of one nothing goes; of the others all rows go but one, and what is left of rows alike is decided on few
     ranked = rows.join(best, "class").select("doc_id", "hash", rank.eqNullSafe(F.col("r")).alias("best"))
-    marks = materialize(ranked.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(F.bool_or("best").alias("__best"), F.count(F.lit(1)).alias("__rows")), "marks")
+    id_, hash_, best_, rows_, text_, hit_ = (free_name(f"__{c}", docs.columns) for c in ("id", "hash", "best", "rows", "text", "hit"))
+    marks = materialize(ranked.groupBy(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).agg(F.bool_or("best").alias(best_), F.count(F.lit(1)).alias(rows_)), "marks")
     own = [f"`{c}`" for c in docs.columns]
-    gone = marks.where("not (__best and __rows = 1)")
-    shared = docs.sparkSession.sparkContext.broadcast(slot_bits(gone.select(F.col("__id").alias("doc_id"))))
+    gone = marks.where(~(F.col(best_) & (F.col(rows_) == 1)))
+    bits, slots = slot_bits(gone.select(F.col(id_).alias("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("boolean")
-    def hit(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy()
-        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    def hit(slots_: pa.Array) -> pa.Array:
+        return pa.array(in_filter(shared.value, slots_.to_numpy()))
 
     # rows whose slot nothing that goes has stay where they are, and only the others are joined
-    marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__hit", hit(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))))
-    some = marked.where("__hit")
-    same = some["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    stay = marked.where("not __hit").select(*own).unionByName(some.join(gone, same, "left_anti").select(*own))
-    alike = marks.where("__best and __rows > 1")
+    marked = docs.withColumn(text_, F.xxhash64("text")).withColumn(hit_, hit(F.pmod(F.xxhash64("doc_id"), F.lit(slots))))
+    some = marked.where(F.col(hit_))
+    same = some["doc_id"].eqNullSafe(F.col(id_)) & (F.col(text_) == F.col(hash_))
+    stay = marked.where(~F.col(hit_)).select(*own).unionByName(some.join(gone, same, "left_anti").select(*own))
+    alike = marks.where(F.col(best_) & (F.col(rows_) > 1))
     if not alike.limit(1).count():
         return stay
-    return stay.unionByName(some.join(alike, same).dropDuplicates(["__id", "__hash"]).select(*own))
+    return stay.unionByName(some.join(alike, same).dropDuplicates([id_, hash_]).select(*own))

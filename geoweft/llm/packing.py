@@ -44,6 +44,7 @@ class WordEncoder:
     letters are lower-cased, so words are looked up without them; what is new among all-letter words is
     encoded as one text and cut again where the vocabulary marks the end of a word."""
 
+    LONGEST = 64  # characters of a word that is remembered
     MARKS = ".,!?;:%$#&*-_/\\()[]{}\"+=~^@`"
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -101,15 +102,21 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [[t] if self.odd(t) else t.split() for t in texts]
         every = set().union(*words)
+        # long words, and whole texts where white space isn't what it seems, are encoded but not remembered
+        long = {w for w in every if len(w) > self.LONGEST}
+        every -= long
         new = every.difference(self.known)
         if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, every
+            self.known, new = {}, set(every)
         if any(map(self.special, texts)):  # an added token is matched as it stands, so nothing is taken from its word
             apart = set(filter(self.special, new))
             self.known.update((w, self._one(w)) for w in apart)
             new -= apart
         self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, row)) for row in words]
+        if not long:
+            return [b"".join(map(self.known.__getitem__, row)) for row in words]
+        once = {w: self._one(w) for w in long}
+        return [b"".join(once[w] if w in once else self.known[w] for w in row) for row in words]
 
 
 def encoder(path: str) -> WordEncoder:

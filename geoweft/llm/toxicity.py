@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, by_parts, fold, give_back, kept
+from geoweft.llm.common import Memo, by_parts, fold, free_name, give_back, kept
 
 WORD = re.compile(r"\w+").findall
 
@@ -182,4 +182,5 @@ def rate(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The rows, with all their columns, whose score is below `least`."""
     model = fit(docs, labels)
-    return docs.withColumn("__toxicity", score(F.col("text"), model)).where(F.col("__toxicity") < least).drop("__toxicity")
+    name = free_name("__toxicity", docs.columns)
+    return docs.withColumn(name, score(F.col("text"), model)).where(F.col(name) < least).drop(name)

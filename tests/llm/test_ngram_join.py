@@ -104,3 +104,14 @@ def test_blocks_and_lanes_of_one_cell(spark):
     want = brute(rows)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.join(docs, wide=2, per_block=300, per_lane=7).collect()}
     assert got == want
+
+
+def test_different_sets_that_share_a_key(spark, monkeypatch):
+    true = J.digest
+    weak = lambda s: (1 + true(s)[0] % 3, true(s)[1])
+    monkeypatch.setattr(J, "digest", weak)
+    monkeypatch.setattr(J, "key_of", lambda s, renamed: renamed.get(weak(s), weak(s)[0]))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[k : k + 30])) for k in range(0, 30, 5)] + [(100 + k, " ".join(words[k : k + 30] + ["more"])) for k in range(0, 30, 5)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs).collect()} == brute(rows)

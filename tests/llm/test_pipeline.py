@@ -73,3 +73,21 @@ def test_stages_take_nulls_repeats_and_clashing_columns(spark):
     assert {r.doc_id for r in packed.collect()} == set(ids)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, wide.limit(0), DATA).collect() == []
+
+
+NAMES = ["__text", "__hit", "__id", "__hash", "__best", "__rows", "__cut", "__key", "__places", "__language", "__toxicity", "hash", "key", "class", "kind", "block", "counts", "slot", "digest", "place"]
+
+
+def test_columns_of_any_name_come_through(spark):
+    line = "a line that two documents hold, long enough to be told apart from chance"
+    rows = [(k, f"Some plain words of document number {k} that nobody else says in this order.\n{line}", "en") for k in range(8)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in NAMES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) >= (8 if name == "ngram_join" else 1) or name == "toxicity", name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in got for c in NAMES), name
+    again = line_dedup.dedup(docs.withColumn("__removed", F.lit("mine")))
+    assert again.columns[-2:] == ["___removed", "__passages"] and {r["__removed"] for r in again.collect()} == {"mine"}
