@@ -229,7 +229,12 @@ def to_projected(lon: Column, lat: Column, epsg: int) -> Column:
 def from_projected(x: Column, y: Column, epsg: int) -> Column:
     """struct<x, y> as lon and lat in degrees."""
     lon0, lat0, k0, fe, fn = TRANSVERSE_MERCATOR[epsg]
-    start = F.struct((((y - fn) / k0 + _northing_at(lat0)) / _RADIUS).alias("xi"), ((x - fe) / (k0 * _RADIUS)).alias("eta"))
+    return _unprojected(x, y, lon0, _northing_at(lat0), k0, fe, fn)
+
+
+def _unprojected(x: Column, y: Column, lon0, north0, k0, fe, fn) -> Column:
+    """from_projected() with the parameters of a system as numbers or columns."""
+    start = F.struct((((y - fn) / k0 + north0) / _RADIUS).alias("xi"), ((x - fe) / (k0 * _RADIUS)).alias("eta"))
 
     def sphere(p):
         a, b = p["xi"], p["eta"]
@@ -254,6 +259,23 @@ def from_projected(x: Column, y: Column, epsg: int) -> Column:
     return let(start, lambda p: let(sphere(p), geographic))
 
 
+def known_crs(epsg: Column) -> Column:
+    """Whether transform_crs() takes a code."""
+    return F.coalesce(epsg.isin(4326, *TRANSVERSE_MERCATOR), F.lit(False))
+
+
+def to_wgs84(x: Column, y: Column, epsg: Column) -> Column:
+    """struct<x, y> as lon and lat by a column of codes, so that one table may mix systems; null where the code isn't known or
+    the result isn't finite."""
+    known = F.lit(None)
+    for code, (lon0, lat0, k0, fe, fn) in TRANSVERSE_MERCATOR.items():
+        values = {"lon0": lon0, "north0": _northing_at(lat0), "k0": k0, "fe": fe, "fn": fn}
+        known = F.when(epsg == code, F.struct(*[F.lit(v).alias(k) for k, v in values.items()])).otherwise(known)
+    other = let(known, lambda p: F.when(p.isNotNull(), _unprojected(x, y, p["lon0"], p["north0"], p["k0"], p["fe"], p["fn"])))
+    found = F.when(epsg == 4326, point(x, y)).otherwise(other)
+    return let(found, lambda q: F.when(F.abs(q["x"]).between(0, 1e300) & F.abs(q["y"]).between(0, 1e300), q))
+
+
 def transform_crs(x: Column, y: Column, source: int, target: int) -> Column:
     """struct<x, y> in another reference system; null where the result is not finite. Unknown codes raise."""
     for code in (source, target):

@@ -5,11 +5,13 @@ tiles: dataset, level, band, tile_col, tile_row, width, height, data (row by row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from geoweft.functions import geo
+from geoweft.tables import materialize
 
 
 def tiles_of(pixels: DataFrame, size: int = 512) -> DataFrame:
@@ -42,30 +44,52 @@ def statistics(tiles: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select("dataset", "band", "n_pixels", F.when(F.col("n_pixels") > 0, 1 - F.col("good") / F.col("n_pixels")).alias("nodata_ratio"), "min_value", "max_value")
 
 
+def centre_lat(gt: Column, width: Column, height: Column) -> Column:
+    """The middle of a raster in its own system, y."""
+    return geo.apply_transform(gt, width / 2.0, height / 2.0)["y"]
+
+
 def inspected(tiles: DataFrame, meta: DataFrame) -> DataFrame:
-    """A row for each raster of meta (with epsg, where there is one): size, bands, pixel sizes, extent in its own system, and the
-    statistics of its first band."""
+    """A row for each raster of meta, which may hold epsg, srs, data_type and linear_unit (metres of one unit of its system) too: size,
+    bands, data type, pixel sizes, resolution in metres, extent in its own system (own_minx, ...), footprint and extent (minx, ...)
+    in EPSG:4326, and the statistics of its first band. What isn't georeferenced or is in a system that isn't known has no
+    footprint, extent or resolution; nothing else is missing then."""
+    kinds = {"epsg": "int", "srs": "string", "data_type": "string", "linear_unit": "double"}
+    meta = meta.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in meta.columns})
     bands = tiles.where("level = 0").groupBy("dataset").agg(F.countDistinct("band").alias("n_bands"), F.min("band").alias("band"))
     stats = statistics(tiles, meta).join(bands, ["dataset", "band"]).drop("band")
     gt, w, h = F.col("gt"), F.col("raster_width"), F.col("raster_height")
+    there = F.coalesce(geo.is_georeferenced(gt) & geo.known_crs(F.col("epsg")), F.lit(False))
     corner = [geo.apply_transform(gt, x.cast("double"), y.cast("double")) for x in (F.lit(0), w) for y in (F.lit(0), h)]
     side = lambda f, k: f(*[c[k] for c in corner])
-    own = meta.select(
-        *meta.columns, F.abs(F.get(gt, 1)).alias("pixel_x"), F.abs(F.get(gt, 5)).alias("pixel_y"), geo.is_georeferenced(gt).alias("georeferenced"),
-        side(F.least, "x").alias("minx"), side(F.least, "y").alias("miny"), side(F.greatest, "x").alias("maxx"), side(F.greatest, "y").alias("maxy"),
-    )
+    size = geo.pixel_size(gt)
+    own = meta.withColumns({
+        "data_type": F.coalesce("data_type", F.lit("Float64")), "pixel_x": size["x"], "pixel_y": size["y"], "georeferenced": geo.is_georeferenced(gt), "own_minx": side(F.least, "x"), "own_miny": side(F.least, "y"),
+        "own_maxx": side(F.greatest, "x"), "own_maxy": side(F.greatest, "y"), "footprint": F.when(there, footprint_of(gt, w, h, F.col("epsg"))),
+    })
+    xs, ys = F.transform("footprint", lambda p: p["x"]), F.transform("footprint", lambda p: p["y"])
+    own = own.withColumns({"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)})
+    geographic = F.col("epsg") == 4326
+    own = own.withColumn("resolution_m", F.when(there, geo.resolution_m(gt, geographic, centre_lat(gt, w, h), F.coalesce("linear_unit", F.lit(1.0)))))
     return own.join(stats, "dataset", "left")
 
 
 def write_tiles(tiles: DataFrame, meta: DataFrame, path: str, version_no: int, size: int = 512, most: int = 512) -> None:
-    """Level 0 and its overviews as Parquet by dataset, version_no and level; what was there of the same three is replaced."""
+    """Level 0 and its overviews as Parquet by dataset and version_no. A version is replaced whole, so levels that a rewrite no longer
+    has are gone, and a retry leaves the same rows."""
     every = overviews(tiles, meta, size, most).withColumn("version_no", F.lit(version_no))
-    every.hint("rebalance", "dataset", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "version_no", "level").parquet(path)
+    every.hint("rebalance", "dataset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "version_no").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, dataset: str, version_no: int) -> DataFrame:
+    """The tiles of one version: only its files are read."""
+    return spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("version_no") == version_no)).drop("version_no")
 
 
 def located(points: DataFrame, meta: DataFrame) -> DataFrame:
     """points (qid, dataset, lon, lat) with px, py and whether the raster holds them."""
-    p = points.join(F.broadcast(meta), "dataset", "left").withColumn("p", geo.to_pixel(F.col("gt"), F.col("lon"), F.col("lat")))
+    # exploding an array of one computes it once, however often it is used
+    p = points.join(F.broadcast(meta), "dataset", "left").withColumn("p", F.explode(F.array(geo.to_pixel(F.col("gt"), F.col("lon"), F.col("lat")))))
     p = p.withColumn("px", F.col("p.x")).withColumn("py", F.col("p.y")).drop("p")
     return p.withColumn("inside", F.coalesce(geo.in_raster(F.col("px"), F.col("py"), F.col("raster_width"), F.col("raster_height")), F.lit(False)))
 
@@ -96,39 +120,95 @@ def bilinear(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int = 5
     fy = geo.clamp(F.col("py") - 0.5, F.lit(0.0), (h - 1).cast("double"))
     x0 = F.least(F.floor(fx), F.greatest(w - 2, F.lit(0))).cast("int")
     y0 = F.least(F.floor(fy), F.greatest(h - 2, F.lit(0))).cast("int")
-    p = p.withColumn("x0", x0).withColumn("y0", y0).withColumn("dx", fx - x0).withColumn("dy", fy - y0)
-    own_col, own_row = F.floor("px").cast("int"), F.floor("py").cast("int")
-    corner = lambda k, c, r: F.struct(F.lit(k).alias("k"), c.alias("col"), r.alias("row"))
-    four = F.array(*[corner(2 * b + a, F.least(F.col("x0") + a, w - 1), F.least(F.col("y0") + b, h - 1)) for b in (0, 1) for a in (0, 1)], corner(4, own_col, own_row))
-    at = p.where("inside").select("qid", "dataset", "nodata", "dx", "dy", w.alias("w"), h.alias("h"), F.explode(four).alias("c")).select("*", "c.*").drop("c")
-    v = _lookup(at, tiles.where(F.col("band") == band), size)
+    p = p.withColumn("q", F.explode(F.array(F.struct(x0.alias("x0"), y0.alias("y0"), (fx - x0).alias("dx"), (fy - y0).alias("dy"))))).select("*", "q.*").drop("q")
+    p = p.withColumns({"c4": F.floor("px").cast("int"), "r4": F.floor("py").cast("int"), "x1": F.least(F.col("x0") + 1, w - 1), "y1": F.least(F.col("y0") + 1, h - 1)})
+    tile = lambda c: F.floor(F.col(c) / size)
+    in_one = (tile("x0") == tile("x1")) & (tile("y0") == tile("y1"))  # the point's own pixel is one of the four
+    used, layer = p.where("inside"), tiles.where(F.col("band") == band)
+
+    def interpolated(v):
+        top = v[0] * (1 - F.col("dx")) + v[1] * F.col("dx")
+        low = v[2] * (1 - F.col("dx")) + v[3] * F.col("dx")
+        whole = v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull() & v[3].isNotNull() & (F.col("w") > 1) & (F.col("h") > 1)
+        return F.when(whole, top * (1 - F.col("dy")) + low * F.col("dy")).otherwise(v[4])
+
+    # four pixels of one tile: one look at it
+    t = layer.where("level = 0").select("dataset", "tile_col", "tile_row", "width", "data")
+    keyed = used.where(in_one).select("qid", "dataset", "nodata", "dx", "dy", w.alias("w"), h.alias("h"), "x0", "x1", "c4", "y0", "y1", "r4", tile("x0").cast("int").alias("tile_col"), tile("y0").cast("int").alias("tile_row"))
+    met = keyed.join(t, ["dataset", "tile_col", "tile_row"], "left")
+    at = lambda c, r: F.get("data", ((F.col(r) - F.col("tile_row") * size) * F.col("width") + F.col(c) - F.col("tile_col") * size).cast("int"))
+    five = F.transform(F.array(at("x0", "y0"), at("x1", "y0"), at("x0", "y1"), at("x1", "y1"), at("c4", "r4")), lambda v: F.when(~geo.is_nodata(v, F.col("nodata")), v))
+    simple = met.select("qid", "dx", "dy", "w", "h", five.alias("v")).select("qid", interpolated([F.get("v", k) for k in range(5)]).alias("elevation"))
+    # on a seam: five looks, brought together again
+    corner = lambda k, c, r: F.struct(F.lit(k).alias("k"), F.col(c).alias("col"), F.col(r).alias("row"))
+    looks = F.array(corner(0, "x0", "y0"), corner(1, "x1", "y0"), corner(2, "x0", "y1"), corner(3, "x1", "y1"), corner(4, "c4", "r4"))
+    v = _lookup(used.where(~in_one).select("qid", "dataset", "nodata", "dx", "dy", w.alias("w"), h.alias("h"), F.explode(looks).alias("c")).select("*", "c.*").drop("c"), layer, size)
     v = v.withColumn("value", F.when(~geo.is_nodata(F.col("value"), F.col("nodata")), F.col("value")))
     q = [F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in range(5)]
-    g = v.groupBy("qid").agg(*q, F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.first("w").alias("w"), F.first("h").alias("h"))
-    top = F.col("v0") * (1 - F.col("dx")) + F.col("v1") * F.col("dx")
-    low = F.col("v2") * (1 - F.col("dx")) + F.col("v3") * F.col("dx")
-    whole = F.col("v0").isNotNull() & F.col("v1").isNotNull() & F.col("v2").isNotNull() & F.col("v3").isNotNull() & (F.col("w") > 1) & (F.col("h") > 1)
-    z = F.when(whole, top * (1 - F.col("dy")) + low * F.col("dy")).otherwise(F.col("v4"))
-    return points.select("qid").join(g.select("qid", z.alias("elevation")), "qid", "left")
+    g = v.groupBy("qid").agg(*q, *[F.first(c).alias(c) for c in ("dx", "dy", "w", "h")])
+    seams = g.select("qid", interpolated([F.col(f"v{k}") for k in range(5)]).alias("elevation"))
+    return simple.unionByName(seams).unionByName(p.where("not inside").select("qid", F.lit(None).cast("double").alias("elevation")))
+
+
+def _parent(rows: pa.Table, size: int) -> pa.Table:
+    """One tile of the next level from up to four: the mean of the valid pixels of two by two."""
+    sums, n = np.zeros((size, size)), np.zeros((size, size), np.int64)
+    dataset, level, band, col, row, w, h = (rows.column(c)[0].as_py() for c in ("dataset", "level", "band", "up_col", "up_row", "level_w", "level_h"))
+    for k in range(rows.num_rows):
+        width, height, data = (rows.column(c)[k] for c in ("width", "height", "data"))
+        width, height = width.as_py(), height.as_py()
+        v = np.full((height + height % 2, width + width % 2), np.nan)
+        v[:height, :width] = data.values.to_numpy(zero_copy_only=False).astype(float).reshape(height, width)
+        nodata = rows.column("nodata")[k].as_py()
+        good = ~np.isnan(v) & (v != nodata if nodata is not None else True)
+        four = lambda x: x.reshape(x.shape[0] // 2, 2, x.shape[1] // 2, 2).sum((1, 3))
+        at = (rows.column("tile_row")[k].as_py() % 2 * (size // 2), rows.column("tile_col")[k].as_py() % 2 * (size // 2))
+        inside = np.s_[at[0] : at[0] + v.shape[0] // 2, at[1] : at[1] + v.shape[1] // 2]
+        sums[inside], n[inside] = four(np.where(good, v, 0.0)), four(good)
+    width, height = min(size, w - col * size), min(size, h - row * size)
+    n = n[:height, :width].reshape(-1)
+    mean = pa.array(sums[:height, :width].reshape(-1) / np.maximum(n, 1), pa.float64(), mask=n == 0)
+    one = {"dataset": dataset, "level": level + 1, "band": band, "tile_col": col, "tile_row": row, "width": width, "height": height}
+    return pa.table({k: pa.array([v], pa.string() if k == "dataset" else pa.int32()) for k, v in one.items()} | {"data": pa.ListArray.from_arrays(pa.array([0, len(mean)], pa.int32()), mean)})
 
 
 def overviews(tiles: DataFrame, meta: DataFrame, size: int = 512, most: int = 512) -> DataFrame:
-    """tiles with levels 1, 2, ...: each pixel the mean of the valid ones of two by two, until `most` pixels do."""
-    t = tiles.where("level = 0").join(F.broadcast(meta.select("dataset", "nodata")), "dataset")
-    now = pixels_of(t.drop("nodata"), size).join(F.broadcast(meta.select("dataset", "nodata", F.greatest("raster_width", "raster_height").alias("side"))), "dataset")
-    now = now.withColumn("value", F.when(~geo.is_nodata(F.col("value"), F.col("nodata")), F.col("value"))).drop("nodata")
-    out, level, side = tiles, 0, meta.agg(F.max(F.greatest("raster_width", "raster_height"))).first()[0] or 0
-    while side > most:
-        level, side = level + 1, (side + 1) // 2
-        now = now.where(F.col("side") > most).groupBy("dataset", "band", F.floor(F.col("col") / 2).cast("int").alias("col"), F.floor(F.col("row") / 2).cast("int").alias("row")).agg(F.avg("value").alias("value"), F.ceil(F.first("side") / 2).alias("side"))
-        now = now.withColumn("level", F.lit(level))
-        out = out.unionByName(tiles_of(now.select("dataset", "level", "band", "col", "row", "value"), size))
+    """tiles with levels 1, 2, ...: each pixel the mean of the valid ones of two by two, until `most` pixels do.
+
+    Four tiles make one, as tile sizes are even, so whole tiles are shuffled and never pixels; each level is written before the
+    next one reads it, and has a quarter of its tiles."""
+    if size % 2:
+        raise ValueError("tiles of an odd size don't nest")
+    side = F.greatest("raster_width", "raster_height")
+    known = meta.select("dataset", "nodata", F.col("raster_width").alias("level_w"), F.col("raster_height").alias("level_h"), side.alias("side"))
+    out, now, level, largest = tiles, tiles.where("level = 0"), 0, meta.agg(F.max(side)).first()[0] or 0
+    kinds = "dataset string, level int, band int, tile_col int, tile_row int, width int, height int, data array<double>"
+    while largest > most:
+        half = lambda c: F.ceil(F.col(c) / 2).cast("int")
+        left = known.where(F.col("side") > most).withColumns({"level_w": half("level_w"), "level_h": half("level_h")})
+        up = now.join(F.broadcast(left), "dataset").withColumns({"up_col": F.floor(F.col("tile_col") / 2).cast("int"), "up_row": F.floor(F.col("tile_row") / 2).cast("int")})
+        made = up.groupBy("dataset", "band", "up_col", "up_row").applyInArrow(lambda t: _parent(t, size), kinds)
+        now = materialize(made, f"level-{level + 1}")
+        out = out.unionByName(now.select(*[F.col(c).cast(t) for c, t in tiles.dtypes]))
+        # what has been averaged is null where it isn't valid
+        known = left.withColumns({"nodata": F.lit(None).cast("double"), "side": half("side")})
+        level, largest = level + 1, (largest + 1) // 2
     return out
 
 
+def _edge(gt: Column, width: Column, height: Column, per_edge: int) -> Column:
+    """Closed ring of 4 * per_edge + 1 points along the raster's edge, in its own system."""
+    at = lambda along, side: {0: (along, 0.0), 1: (1.0, along), 2: (1 - along, 1.0), 3: (0.0, 1 - along)}[side]
+    ring = [at(k / per_edge, side) for side in range(4) for k in range(per_edge)]
+    shares = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [*ring, ring[0]]])
+    return F.transform(shares, lambda s: geo.apply_transform(gt, width * s["x"], height * s["y"]))
+
+
 def footprint(gt: Column, width: Column, height: Column, epsg: int = 4326, per_edge: int = 8) -> Column:
     """Closed ring of 4 * per_edge + 1 points along the raster's edge, in EPSG:4326."""
-    t = [k / per_edge for k in range(per_edge)]
-    ring = [(width * s, F.lit(0.0)) for s in t] + [(width * 1.0, height * s) for s in t] + [(width * (1 - s), height * 1.0) for s in t] + [(F.lit(0.0), height * (1 - s)) for s in t]
-    at = [geo.apply_transform(gt, x, y) for x, y in [*ring, ring[0]]]
-    return F.array(*[geo.transform_crs(p["x"], p["y"], epsg, 4326) for p in at])
+    return F.transform(_edge(gt, width, height, per_edge), lambda p: geo.transform_crs(p["x"], p["y"], epsg, 4326))
+
+
+def footprint_of(gt: Column, width: Column, height: Column, epsg: Column, per_edge: int = 8) -> Column:
+    """footprint() by a column of codes; null for one that isn't known."""
+    return F.when(geo.known_crs(epsg), F.transform(_edge(gt, width, height, per_edge), lambda p: geo.to_wgs84(p["x"], p["y"], epsg)))

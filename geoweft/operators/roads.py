@@ -274,27 +274,33 @@ def visited(trees: DataFrame) -> DataFrame:
     return trees.groupBy("src", "mode").agg(F.sum(F.size(F.filter("g", lambda g: g < float("inf")))).alias("visited"))
 
 
-def paths(od: DataFrame, trees: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """od_id, back (0 for the last edge), edge_id: the tree edges walked back from the target, one cell a round."""
+def paths(od: DataFrame, trees: DataFrame, max_rounds: int = 10_000, per_lane: int = 4096) -> DataFrame:
+    """od_id, back (0 for the last edge), edge_id: the tree edges walked back from the target, one cell a round. Pairs that are in
+    one cell of one tree walk together, about `per_lane` of them beside each copy of the cell."""
+    at_once = ["src", "mode", "cell"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            ids, offsets, edges_, backs, nodes_ = [], [0], [], [], []
             for k in range(b.num_rows):
-                od_id, node, back = (b.column(c)[k].as_py() for c in ("od_id", "node", "back"))
                 via, pred = (b.column(c)[k].values.to_numpy() for c in ("edge_id", "pred"))
-                cell, steps = node // CELL, []
-                while node // CELL == cell and via[node % CELL] >= 0:
-                    steps.append(int(via[node % CELL]))
-                    node = int(pred[node % CELL])
-                out.append((od_id, steps, back, node if node // CELL != cell else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["od_id", "steps", "back", "node"])
+                cell, pairs = b.column("cell")[k].as_py(), b.column("pairs")[k].values
+                for od_id, node, back in zip(*(pairs.field(c).to_pylist() for c in ("od_id", "node", "back"))):
+                    while node // CELL == cell and (edge := via[node % CELL]) >= 0:
+                        edges_.append(edge)
+                        node = int(pred[node % CELL])
+                    ids.append(od_id), backs.append(back), offsets.append(len(edges_)), nodes_.append(node if node // CELL != cell else None)
+            steps = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(edges_, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), steps, pa.array(backs, pa.int64()), pa.array(nodes_, pa.int64())], ["od_id", "steps", "back", "node"])
 
     found = reached(od, trees).select("od_id")
     now = od.join(found, "od_id", "left_semi").select("od_id", "src", "mode", F.col("dst").alias("node"), F.lit(0).cast("long").alias("back"))
     out = None
     for _ in range(max_rounds):
-        at = now.withColumn("cell", _cell("node")).join(trees, ["src", "mode", "cell"]).select("od_id", "node", "back", "edge_id", "pred")
+        now = now.withColumn("cell", _cell("node"))
+        lanes = now.groupBy(*at_once).agg(F.ceil(F.count(F.lit(1)) / per_lane).alias("lanes"))
+        together = now.join(lanes, at_once).groupBy(*at_once, F.pmod(F.xxhash64("od_id"), "lanes").alias("lane")).agg(F.collect_list(F.struct("od_id", "node", "back")).alias("pairs"))
+        at = together.join(trees, at_once).select("cell", "pairs", "edge_id", "pred")
         walked = materialize(at.mapInArrow(walk, "od_id long, steps array<long>, back long, node long"), "steps")
         part = walked.select("od_id", "back", F.posexplode("steps").alias("i", "edge_id")).select("od_id", (F.col("back") + F.col("i")).alias("back"), "edge_id")
         out = part if out is None else out.unionByName(part)
@@ -304,6 +310,39 @@ def paths(od: DataFrame, trees: DataFrame, max_rounds: int = 10_000) -> DataFram
     raise RuntimeError(f"paths not walked in {max_rounds} rounds")
 
 
+def settled(od: DataFrame, trees: DataFrame, nodes: DataFrame, vmax: DataFrame, per_lane: int = 256) -> DataFrame:
+    """od_id, nodes_a, nodes_b: how many nodes a plain and a goal-directed search settle until the target of a pair that can be
+    reached is settled, itself included.
+
+    Both follow from the tree of a plain search. It settles nodes in order of g, so those with g below the target's; the goal-directed
+    one in order of g plus what the straight line to the target takes at top speed, which never falls along a way, so those whose
+    sum is below the target's g. Nodes within a microsecond of it count as settled after it. A cell of a tree meets its pairs in lanes of about
+    `per_lane`, so a source of any number of pairs is many tasks."""
+    place = nodes.select("node_seq", F.radians("lon").alias("x"), F.radians("lat").alias("y"))
+    cells = place.withColumn("cell", _cell("node_seq")).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(F.pmod("node_seq", F.lit(CELL)).cast("int").alias("at"), "x", "y"))).alias("places"))
+    goal = reached(od, trees).join(od.select("od_id", "src", "mode", "dst"), "od_id").join(place.withColumnRenamed("node_seq", "dst"), "dst").join(vmax, "mode")
+    lanes = goal.groupBy("src", "mode").agg(F.ceil(F.count(F.lit(1)) / per_lane).alias("lanes"))
+    pairs = goal.join(lanes, ["src", "mode"]).groupBy("src", "mode", "vmax", F.pmod(F.xxhash64("od_id"), "lanes").alias("lane")).agg(F.collect_list(F.struct("od_id", "g", "x", "y")).alias("pairs"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, a, c = [], [], []
+            for k in range(b.num_rows):
+                spots, asked, v = b.column("places")[k].values, b.column("pairs")[k].values, b.column("vmax")[k].as_py()
+                at, x, y = (spots.field(n).to_numpy() for n in ("at", "x", "y"))
+                g = b.column("g")[k].values.to_numpy()[at]
+                there = g < np.inf
+                g, x, y = g[there], x[there], y[there]
+                od_id, goal_g, u, w = (asked.field(n).to_numpy()[:, None] for n in ("od_id", "g", "x", "y"))
+                h = np.sin((w - y) / 2) ** 2 + np.cos(y) * np.cos(w) * np.sin((u - x) / 2) ** 2
+                way = g + 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1))) / v
+                ids.append(od_id[:, 0]), a.append((g < goal_g - 1e-6).sum(1)), c.append((way < goal_g - 1e-6).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64()) for z in (ids, a, c)], ["od_id", "a", "b"])
+
+    met = pairs.join(trees.select("src", "mode", "cell", "g"), ["src", "mode"]).join(cells, "cell").select("pairs", "vmax", "g", "places")
+    return met.mapInArrow(counted, "od_id long, a long, b long").groupBy("od_id").agg((F.sum("a") + 1).alias("nodes_a"), (F.sum("b") + 1).alias("nodes_b"))
+
+
 def routes(od: DataFrame, trees: DataFrame, steps: DataFrame, edges_: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, segments). Header: status OK, NO_PATH or UNSNAPPED, duration, distance, ascent and descent (null if the
     graph knows no elevation), line in travel direction without repeated joints. Segment: neighbours of the same name
@@ -339,15 +378,30 @@ def snapped_pairs(requests: DataFrame, nodes: DataFrame, max_m: float = 500.0) -
     return requests.join(found, "od_id")
 
 
+def routed(requests: DataFrame, links: DataFrame, nodes: DataFrame, elevation: DataFrame | None = None, max_m: float = 500.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, segments, steps) of requests (od_id, mode, from_lon, from_lat, to_lon, to_lat) from coordinates: both ends are snapped to
+    the nearest nodes within max_m, and pairs with both searched and put together. Headers are those of routes() with
+    from_snap_m and to_snap_m, in which a request without a node at either end is UNSNAPPED."""
+    pairs = materialize(snapped_pairs(requests, nodes, max_m).select("od_id", "mode", "src", "dst", "from_snap_m", "to_snap_m"), "pairs")
+    e = materialize(edges(links, elevation), "edges")
+    whole = pairs.where("src is not null and dst is not null")
+    trees = search(whole, costs(e), nodes, max_speed_mps(e))
+    steps = materialize(paths(whole, trees), "steps")
+    headers, segments = routes(pairs.select("od_id", "mode", "src", "dst"), trees, steps, e, links, nodes)
+    return headers.join(pairs.select("od_id", "src", "dst", "from_snap_m", "to_snap_m"), "od_id"), segments, steps
+
+
 def compared(od: DataFrame, cost: DataFrame, nodes: DataFrame, vmax: DataFrame) -> DataFrame:
-    """od_id, distance_m (straight), cost_a, nodes_a of the plain search and cost_b, nodes_b of the goal-directed one, as comparison()
-    takes them; nodes are those of the tree that a pair belongs to."""
+    """od_id, distance_m (straight), cost_a of the plain search and cost_b of the goal-directed one, same_cost, nodes_a and nodes_b that
+    they settle for the pair, and ratio (b to a), of the pairs that can be reached, as comparison() takes them."""
     place = nodes.select(F.col("node_seq").alias("src"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     goal = nodes.select(F.col("node_seq").alias("dst"), F.col("lon").alias("u"), F.col("lat").alias("v"))
     out = od.join(place, "src").join(goal, "dst").withColumn("distance_m", geo.haversine("x", "y", "u", "v")).drop("x", "y", "u", "v")
-    for name, trees in (("a", search(od, cost)), ("b", search(od, cost, nodes, vmax))):
-        out = out.join(reached(od, trees).withColumnRenamed("g", f"cost_{name}"), "od_id").join(visited(trees).withColumnRenamed("visited", f"nodes_{name}"), ["src", "mode"])
-    return out.select("od_id", "distance_m", "cost_a", "cost_b", "nodes_a", "nodes_b")
+    plain, directed = search(od, cost), search(od, cost, nodes, vmax)
+    for name, trees in (("a", plain), ("b", directed)):
+        out = out.join(reached(od, trees).withColumnRenamed("g", f"cost_{name}"), "od_id")
+    out = out.join(settled(od, plain, nodes, vmax), "od_id")
+    return out.select("od_id", "distance_m", "cost_a", "cost_b", (F.abs(F.col("cost_a") - F.col("cost_b")) < 1e-6).alias("same_cost"), "nodes_a", "nodes_b", (F.col("nodes_b") / F.col("nodes_a")).alias("ratio"))
 
 
 def value_at(counts: DataFrame, value: str, p: float) -> DataFrame:

@@ -28,6 +28,13 @@ where not (dir=0 and (c=n-1 or k+1>=parts)) and not (dir=1 and k+n>=parts) and (
 NODES = f"select p_partkey node_seq, 127.020e0+(p_partkey%n)*0.001e0 lon, 37.490e0+cast(floor(p_partkey/n) as bigint)*0.001e0 lat from part, ({GRID}) g"
 ISLANDS = f"select * from ({LINKS}) l where not (dir=0 and c%7=6)"
 OD = f"select o_orderkey od_id, (o_orderkey*31)%parts src, (o_custkey*17+o_orderkey)%parts dst, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode from orders, ({GRID}) g"
+#: Every order from its depot: as many sources as suppliers.
+DEPOT_OD = f"select o_orderkey od_id, ((o_custkey%s)*7919)%parts src, (o_custkey*17+o_orderkey)%parts dst, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode from orders, (select count(*) s from supplier) x, ({GRID}) g"
+#: The same from coordinates, some of them too far from any node.
+DEPOT_RIDES = """
+select o_orderkey od_id, case o_orderkey%3 when 0 then 'CAR' when 1 then 'WALK' else 'BIKE' end mode, 127.018e0+((o_custkey%s)*7919)%2400/100000e0 from_lon, 37.488e0+((o_custkey%s)*104729)%2300/100000e0 from_lat,
+  127.012e0+(o_orderkey*6151)%3000/100000e0 to_lon, 37.484e0+(o_orderkey*3571)%2700/100000e0 to_lat from orders, (select count(*) s from supplier) x"""
+HEIGHT = "50e0+(({node}*37)%101)/20e0"
 LINES = """
 select line_id, seq, 126.955e0+((line_id*37)%100)/1000e0+(seq%20)*0.001e0 lon, 37.46e0+((line_id*53)%100)/1000e0+((event_id*31)%7)*0.0005e0 lat
 from (select user_id line_id, event_id, row_number() over (partition by user_id order by ts, event_id)-1 seq from events) x"""
@@ -102,3 +109,17 @@ def heat(spark: SparkSession, sf_dir: str, size: int = 64) -> tuple[DataFrame, D
     p = derive(spark, sf_dir, HEAT).select(F.lit("heat").alias("dataset"), F.lit(0).alias("level"), F.lit(1).alias("band"), F.col("px").alias("col"), F.col("py").alias("row"), F.col("v").cast("double").alias("value"))
     meta = p.groupBy("dataset").agg((F.max("col") + 1).alias("raster_width"), (F.max("row") + 1).alias("raster_height")).withColumn("gt", F.array(*map(F.lit, (126.95, 0.001, 0.0, 37.57, 0.0, -0.001)))).withColumn("nodata", F.lit(-9999.0))
     return raster.tiles_of(p, size), meta
+
+
+#: Four rasters of the highest order price by pixel, alike but for where they lie: straight, rotated and projected ones, and one that lies nowhere.
+PLACED = "select o_orderkey%4 kind, cast((o_orderkey*7919)%150 as int) px, cast((o_orderkey*104729)%120 as int) py, max(o_totalprice) v from orders group by 1, 2, 3"
+PLACES = [("straight", 4326, "GEOGCS", (126.95, 0.001, 0.0, 37.57, 0.0, -0.001)), ("rotated", 4326, "GEOGCS", (126.95, 0.0008, 0.0003, 37.57, 0.0002, -0.0008)), ("projected", 5186, "PROJCS", (200000.0, 30.0, 0.0, 550000.0, 0.0, -30.0)), ("bare", None, " ", (0.0, 1.0, 0.0, 0.0, 0.0, 1.0))]
+
+
+def placed(spark: SparkSession, sf_dir: str, size: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(tiles, meta) of the four, 150 by 120 pixels or as far as orders reach, in two bands, the second one upside down."""
+    name = F.element_at(F.array(*[F.lit(n) for n, *_ in PLACES]), (F.col("kind") + 1).cast("int"))
+    p = derive(spark, sf_dir, PLACED).select(name.alias("dataset"), F.lit(0).alias("level"), F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), F.col("px").alias("col"), F.col("py").alias("row"), F.col("v").cast("double").alias("value"))
+    rows = spark.createDataFrame([(n, epsg, srs, list(gt)) for n, epsg, srs, gt in PLACES], "dataset string, epsg int, srs string, gt array<double>")
+    meta = p.groupBy("dataset").agg((F.max("col") + 1).alias("raster_width"), (F.max("row") + 1).alias("raster_height")).join(F.broadcast(rows), "dataset").withColumn("nodata", F.lit(-9999.0))
+    return raster.tiles_of(p.withColumn("value", F.when(F.col("band") == 2, -F.col("value")).otherwise(F.col("value"))), size), meta

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from geoweft.operators.components import components
 from geoweft.plans import fixtures as fx
 from geoweft.plans.fixtures import derive, hav
 from geoweft.sources import vector
+from geoweft.tables import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -324,6 +326,60 @@ def overviews(spark, d):
     return o.select("level", F.col("col").alias("px"), F.col("row").alias("py"), F.round("value", 4).alias("v"))
 
 
+PLACE_ROWS = " union all ".join(f"select {k} kind, '{n}' dataset, {'null' if epsg is None else epsg} epsg, '{srs}' srs, " + ", ".join(f"{v}e0 g{i}" for i, v in enumerate(gt)) for k, (n, epsg, srs, gt) in enumerate(fx.PLACES))
+INSPECTED = f"""select dataset, w, h, srs, cast(epsg as int) epsg, 1e0-n/(w*h*1e0) nodata_ratio, lo, hi, abs(g1) pixel_x, abs(g5) pixel_y, case epsg when 4326 then abs(g1)*111320e0*cos(radians(g3+g4*(w/2e0)+g5*(h/2e0))) when 5186 then abs(g1) end resolution_m,
+  least(g0, g0+g1*w, g0+g2*h, g0+g1*w+g2*h) minx, least(g3, g3+g4*w, g3+g5*h, g3+g4*w+g5*h) miny, greatest(g0, g0+g1*w, g0+g2*h, g0+g1*w+g2*h) maxx, greatest(g3, g3+g4*w, g3+g5*h, g3+g4*w+g5*h) maxy
+from (select kind, max(px)+1 w, max(py)+1 h, count(*) n, min(v) lo, max(v) hi from ({fx.PLACED}) p group by kind) s join ({PLACE_ROWS}) r using (kind)"""
+
+
+@query("r01_p17_inspected_rasters", f"select dataset, w, h, 2 n_bands, 'Float64' data_type, epsg, pixel_x, pixel_y, round(resolution_m, 6) resolution_m, round(nodata_ratio, 9) nodata_ratio, lo, hi, round(minx, 9) minx, round(miny, 9) miny, round(maxx, 9) maxx, round(maxy, 9) maxy, case when epsg is null then 0 else 33 end corners from ({INSPECTED}) i")
+def inspected_rasters(spark, d):
+    r = raster.inspected(*fx.placed(spark, d))
+    own = [F.round(f"own_{c}", 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")]
+    return r.select("dataset", F.col("raster_width").alias("w"), F.col("raster_height").alias("h"), "n_bands", "data_type", "epsg", "pixel_x", "pixel_y", F.round("resolution_m", 6).alias("resolution_m"), F.round("nodata_ratio", 9).alias("nodata_ratio"), F.col("min_value").alias("lo"), F.col("max_value").alias("hi"), *own, F.coalesce(F.size("footprint"), F.lit(0)).alias("corners"))
+
+
+@query("r01_v01_v05_measured_rules", f"""
+with i as (select *, case when epsg = 4326 then minx when epsg = 5186 then 127e0+(minx-200000)/89000 end west, case when epsg = 4326 then maxx when epsg = 5186 then 127e0+(maxx-200000)/87000 end east, case when epsg = 4326 then miny when epsg = 5186 then 38e0+(miny-600000)/110000 end south, case when epsg = 4326 then maxy when epsg = 5186 then 38e0+(maxy-600000)/112000 end north from ({INSPECTED}) x)
+select dataset, 'RASTER_CRS' rule_code, case when trim(srs) = '' then 'ERROR' else 'INFO' end severity from i
+union all select dataset, 'RASTER_GEOREFERENCE', case when dataset = 'bare' then 'ERROR' else 'INFO' end from i
+union all select dataset, 'WITHIN_SERVICE_AREA', case when west is null then 'INFO' when west > 132 or east < 124 or south > 39 or north < 33 then 'ERROR' when west < 124 or east > 132 or south < 33 or north > 39 then 'WARN' else 'INFO' end from i
+union all select dataset, 'RASTER_NODATA_RATIO', case when nodata_ratio >= 0.999e0 then 'ERROR' when nodata_ratio > 0.5e0 then 'WARN' else 'INFO' end from i
+union all select dataset, 'RASTER_RESOLUTION', case when resolution_m is not null and not (resolution_m between 0.05e0 and 1000e0) then 'WARN' else 'INFO' end from i""")
+def measured_rules(spark, d):
+    measured = raster.inspected(*fx.placed(spark, d)).withColumns({"version_no": F.lit(1), "type": F.lit("RASTER")})
+    return quality.run(measured).select("dataset", "rule_code", "severity")
+
+
+@query("r03_p11_rotated_pixels", f"""
+select qid, x.px >= 0 and x.px < w and x.py >= 0 and x.py < h as inside, v as value from (
+  select qid, (0.0003e0*37.57e0-126.95e0*-0.0008e0)/d+(-0.0008e0/d)*lon+(-0.0003e0/d)*lat px, (126.95e0*0.0002e0-0.0008e0*37.57e0)/d+(-0.0002e0/d)*lon+(0.0008e0/d)*lat py, w, h
+  from (select c_custkey qid, 126.95e0+((c_custkey*7919)%14000)/100000e0 lon, 37.46e0+((c_custkey*104729)%13000)/100000e0 lat, 0.0008e0*-0.0008e0-0.0003e0*0.0002e0 d from customer) q, (select max(px)+1 w, max(py)+1 h from ({fx.PLACED}) p where kind = 1) s) x
+left join ({fx.PLACED}) p on p.kind = 1 and p.px = floor(x.px) and p.py = floor(x.py)""")
+def rotated_pixels(spark, d):
+    tiles, meta = fx.placed(spark, d)
+    points = derive(spark, d, "select c_custkey qid, 'rotated' dataset, 126.95e0+((c_custkey*7919)%14000)/100000e0 lon, 37.46e0+((c_custkey*104729)%13000)/100000e0 lat from customer")
+    return raster.pixel_values(points, tiles.where("band = 1"), meta, 64).select("qid", "inside", "value")
+
+
+@query("s08_r11_written_levels", f"""
+with l0 as (select px, py, v from ({fx.HEAT}) h), l1 as (select px//2 px, py//2 py, avg(v) v from l0 group by 1, 2)
+select 2 version_no, 0 as level, count(*) n, round(sum(v), 2) total from l0 union all select 2, 1, count(*), round(sum(v), 2) from l1
+union all select 3, 0, count(*), round(sum(v), 2) from l0""")
+def written_levels(spark, d):
+    """Two versions; the third was first written with more levels, which its rewrite took away."""
+    tiles, meta = fx.heat(spark, d)
+    path = f"{shared_dir(spark)}/geoweft/tiles-{uuid.uuid4().hex}"
+    for version, most in ((3, 40), (2, 80), (3, 400)):
+        raster.write_tiles(tiles, meta, path, version, 64, most)
+    out = None
+    for version in (2, 3):
+        t = raster.pixels_of(raster.read_tiles(spark, path, "heat", version), 64).where("value is not null")
+        t = t.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.lit(version).alias("version_no"), "level", "n", "total")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 LEGS = f"select *, case when seq = 0 then 0e0 else {hav('plon', 'plat', 'lon', 'lat')} end leg from (select *, lag(lon) over w plon, lag(lat) over w plat from ({fx.LINES}) l window w as (partition by line_id order by seq)) x"
 DIST = f"select *, sum(leg) over (partition by line_id order by seq rows unbounded preceding) dist from ({LEGS}) y"
 
@@ -635,3 +691,71 @@ def nearest_node(end: str) -> str:
 def snapped_pairs(spark, d):
     found = roads.snapped_pairs(derive(spark, d, RIDES), derive(spark, d, fx.NODES))
     return found.select("od_id", "src", "dst", metres(F.col("from_snap_m")).alias("from_snap_m"), metres(F.col("to_snap_m")).alias("to_snap_m"))
+
+
+# --- routes from depots: few sources, so that SQL ends at any size that it is run at ------------------------------
+SLOPE_COST = f"""
+select mode, edge_id, src, dst, cost from ({COST}) c where mode = 'CAR'
+union all
+select mode, edge_id, src, dst, len/(case mode when 'WALK' then 6e0*exp(-3.5e0*abs(up+0.05e0)) else case when up >= 0 then greatest(3e0, 15e0*(1-8*up)) else least(30e0, 15e0*(1-4*up)) end end/3.6e0)
+from (select *, greatest(-1e0, least(1e0, ({fx.HEIGHT.format(node="dst")}-({fx.HEIGHT.format(node="src")}))/len)) up from (
+    select link_id*2 edge_id, from_node src, to_node dst, len from lk where road_class <> 'motorway' union all select link_id*2+1, to_node, from_node, len from lk where road_class <> 'motorway') w) u, (select 'WALK' as mode union all select 'BIKE') m"""
+DEPOT_SEARCH = SEARCH.replace(f"({COST})", "({cost})").replace(f"({fx.OD})", "({od})")
+SNAPPED_RIDES = f"select q.*, a.node_seq src, b.node_seq dst from ({fx.DEPOT_RIDES}) q left join ({nearest_node('from').replace(RIDES, fx.DEPOT_RIDES)}) a on a.od_id = q.od_id left join ({nearest_node('to').replace(RIDES, fx.DEPOT_RIDES)}) b on b.od_id = q.od_id"
+BEST = "best on best.src = od.src and best.mode = od.mode and best.node = od.dst"
+
+
+@query("g04_j15_depot_times", DEPOT_SEARCH.format(cost=COST, od=fx.DEPOT_OD) + f"select od.od_id, round(best.g, 4) cost from od left join {BEST}")
+def depot_times(spark, d):
+    _, _, cost = search_input(spark, d)
+    od = derive(spark, d, fx.DEPOT_OD)
+    return od.join(roads.reached(od, roads.search(od, cost)), "od_id", "left").select("od_id", F.round("g", 4).alias("cost"))
+
+
+@query("g08_g09_depot_routes", DEPOT_SEARCH.format(cost=SLOPE_COST, od=SNAPPED_RIDES) + f"""
+select od.od_id, case when od.src is null or od.dst is null then 'UNSNAPPED' when best.g is null then 'NO_PATH' else 'OK' end status, round(best.g, 4) duration_s, case when best.g is not null and od.src <> od.dst then round(best.g, 4) end steps_s,
+  case when best.g is not null and od.src <> od.dst then od.src end first_node, case when best.g is not null and od.src <> od.dst then od.dst end last_node,
+  case when best.g is not null then round({fx.HEIGHT.format(node="od.dst")}-({fx.HEIGHT.format(node="od.src")}), 6)+0e0 end climb_m
+from od left join {BEST}""")
+def depot_routes(spark, d):
+    """Durations against SQL's; the edges of each route add up to it, join each other from one end to the other, and climb what its ends differ."""
+    nodes, links = derive(spark, d, fx.NODES), grid_links(spark, d)
+    heights = nodes.select("node_seq", F.expr(fx.HEIGHT.format(node="node_seq")).alias("z"))
+    headers, _, steps = roads.routed(derive(spark, d, fx.DEPOT_RIDES), links, nodes, heights)
+    cost = roads.costs(roads.edges(links, heights))
+    modes = derive(spark, d, fx.DEPOT_RIDES).select("od_id", "mode")
+    walked = steps.join(modes, "od_id").join(cost, ["edge_id", "mode"])
+    ends = walked.groupBy("od_id").agg(F.sum("cost").alias("steps_s"), F.max_by("src", "back").alias("first_node"), F.min_by("dst", "back").alias("last_node"))
+    w = W.partitionBy("od_id").orderBy(F.desc("back"))
+    torn = walked.withColumn("before", F.lag("dst").over(w)).where("before <> src").select("od_id").distinct()
+    out = headers.join(ends, "od_id", "left").join(torn.withColumn("torn", F.lit(True)), "od_id", "left")
+    near = lambda c: F.when(F.col("torn").isNull(), F.col(c))
+    return out.select("od_id", "status", F.round("duration_s", 4).alias("duration_s"), F.round("steps_s", 4).alias("steps_s"), near("first_node").alias("first_node"), near("last_node").alias("last_node"), (F.round(F.col("ascent_m") - F.col("descent_m"), 6) + 0.0).alias("climb_m"))
+
+
+TOP_SPEED = f"case od.mode when 'CAR' then (select greatest(1e0, coalesce(max({SPEED}), 1e0))/3.6e0 from lk where road_class <> 'footway') when 'WALK' then 6e0/3.6e0 else 30e0/3.6e0 end"
+COMPARED = DEPOT_SEARCH.format(cost=COST, od=fx.DEPOT_OD) + f""", top as (select od.od_id, {TOP_SPEED} v from od),
+goal as (select od.od_id, od.src, od.mode, od.dst, best.g, t.v, p.lon, p.lat, {hav('o.lon', 'o.lat', 'p.lon', 'p.lat')} distance_m from od join {BEST} join top t on t.od_id = od.od_id join ({fx.NODES}) p on p.node_seq = od.dst join ({fx.NODES}) o on o.node_seq = od.src),
+pairs as (
+  select x.od_id, any_value(x.distance_m) distance_m, any_value(x.g) cost, 1+count(case when b.g < x.g-1e-6 then 1 end) nodes_a, 1+count(case when b.g+{hav('n.lon', 'n.lat', 'x.lon', 'x.lat')}/x.v < x.g-1e-6 then 1 end) nodes_b
+  from goal x join best b on b.src = x.src and b.mode = x.mode and b.g < x.g join ({fx.NODES}) n on n.node_seq = b.node group by x.od_id
+  union all select od_id, distance_m, g, 1, 1 from goal where src = dst)
+"""
+
+
+def depot_compared(spark, d):
+    _, e, cost = search_input(spark, d)
+    return roads.compared(derive(spark, d, fx.DEPOT_OD), cost, derive(spark, d, fx.NODES), roads.max_speed_mps(e))
+
+
+@query("g10_a21_g07_depot_compared", COMPARED + "select od_id, round(cost, 4) as cost_a, round(cost, 4) as cost_b, true as same_cost, nodes_a, nodes_b, round(nodes_b*1e0/nodes_a, 9) ratio from pairs")
+def settled_by_pair(spark, d):
+    c = depot_compared(spark, d)
+    return c.select("od_id", F.round("cost_a", 4).alias("cost_a"), F.round("cost_b", 4).alias("cost_b"), "same_cost", "nodes_a", "nodes_b", F.round("ratio", 9).alias("ratio"))
+
+
+@query("a22_g10_depot_report", COMPARED + """, q as (select case when distance_m < 2000 then '0-2 km' when distance_m < 5000 then '2-5 km' when distance_m < 20000 then '5-20 km' end bucket, * from pairs)
+select coalesce(bucket, 'total') bucket, count(*) n_pairs, round(avg(nodes_a), 6) mean_nodes_a, round(avg(nodes_b), 6) mean_nodes_b, list_sort(list(nodes_a))[cast(floor(count(*)*0.5e0) as int)+1] p50_nodes_a, list_sort(list(nodes_b))[cast(floor(count(*)*0.95e0) as int)+1] p95_nodes_b, 0::bigint mismatches
+from q where bucket is not null group by rollup(bucket)""")
+def depot_report(spark, d):
+    return roads.comparison(materialize(depot_compared(spark, d), "compared")).withColumn("mean_nodes_a", F.round("mean_nodes_a", 6)).withColumn("mean_nodes_b", F.round("mean_nodes_b", 6))
