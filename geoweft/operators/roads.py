@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from geoweft.functions import roads as rules
 from geoweft.operators import raster, spatial
 from geoweft.operators.components import components
 from geoweft.operators.numbering import numbered
-from geoweft.tables import materialize
+from geoweft.tables import materialize, release
 
 
 VERSION = ["dataset", "version_no"]
@@ -35,18 +36,30 @@ def link_lines(features: DataFrame) -> DataFrame:
 
 
 def topology(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): nodes numbered from 0 by their first end, links from 1 in feature order."""
-    lines = numbered(link_lines(features).where("ok").drop("ok"), ["feature_id", "part"], "n").withColumn("link_id", F.col("n") + 1).drop("n")
+    """(nodes, links): nodes numbered from 0 by their first end, links from 1 in feature order. With dataset and version_no, which
+    then are in both results, each version has a network and numbers of its own."""
+    own = [c for c in VERSION if c in features.columns]
+
+    def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Numbers from 0 within each version: those of all rows less the version's first."""
+        out = numbered(rows, [*own, *by], name)
+        if not own:
+            return out
+        out = materialize(out, name)
+        first = out.groupBy(*own).agg(F.min(name).alias("__first"))
+        return out.join(first, own).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+
+    lines = in_order(link_lines(features).where("ok").drop("ok"), ["feature_id", "part"], "n").withColumn("link_id", F.col("n") + 1).drop("n")
     first, last = F.element_at("geom", 1), F.element_at("geom", -1)
-    ends = lines.select(F.explode(F.array(*[F.struct(F.col("feature_id"), F.col("part"), F.lit(e).alias("end"), p["x"].alias("lon"), p["y"].alias("lat")) for e, p in ((0, first), (1, last))])).alias("e")).select("e.*")
+    ends = lines.select(*own, F.explode(F.array(*[F.struct(F.col("feature_id"), F.col("part"), F.lit(e).alias("end"), p["x"].alias("lon"), p["y"].alias("lat")) for e, p in ((0, first), (1, last))])).alias("e")).select(*own, "e.*")
     ends = ends.withColumn("kx", geo.snapped(F.col("lon"))).withColumn("ky", geo.snapped(F.col("lat")))
-    seen = ends.groupBy("kx", "ky").agg(F.min(F.struct("feature_id", "part", "end", "lon", "lat")).alias("f")).select("kx", "ky", "f.*")
-    nodes = materialize(numbered(seen, ["feature_id", "part", "end"], "node_seq").select("node_seq", "lon", "lat", "kx", "ky"), "nodes")
+    seen = ends.groupBy(*own, "kx", "ky").agg(F.min(F.struct("feature_id", "part", "end", "lon", "lat")).alias("f")).select(*own, "kx", "ky", "f.*")
+    nodes = materialize(in_order(seen, ["feature_id", "part", "end"], "node_seq").select(*own, "node_seq", "lon", "lat", "kx", "ky"), "nodes")
     for e, p in (("from_node", first), ("to_node", last)):
-        at = nodes.select(F.col("node_seq").alias(e), F.col("kx").alias(f"{e}_x"), F.col("ky").alias(f"{e}_y"))
-        lines = lines.join(at, (geo.snapped(p["x"]) == F.col(f"{e}_x")) & (geo.snapped(p["y"]) == F.col(f"{e}_y"))).drop(f"{e}_x", f"{e}_y")
-    links = lines.select("link_id", "source_id", "from_node", "to_node", "road_class", "road_name", "oneway", "max_speed_kph", "length_m", "geom")
-    return nodes.select("node_seq", "lon", "lat"), materialize(links, "links")
+        at = nodes.select(*own, F.col("node_seq").alias(e), F.col("kx").alias("__x"), F.col("ky").alias("__y"))
+        lines = lines.withColumns({"__x": geo.snapped(p["x"]), "__y": geo.snapped(p["y"])}).join(at, [*own, "__x", "__y"]).drop("__x", "__y")
+    links = lines.select(*own, "link_id", "source_id", "from_node", "to_node", "road_class", "road_name", "oneway", "max_speed_kph", "length_m", "geom")
+    return nodes.select(*own, "node_seq", "lon", "lat"), materialize(links, "links")
 
 
 def skipped(features: DataFrame) -> DataFrame:
@@ -216,7 +229,11 @@ def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax:
     Pairs that share source and mode share a tree. A round settles every cell that got a cheaper way in, for up to about
     `per_task` sources a task, so there are as many rounds as cells on a way, not edges. Once all targets of a tree are
     reached, nothing dearer than the dearest of them is carried on; with nodes and vmax neither is what the straight line at top
-    speed makes dearer. dst may be null (one to all); pairs without src have no tree. Each round is written to the shared folder."""
+    speed makes dearer. dst may be null (one to all); pairs without src have no tree.
+
+    What a round settles is appended to a log in the shared folder and never rewritten; a small index has the newest round of each cell
+    of each tree, and a round reads only the parts of the log that hold cells it works on. The newest rows are put together once,
+    at the end, and the log is deleted."""
     tree = ["src", "mode"]
     asked = materialize(od.where("src is not null").select("src", "mode", "dst").distinct(), "asked")
     targets = asked.withColumn("cell", _cell("dst"))
@@ -232,28 +249,41 @@ def search(od: DataFrame, cost: DataFrame, nodes: DataFrame | None = None, vmax:
     edges_ = materialize(edges_.select("mode", _cell("src").alias("cell"), "edge_id", "src", "dst", "cost", "dlon", "dlat", (_cell("src") == _cell("dst")).alias("inner")), "edges")
     tell = F.struct(F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(-1).cast("long").alias("edge_id"), F.lit(-1).cast("long").alias("pred"))
     told = known.select(*tree, _cell("src").alias("cell"), F.array(tell).alias("told"))
-    state, reached, new, bound = None, None, None, None
-    for _ in range(max_rounds):
+    log, index, reached, bound = [], None, None, None
+    cell_key = [*tree, "cell"]
+
+    def newest(rounds: list[int]) -> DataFrame:
+        """Rows of the log by round, of the rounds asked for."""
+        parts = [log[k].drop("tell").withColumn("round", F.lit(k)) for k in rounds]
+        return reduce(DataFrame.unionByName, parts)
+
+    for turn in range(max_rounds):
         rows = told.join(known, tree)
-        if state is None:
+        if index is None:
             rows = rows.withColumns({"g": F.lit(None).cast("array<double>"), "edge_id": F.lit(None).cast("array<long>"), "pred": F.lit(None).cast("array<long>"), "bound": F.lit(None).cast("double")})
         else:
-            rows = rows.join(state, [*tree, "cell"], "left").join(bound, tree, "left")
+            rows = rows.join(index, cell_key, "left")
+            needed = sorted(r[0] for r in told.join(index, cell_key).select("round").distinct().collect())
+            before = newest(needed) if needed else newest([0]).limit(0)
+            rows = rows.join(before, [*cell_key, "round"], "left").drop("round").join(bound, tree, "left")
         rows = rows.withColumn("salt", salt)
         lanes = edges_.join(rows.select("mode", "cell", F.col("salt").alias("lane")).distinct(), ["mode", "cell"])
         settled = rows.groupBy("mode", "cell", "salt").cogroup(lanes.groupBy("mode", "cell", "lane")).applyInArrow(_relaxed, f"{_TREE}, tell array<struct<node: long, g: double, edge_id: long, pred: long>>")
-        new = materialize(settled, "settled", replaces=new)
+        new = materialize(settled, "settled")
+        log.append(new)
         found = targets.join(new.select(*tree, "cell", "g"), [*tree, "cell"]).select(*tree, "dst", F.get("g", F.pmod("dst", F.lit(CELL)).cast("int")).alias("g"))
         reached = materialize((found if reached is None else reached.unionByName(found)).groupBy(*tree, "dst").agg(F.min("g").alias("g")), "reached", replaces=reached)
         bound = asked.join(reached, [*tree, "dst"], "left").groupBy(*tree).agg(F.when(F.bool_and(F.coalesce(F.col("g") < float("inf"), F.lit(False))), F.max("g")).alias("bound")).where("bound is not null")
         bound = materialize(asked.groupBy(*tree).agg(F.count_if(F.col("dst").isNull()).alias("open")).where("open = 0").join(bound, tree).drop("open"), "bound")  # small, and the next round's plan still names the last one
-        trees = new.drop("tell")
-        state = materialize(trees if state is None else state.join(trees.select(*tree, "cell"), [*tree, "cell"], "left_anti").unionByName(trees), "trees", replaces=state)
+        last = new.select(*cell_key, F.lit(turn).alias("round"))
+        index = materialize(last if index is None else index.unionByName(last).groupBy(*cell_key).agg(F.max("round").alias("round")), "index", replaces=index)
         ways = new.select(*tree, F.explode("tell").alias("t")).groupBy(*tree, F.col("t.node").alias("node")).agg(F.min(F.struct("t.g", "t.edge_id", "t.pred")).alias("w"))
         ways = ways.withColumn("cell", _cell("node")).join(bound, tree, "left").where("bound is null or w.g <= bound + 1e-6")
         told = materialize(ways.groupBy(*tree, "cell").agg(F.collect_list(F.struct("node", "w.g", "w.edge_id", "w.pred")).alias("told")), "told", replaces=told)
         if not told.limit(1).count():
-            return state
+            whole = materialize(newest(list(range(len(log)))).join(index, [*cell_key, "round"], "left_semi").drop("round"), "trees")
+            release(*log, index)
+            return whole
     raise RuntimeError(f"search not settled in {max_rounds} rounds")
 
 

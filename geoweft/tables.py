@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where materialize() has written a frame.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths by open scratch().
+_SCOPES: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +41,32 @@ def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) ->
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
-    if replaces is not None and (old := _WRITTEN.pop(replaces, None)):
-        old = spark._jvm.org.apache.hadoop.fs.Path(old)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    for held in _SCOPES[-1:]:
+        held.append(path)
+    if replaces is not None:
+        release(replaces)
     return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for frames of which nothing more is read."""
+    for df in frames:
+        if path := _WRITTEN.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes within is deleted at the end, also after an error: write the result, or collect it, before
+    that. Scopes nest; each deletes its own."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
