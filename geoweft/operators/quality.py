@@ -87,6 +87,11 @@ def duplicates(versions: DataFrame) -> DataFrame:
     return duplicate_versions(versions).select(*KEY, F.lit(99).alias("place"), F.lit("DUPLICATE_FILE").alias("rule_code"), F.lit("ERROR").alias("severity"), F.lit(False).alias("passed"), F.lit("same file as another version").alias("message"))
 
 
+def of_severity(report: DataFrame, severities: list[str]) -> DataFrame:
+    """Rows of a report by severity, in its order of rules."""
+    return report.where(F.col("severity").isin(severities))
+
+
 def decide(report: DataFrame) -> DataFrame:
     """dataset, version_no, status (REJECTED with any error, else VALIDATED) and the joined reasons."""
     bad = F.col("severity") == "ERROR"

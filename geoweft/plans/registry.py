@@ -693,6 +693,71 @@ def snapped_pairs(spark, d):
     return found.select("od_id", "src", "dst", metres(F.col("from_snap_m")).alias("from_snap_m"), metres(F.col("to_snap_m")).alias("to_snap_m"))
 
 
+# --- collections in several systems -------------------------------------------------------------------------------
+CUSTOMERS = f"select p.*, c_nationkey nation from ({fx.POI}) p join customer c on c_custkey = poi_id"
+
+
+@query("p16_s01_mixed_systems", f"select nation, poi_id, round(lon, 7) lon, round(lat, 7) lat from ({CUSTOMERS}) p where nation%4 <> 3 union all select distinct nation, null, null, null from ({CUSTOMERS}) p where nation%4 = 3")
+def mixed_systems(spark, d):
+    """Each nation's customers as the text of a collection, in geographic or projected coordinates or in a system that nobody knows,
+    read back as lon and lat."""
+    p = derive(spark, d, CUSTOMERS)
+    at = F.when(F.col("nation") % 4 == 1, geo.to_projected(F.col("lon"), F.col("lat"), 5186)).when(F.col("nation") % 4 == 2, geo.to_projected(F.col("lon"), F.col("lat"), 5179)).otherwise(geo.point(F.col("lon"), F.col("lat")))
+    one = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("POI"), F.col("poi_id").cast("string")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(at["x"], at["y"]).alias("coordinates")).alias("geometry"))
+    crs = F.when(F.col("nation") % 4 > 0, F.struct(F.lit("name").alias("type"), F.struct(F.concat(F.lit("urn:ogc:def:crs:EPSG::"), F.element_at(F.array(F.lit("5186"), F.lit("5179"), F.lit("9999")), (F.col("nation") % 4).cast("int"))).alias("name")).alias("properties")))
+    text = p.groupBy("nation").agg(F.collect_list(one).alias("features")).select(F.col("nation").cast("string").alias("path"), F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), "features")).alias("value"))
+    found, _ = vector.collections(text)
+    there, unknown = vector.in_wgs84(found)
+    spot = F.get(F.get("parts", 0), 0)
+    rows = there.select(F.col("path").cast("long").alias("nation"), F.col("attrs")["poi"].cast("long").alias("poi_id"), F.round(spot["x"], 7).alias("lon"), F.round(spot["y"], 7).alias("lat"))
+    none = F.lit(None)
+    return rows.unionByName(unknown.select(F.col("path").cast("long").alias("nation"), none.cast("long").alias("poi_id"), none.cast("double").alias("lon"), none.cast("double").alias("lat")))
+
+
+# --- more of the catalogue and the rules ----------------------------------------------------------------------------
+@query("c08_history", f"select dataset, version_no, to_status, changed_at, lag(to_status) over (partition by dataset, version_no order by changed_at) from_status from ({fx.STATUS_EVENTS}) e")
+def status_history(spark, d):
+    e = derive(spark, d, fx.STATUS_EVENTS.replace("varchar(20)", "string"))
+    return catalog.history(e, e.select("dataset", "version_no")).select("dataset", "version_no", "to_status", "changed_at", "from_status")
+
+
+@query("c13_current_status", f"select dataset, version_no, to_status status from (select *, row_number() over (partition by dataset, version_no order by changed_at desc, to_status desc) n from ({fx.STATUS_EVENTS}) e) x where n = 1")
+def current_status(spark, d):
+    return catalog.current(derive(spark, d, fx.STATUS_EVENTS))
+
+
+@query("c12_messages", f"select dataset, version_no, case when status in ('FAILED', 'REJECTED') then checksum end error_message from ({fx.VERSIONS}) v")
+def messages(spark, d):
+    v = versions(spark, d).withColumn("error_message", F.col("checksum"))
+    return catalog.with_message(v).select("dataset", "version_no", "error_message")
+
+
+@query("a17_u03_blocking_reasons", f"""
+with v as ({fx.VERSIONS}), twice as (select distinct a.dataset, a.version_no from v a where exists (select 1 from v b where b.dataset = a.dataset and b.checksum = a.checksum and b.version_no <> a.version_no and b.status <> 'REJECTED'))
+select dataset, version_no, 'REJECTED' status, 'DUPLICATE_FILE: same file as another version' reason from twice""")
+def blocking_reasons(spark, d):
+    return quality.decide(quality.duplicates(versions(spark, d)))
+
+
+@query("p18_p17_pixel_sizes", "select o_orderkey, abs(g1) x, abs(g5) y, round(case when o_orderkey%2 = 0 then abs(g1)*111320e0*cos(radians(lat)) else abs(g1)*unit end, 6) metres from (select o_orderkey, (o_orderkey%7-3)/1000e0 g1, (o_orderkey%5-2)/1000e0 g5, (o_orderkey%90)*1e0 lat, 0.3048e0 unit from orders) o")
+def pixel_sizes(spark, d):
+    o = derive(spark, d, "select o_orderkey, (o_orderkey%7-3)/1000e0 g1, (o_orderkey%5-2)/1000e0 g5, (o_orderkey%90)*1e0 lat, 0.3048e0 unit from orders")
+    gt = F.array(F.lit(0.0), F.col("g1"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("g5"))
+    size = geo.pixel_size(gt)
+    return o.select("o_orderkey", size["x"].alias("x"), size["y"].alias("y"), F.round(geo.resolution_m(gt, F.col("o_orderkey") % 2 == 0, F.col("lat"), F.col("unit")), 6).alias("metres"))
+
+
+@query("a24_errors_by_severity", f"with r as (select o_custkey dataset, o_orderkey version_no, case when o_orderkey%9 = 0 then null else (o_orderkey%2000)/1e0 end res, case when o_orderkey%11 = 0 then ' ' else 'WKT' end srs from orders) select dataset, version_no, 'RASTER_CRS' rule_code from r where trim(srs) = '' union all select dataset, version_no, 'RASTER_GEOREFERENCE' from r")
+def errors_only(spark, d):
+    return quality.of_severity(quality.run(derive(spark, d, RASTERS)).where(F.col("rule_code") != "RASTER_NODATA_RATIO"), ["ERROR"]).select("dataset", "version_no", "rule_code")
+
+
+@query("t03_boxes_by_name", f"select q.qid, b.dataset, b.fid, cast(row_number() over (partition by q.qid order by b.dataset, b.fid) as int) place from ({fx.SEARCH}) q, ({fx.BOXES}) b where qminx <= maxx and qmaxx >= minx and qminy <= maxy and qmaxy >= miny")
+def boxes_by_name(spark, d):
+    found = spatial.bbox_join(derive(spark, d, fx.SEARCH), derive(spark, d, fx.BOXES))
+    return spatial.by_name(found, ["dataset", "fid"]).select("qid", "dataset", "fid", "place")
+
+
 # --- routes from depots: few sources, so that SQL ends at any size that it is run at ------------------------------
 SLOPE_COST = f"""
 select mode, edge_id, src, dst, cost from ({COST}) c where mode = 'CAR'
@@ -759,3 +824,10 @@ select coalesce(bucket, 'total') bucket, count(*) n_pairs, round(avg(nodes_a), 6
 from q where bucket is not null group by rollup(bucket)""")
 def depot_report(spark, d):
     return roads.comparison(materialize(depot_compared(spark, d), "compared")).withColumn("mean_nodes_a", F.round("mean_nodes_a", 6)).withColumn("mean_nodes_b", F.round("mean_nodes_b", 6))
+
+
+@query("g12_one_to_all", DEPOT_SEARCH.format(cost=COST, od=fx.DEPOT_OD) + "select src, mode, node, round(g, 4) g from best")
+def one_to_all(spark, d):
+    _, _, cost = search_input(spark, d)
+    od = derive(spark, d, fx.DEPOT_OD).select("src", "mode").distinct().withColumns({"dst": F.lit(None).cast("long"), "od_id": F.lit(None).cast("long")})
+    return roads.labels(roads.search(od, cost)).select("src", "mode", "node", F.round("g", 4).alias("g"))
