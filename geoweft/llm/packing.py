@@ -6,7 +6,7 @@ ones stay as items of the next block. What is underfull at the end of a partitio
 of several partitions meet as items of another best-fit round, until one group is left or a round joins
 nothing more. A group never holds more than `group` open bins, and rows hold no ids, only their lengths.
 
-Words are encoded once and remembered: the vocabulary's pre-tokeniser never joins across white space.
+Words are encoded once and remembered while they keep coming: the vocabulary's pre-tokeniser never joins across white space.
 
 Defined cases: null text counts as empty, an empty text is the end id alone; an added token's text within a text is that
 token, as the library has it; repeated rows are packed each by itself; a null doc_id stays null and its pieces are packed
@@ -20,7 +20,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from operator import concat
 
 import numpy as np
 import pandas as pd
@@ -39,13 +38,35 @@ PIECE_A = pa.schema({"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int6
 BIN_A = pa.schema({"open": pa.bool_(), "fill": pa.int32(), "members": pa.list_(pa.struct([*PIECE_A, pa.field("offset", pa.int32())]))})
 
 
+class Remembered(dict):
+    """A dict that forgets what hasn't been asked for lately: of two halves the older one goes when the newer is full."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit // 2, {}
+
+    def missing(self, keys: set) -> set:
+        """Which of the keys aren't known; all others are here afterwards."""
+        new = keys.difference(self)
+        if self.older and new:
+            again = new.intersection(self.older)
+            self.update(zip(again, map(self.older.__getitem__, again)))
+            new -= again
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self)
+            self.clear()
+            again = keys.intersection(self.older)
+            self.update(zip(again, map(self.older.__getitem__, again)))
+        return new
+
+
 class WordEncoder:
-    """Ids of whole texts from ids of words. Marks at the end of a word are a match of their own, and ASCII
-    letters are lower-cased, so words are looked up without them; what is new among all-letter words is
-    encoded as one text and cut again where the vocabulary marks the end of a word."""
+    """Ids of whole texts from ids of words. Marks at the end of a word are a match of their own, and letters are
+    lower-cased, so both are seen to in the whole text before it is cut into words: forms of a word are one then. New
+    all-letter words are encoded as one text and cut again where the vocabulary marks the end of a word."""
 
     LONGEST = 64  # characters of a word that is remembered
-    MARKS = ".,!?;:%$#&*-_/\\()[]{}\"+=~^@`"
+    MARKS = re.compile(r"""[.,!?;:%$#&*_/\\()\[\]{}"+=~^@`-](?<=[^\W_].)[.,!?;:%$#&*_/\\()\[\]{}"+=~^@`-]*(?!\S)""")
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
@@ -57,7 +78,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.limit, self.known, self.cores = limit, {}, {}
+        self.known = Remembered(limit)
         self.odd = re.compile("[\x1c-\x1f]").search  # white space to Python alone
 
     def _one(self, word: str) -> bytes:
@@ -69,76 +90,58 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cut) != len(some):  # another vocabulary marks no ends
-                self.cores.update((w, self._one(w)) for w in some)
+                self.known.update((w, self._one(w)) for w in some)
                 continue
             data, at = ids.tobytes(), 0
             for w, end in zip(some, cut):
-                self.cores[w] = data[at : 4 * end]
+                self.known[w] = data[at : 4 * end]
                 at = 4 * end
 
-    def _learn(self, words: list[str]) -> None:
-        cores, get = self.cores, self.cores.__getitem__
-        plain, plain_core, marked, marked_core, marks = [], [], [], [], []
-        for w in words:
-            core = w.rstrip(self.MARKS)
-            if core is w or not core or not core[-1].isalnum():
-                plain.append(w)
-                plain_core.append(w.lower() if w.isascii() else w)
-            else:
-                marked.append(w)
-                marked_core.append(core.lower() if core.isascii() else core)
-                marks.append(w[len(core) :])
-        needed = {*plain_core, *marked_core, *marks}
-        new = needed.difference(cores)
-        if len(cores) + len(new) > self.limit * 2 // 3:
-            cores.clear()
-            new = needed
-        self._letters([x for x in new if x.isalpha()])
-        cores.update((x, self._one(x)) for x in new if not x.isalpha())
-        self.known.update(zip(plain, map(get, plain_core)))
-        self.known.update(zip(marked, map(concat, map(get, marked_core), map(get, marks))))
+    def _words(self, text: str) -> list[str]:
+        if self.odd(text):
+            return [text]
+        if self.special(text):  # an added token is matched as it stands, so nothing is taken from its word
+            return text.split()
+        return self.MARKS.sub(r" \g<0>", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split()  # A-Z alone
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [[t] if self.odd(t) else t.split() for t in texts]
+        words = list(map(self._words, texts))
         every = set().union(*words)
         # long words, and whole texts where white space isn't what it seems, are encoded but not remembered
         long = {w for w in every if len(w) > self.LONGEST}
         every -= long
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, set(every)
-        if any(map(self.special, texts)):  # an added token is matched as it stands, so nothing is taken from its word
-            apart = set(filter(self.special, new))
-            self.known.update((w, self._one(w)) for w in apart)
-            new -= apart
-        self._learn(list(new))
+        new = self.known.missing(every)
+        plain = [w for w in new if w.isalpha()]
+        self._letters(plain)
+        if len(plain) < len(new):
+            self.known.update((w, self._one(w)) for w in new if not w.isalpha())
         if not long:
             return [b"".join(map(self.known.__getitem__, row)) for row in words]
         once = {w: self._one(w) for w in long}
         return [b"".join(once[w] if w in once else self.known[w] for w in row) for row in words]
 
 
-def encoder(path: str) -> WordEncoder:
-    return kept(f"words of {path}", lambda: WordEncoder(path))
+def encoder(path: str, remembered: int) -> WordEncoder:
+    return kept(f"{remembered} words of {path}", lambda: WordEncoder(path, remembered))
 
 
-def _cut(batches: Iterable[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[tuple]:
+def _cut(batches: Iterable[pa.RecordBatch], path: str, size: int, end: int, remembered: int) -> Iterator[tuple]:
     """doc_id, piece, start, length, ids_crc32 of batches of doc_id and text."""
     last = np.array([end], "<u4").tobytes()
     for b in parts_of(batches, 500):
-        for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in b.column("text").to_pylist()])):
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(path, remembered).encode([t or "" for t in b.column("text").to_pylist()])):
             ids += last
             for p, a in enumerate(range(0, len(ids), 4 * size)):
                 one = ids[a : a + 4 * size]
                 yield doc_id, p, a // 4, len(one) // 4, zlib.crc32(one)
 
 
-def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1, remembered: int = 400_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(_cut([b], path, size, end))
+            rows = list(_cut([b], path, size, end, remembered))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, PIECE_A.types)], schema=PIECE_A)
 
     return _texts(docs).mapInArrow(cut, PIECE)
@@ -259,10 +262,11 @@ def _treed(bins: DataFrame, capacity: int, slack: int, group: int) -> DataFrame:
     return out.select("m.doc_id", "m.piece", "m.start", F.col("m.length").cast("long").alias("length"), "m.ids_crc32", "sequence_id", F.col("m.offset").cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 1, slack: int = 4, block: int = 20_000, group: int = 20_000) -> DataFrame:
-    """Texts are encoded, cut and packed within their partition in one pass of one worker."""
+def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 1, slack: int = 4, block: int = 20_000, group: int = 20_000, remembered: int = 400_000) -> DataFrame:
+    """Texts are encoded, cut and packed within their partition in one pass of one worker, which remembers the ids of up to
+    `remembered` words."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _frames(_packed(_cut(batches, path, size, end), size, slack, block))
+        return _frames(_packed(_cut(batches, path, size, end, remembered), size, slack, block))
 
     return _treed(_texts(docs).mapInArrow(local, BIN), size, slack, group)
