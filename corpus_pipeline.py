@@ -32,8 +32,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place in it."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token pieces with their sequence and place in it; fewer words are remembered than alone, beside what other stages keep."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=120_000)
 
 
 STAGES = [
