@@ -14,3 +14,11 @@ def test_every_part_is_a_node_and_every_order_a_pair(spark):
     assert {(r.link_id, r.from_node, r.to_node) for r in fx.derive(spark, DATA, fx.LINKS).collect()} == want
     od = fx.derive(spark, DATA, fx.OD).collect()
     assert sorted(r.od_id for r in od) == sorted(orders) and {x for r in od for x in (r.src, r.dst)} == set(parts)
+
+
+def test_the_heat_raster_lies_in_degrees(spark):
+    from geoweft.operators import raster
+
+    tiles, meta = fx.heat(spark, "/root/testdata/sf0.001")
+    row = raster.inspected(tiles, meta).first()
+    assert row.epsg == 4326 and round(row.maxx, 6) == round(126.95 + 0.001 * row.raster_width, 6) and round(row.miny, 6) == round(37.57 - 0.001 * row.raster_height, 6)
