@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm.common import by_parts
-from geoweft.tables import materialize
+from geoweft.tables import Rounds, materialize
 
 PATH = "array<struct<key: binary, chars: bigint>>"
 PATH_ARROW = pa.list_(pa.struct({"key": pa.binary(), "chars": pa.int64()}))
@@ -112,30 +112,33 @@ def with_stops(found: DataFrame) -> DataFrame:
 
 def peel(found: DataFrame) -> DataFrame:
     """key, parent, depth, above (the stop below it), chars (of its last turns down to there), conv_id, n, children, leaves,
-    saved, ends_sha256 of all stops of with_stops(...)."""
-    ended = found.select("path", "stops", "conv_id", "n", F.lit(0).cast("long").alias("children"), F.lit(0).cast("long").alias("leaves"), F.lit(0).cast("long").alias("saved"), "ends_sha256")
-    depths = sorted((r[0] for r in found.select(F.size("path").alias("d")).union(found.select(F.explode("stops"))).distinct().collect()), reverse=True)
-    left, done = None, None
-    for d in depths:
-        here = ended.where(F.size("path") == d)
-        if left is not None:
-            here = here.unionByName(left.where(F.size("path") == d))
-        total = here.groupBy(key_of(F.col("path")).alias("key")).agg(
+    saved, ends_sha256 of all stops of with_stops(...).
+
+    What waits for a depth and what is done are tables by depth that each round adds to, so a round's plan names two tables however many
+    rounds there were, and a round reads what waits for its own depth only."""
+    none = lambda c: F.lit(0).cast("long").alias(c)
+    ended = found.select(F.size("path").alias("at"), "path", "stops", "conv_id", "n", none("children"), none("leaves"), none("saved"), "ends_sha256")
+    waiting, done = Rounds(ended, "waiting"), None
+    waiting.add(ended)
+    for d in sorted((r[0] for r in found.select(F.size("path").alias("d")).union(found.select(F.explode("stops"))).distinct().collect()), reverse=True):
+        total = waiting.at(d).groupBy(key_of(F.col("path")).alias("key")).agg(
             F.any_value("path").alias("path"), F.any_value("stops").alias("stops"), F.min("conv_id").alias("conv_id"), F.sum("n").alias("n"), F.sum("children").alias("children"), F.sum("leaves").alias("leaves"),
             F.sum("saved").alias("saved"), F.max("ends_sha256").alias("ends_sha256"))
         above = F.coalesce(F.try_element_at("stops", F.lit(-1)), F.lit(-1))
         total = total.withColumns({"leaves": F.when(F.col("children") == 0, F.lit(1).cast("long")).otherwise(F.col("leaves")), "above": above})
         total = total.withColumn("chars", F.transform(F.slice("path", F.greatest("above", F.lit(0)) + 1, F.size("path")), lambda p: p["chars"]))
         last = F.coalesce(F.try_element_at("chars", F.lit(-1)), F.lit(0).cast("long"))
-        total = materialize(total.withColumn("saved", F.col("saved") + (F.col("n") - 1) * last), f"depth-{d}")
-        own = total.select("key", key_of(F.slice("path", F.lit(1), F.greatest("above", F.lit(0)))).alias("parent"), F.size("path").alias("depth"), "above", "chars", "conv_id", "n", "children", "leaves", "saved", "ends_sha256")
-        done = own if done is None else done.unionByName(own)
+        total = total.withColumns({"at": F.size("path"), "saved": F.col("saved") + (F.col("n") - 1) * last})
+        done = done or Rounds(total, "stops")
+        done.add(total)
         between = F.aggregate(F.slice("chars", F.lit(1), F.size("chars") - 1), F.lit(0).cast("long"), lambda s, x: s + x)
-        up = total.where("above >= 0").select(
-            F.slice("path", F.lit(1), F.col("above")).alias("path"), F.filter("stops", lambda s: s < F.col("above")).alias("stops"), "conv_id", "n", F.lit(1).cast("long").alias("children"), "leaves",
-            (F.col("saved") + (F.col("n") - 1) * between).alias("saved"), F.lit(None).cast("string").alias("ends_sha256"))
-        left = up if left is None else left.where(F.size("path") < d).unionByName(up)
-    return done if done is not None else ended.select(F.lit(b"").alias("key"), F.lit(b"").alias("parent"), F.lit(0).alias("depth"), F.lit(-1).alias("above"), F.array().cast("array<bigint>").alias("chars"), "conv_id", "n", "children", "leaves", "saved", "ends_sha256")
+        waiting.add(done.at(d).where("above >= 0").select(
+            F.col("above").alias("at"), F.slice("path", F.lit(1), F.col("above")).alias("path"), F.filter("stops", lambda s: s < F.col("above")).alias("stops"), "conv_id", "n", F.lit(1).cast("long").alias("children"), "leaves",
+            (F.col("saved") + (F.col("n") - 1) * between).alias("saved"), F.lit(None).cast("string").alias("ends_sha256")))
+    if done is None:
+        return ended.select(F.lit(b"").alias("key"), F.lit(b"").alias("parent"), F.lit(0).alias("depth"), F.lit(-1).alias("above"), F.array().cast("array<bigint>").alias("chars"), "conv_id", "n", "children", "leaves", "saved", "ends_sha256")
+    parent = key_of(F.slice("path", F.lit(1), F.greatest("above", F.lit(0))))
+    return done.all().select("key", parent.alias("parent"), F.size("path").alias("depth"), "above", "chars", "conv_id", "n", "children", "leaves", "saved", "ends_sha256")
 
 
 def trie(conversations: DataFrame) -> DataFrame:

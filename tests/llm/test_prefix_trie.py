@@ -75,3 +75,16 @@ def test_long_and_repeated_conversations(spark):
 def test_empty_table(spark):
     assert got(spark, [(1, 0, "user", "x")]) == plain([(1, 0, "user", "x")])
     assert P.report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_plans_do_not_grow_with_depths(spark):
+    """Conversations that part at every depth take a round each; the plan of the result names as many tables for 24 depths as for 6."""
+    from geoweft.llm import prefix_trie
+
+    def tables_named(depth):
+        rows = [(c, t, "user", f"{t}" if t < c else f"{t} of {c}") for c in range(1, depth + 1) for t in range(1, c + 1)]
+        found = prefix_trie.trie(prefix_trie.turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+        assert found.count() > depth
+        return found._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    assert tables_named(6) == tables_named(24)
