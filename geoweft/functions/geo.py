@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import atan, atanh, radians, sin, sinh, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,36 +27,42 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(s > 1, F.lit(1.0)).otherwise(s)))
 
 
-def spheroid_distance(lon1, lat1, lon2, lat2, rounds: int = 12) -> Column:
-    """Metres on the WGS84 spheroid: Vincenty's inverse formula, iterated a fixed number of times."""
-    lon1, lat1, lon2, lat2 = (F.col(c) if isinstance(c, str) else c for c in (lon1, lat1, lon2, lat2))
+def _vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int) -> np.ndarray:
     b = WGS84_A * (1 - WGS84_F)
-    u1, u2 = (F.atan((1 - WGS84_F) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    base = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
+    u1, u2 = (np.arctan((1 - WGS84_F) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    s1, c1, s2, c2, way = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2), np.radians(lon2 - lon1)
 
-    def angles(k, lam):
-        ss = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2.0) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2.0))
-        cs = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        sa = F.when(ss == 0, F.lit(0.0)).otherwise(k["c1"] * k["c2"] * F.sin(lam) / F.when(ss == 0, F.lit(1.0)).otherwise(ss))
+    def angles(lam):
+        ss = np.sqrt((c2 * np.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * np.cos(lam)) ** 2)
+        cs = s1 * s2 + c1 * c2 * np.cos(lam)
+        sa = np.where(ss == 0, 0.0, c1 * c2 * np.sin(lam) / np.where(ss == 0, 1.0, ss))
         ca = 1 - sa * sa
-        cm = F.when(ca == 0, F.lit(0.0)).otherwise(cs - 2 * k["s1"] * k["s2"] / F.when(ca == 0, F.lit(1.0)).otherwise(ca))
-        return ss, cs, sa, ca, cm
+        return ss, cs, sa, ca, np.where(ca == 0, 0.0, cs - 2 * s1 * s2 / np.where(ca == 0, 1.0, ca))
 
-    def step(lam, k):
-        ss, cs, sa, ca, cm = angles(k, lam)
+    lam = way
+    for _ in range(rounds):
+        ss, cs, sa, ca, cm = angles(lam)
         c = WGS84_F / 16 * ca * (4 + WGS84_F * (4 - 3 * ca))
-        return k["l"] + (1 - c) * WGS84_F * sa * (F.atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
-
-    def finish(k, lam):
-        ss, cs, _, ca, cm = angles(k, lam)
-        u = ca * ((WGS84_A**2 - b**2) / b**2)
-        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        d = big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-        return b * big_a * (F.atan2(ss, cs) - d)
-
-    lam = F.aggregate(F.array_repeat(base, rounds), F.radians(lon2 - lon1), step)
-    return F.element_at(F.transform(F.arrays_zip(F.array(base).alias("k"), F.array(lam).alias("lam")), lambda z: finish(z["k"], z["lam"])), 1)
+        lam = way + (1 - c) * WGS84_F * sa * (np.arctan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+    ss, cs, _, ca, cm = angles(lam)
+    u = ca * ((WGS84_A**2 - b**2) / b**2)
+    big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    d = big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+    return b * big_a * (np.arctan2(ss, cs) - d)
+
+
+def spheroid_distance(lon1, lat1, lon2, lat2, rounds: int = 12) -> Column:
+    """Metres on the WGS84 spheroid: Vincenty's inverse formula, iterated a fixed number of times, batch by batch; null if any input is null."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        ends = (a, b, c, d)
+        missing = np.any([x.is_null().to_numpy(zero_copy_only=False) for x in ends], axis=0)
+        with np.errstate(invalid="ignore"):
+            return pa.array(_vincenty(*(x.to_numpy(zero_copy_only=False).astype(float) for x in ends), rounds), pa.float64(), mask=missing)
+
+    return run(*((F.col(c) if isinstance(c, str) else c).cast("double") for c in (lon1, lat1, lon2, lat2)))
 
 
 def point(lon, lat) -> Column:

@@ -16,7 +16,7 @@ from geoweft.operators.components import components
 from geoweft.plans import fixtures as fx
 from geoweft.plans.fixtures import derive, hav
 from geoweft.sources import vector
-from geoweft.tables import materialize, shared_dir
+from geoweft.tables import materialize, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ def point_scalars(spark, d):
 @query("p02_spheroid_distance", f"select poi_id, true as close_to_sphere from ({fx.POI}) p")
 def spheroid(spark, d):
     s, e = geo.haversine(F.lit(127.0), F.lit(37.5), F.col("lon"), F.col("lat")), geo.spheroid_distance(F.lit(127.0), F.lit(37.5), F.col("lon"), F.col("lat"))
-    return derive(spark, d, fx.POI).select("poi_id", (F.abs(s - e) <= 0.006 * s + 1e-6).alias("close_to_sphere"))
+    return spread(derive(spark, d, fx.POI)).select("poi_id", (F.abs(s - e) <= 0.006 * s + 1e-6).alias("close_to_sphere"))
 
 
 @query("p10_p14_affine", f"""
