@@ -19,17 +19,24 @@ def measured(vertices: DataFrame) -> DataFrame:
 
 
 def sampled(vertices: DataFrame, interval_m: float = 30.0) -> DataFrame:
-    """line_id, distance_m, lon, lat: the start, every multiple of the interval and every vertex; a distance once."""
+    """line_id, distance_m, lon, lat: the start, every multiple of the interval and every vertex; a distance once. A vertex brings what
+    lies between it and the next one, so lines are put in order once and samples aren't shuffled."""
     if interval_m <= 0:
         raise ValueError("the interval must be positive")
     w = W.partitionBy("line_id").orderBy("seq")
-    m = measured(vertices).withColumn("to_lon", F.lead("lon").over(w)).withColumn("to_lat", F.lead("lat").over(w)).withColumn("to_m", F.lead("distance_m").over(w))
-    first = F.greatest(F.ceil(F.col("distance_m") / interval_m), F.lit(1))
-    last = F.ceil(F.col("to_m") / interval_m) - 1
-    inner = m.where((F.col("to_m") > F.col("distance_m")) & (last >= first)).withColumn("at_m", F.explode(F.transform(F.sequence(first, last), lambda k: k * interval_m)))
-    t = (F.col("at_m") - F.col("distance_m")) / (F.col("to_m") - F.col("distance_m"))
-    inner = inner.select("line_id", F.col("at_m").alias("distance_m"), (F.col("lon") + (F.col("to_lon") - F.col("lon")) * t).alias("lon"), (F.col("lat") + (F.col("to_lat") - F.col("lat")) * t).alias("lat"))
-    return inner.unionByName(m.select("line_id", "distance_m", "lon", "lat")).dropDuplicates(["line_id", "distance_m"])
+    m = measured(vertices).select("line_id", "lon", "lat", "distance_m", F.lag("distance_m").over(w).alias("from_m"), *[F.lead(c).over(w).alias(f"to_{c}") for c in ("lon", "lat", "distance_m")])
+    at, to = F.col("distance_m"), F.col("to_distance_m")
+    first, last = F.greatest(F.ceil(at / interval_m), F.lit(1)), F.ceil(to / interval_m) - 1
+
+    def place(k):
+        t = (k * interval_m - at) / (to - at)
+        return F.struct((k * interval_m).alias("distance_m"), (F.col("lon") + (F.col("to_lon") - F.col("lon")) * t).alias("lon"), (F.col("lat") + (F.col("to_lat") - F.col("lat")) * t).alias("lat"))
+
+    # what falls on a vertex is that vertex, and of vertices at one distance the first one stays
+    between = F.filter(F.sequence(first, last), lambda k: (k * interval_m != at) & (k * interval_m != to))
+    own = F.when(at.eqNullSafe(F.col("from_m")), F.array()).otherwise(F.array(F.struct("distance_m", "lon", "lat")))
+    inner = F.when((to > at) & (last >= first), F.transform(between, place)).otherwise(F.array())
+    return m.select("line_id", F.explode(F.concat(own, inner)).alias("s")).select("line_id", "s.*")
 
 
 def profile(vertices: DataFrame, tiles: DataFrame, meta: DataFrame, dataset: str, interval_m: float = 30.0, size: int = 512) -> DataFrame:
