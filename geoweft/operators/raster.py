@@ -111,6 +111,20 @@ def pixel_values(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int
     return found.unionByName(p.where("not inside").select("qid", "inside", none.cast("int").alias("col"), none.cast("int").alias("row"), none.cast("int").alias("band"), none.cast("double").alias("value")))
 
 
+def seamed(tiles: DataFrame) -> DataFrame:
+    """Tiles (dataset, tile_col, tile_row, width, data) of one level and band with what lies beyond their last pixels: the first column of
+    the tile to the right, the first row of the one below and the first pixel of the one past the corner; null where there is none."""
+    key, kinds = ["dataset", "tile_col", "tile_row"], {"width": "int", "data": "array<double>", "right": "array<double>", "under": "array<double>", "corner": "double"}
+    column = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda r: F.get("data", (r * F.col("width")).cast("int")))
+
+    def piece(left, up, **of):
+        return F.struct((F.col("tile_col") - left).alias("tile_col"), (F.col("tile_row") - up).alias("tile_row"), *[of.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    # tiles are made once; a tile that is missing still has neighbours
+    pieces = F.array(piece(0, 0, width=F.col("width"), data=F.col("data")), piece(1, 0, right=column), piece(0, 1, under=F.slice("data", F.lit(1), F.col("width"))), piece(1, 1, corner=F.get("data", 0)))
+    return tiles.select("dataset", F.explode(pieces).alias("p")).select("dataset", "p.*").groupBy(*key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in kinds])
+
+
 def bilinear(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int = 512, band: int = 1) -> DataFrame:
     """qid, elevation: from pixel centres, clamped at the edge; with NoData among the four, or with a raster under
     two pixels wide or high, the value of the pixel itself. Null outside and on NoData."""
@@ -121,10 +135,19 @@ def bilinear(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int = 5
     x0 = F.least(F.floor(fx), F.greatest(w - 2, F.lit(0))).cast("int")
     y0 = F.least(F.floor(fy), F.greatest(h - 2, F.lit(0))).cast("int")
     p = p.withColumn("q", F.explode(F.array(F.struct(x0.alias("x0"), y0.alias("y0"), (fx - x0).alias("dx"), (fy - y0).alias("dy"))))).select("*", "q.*").drop("q")
-    p = p.withColumns({"c4": F.floor("px").cast("int"), "r4": F.floor("py").cast("int"), "x1": F.least(F.col("x0") + 1, w - 1), "y1": F.least(F.col("y0") + 1, h - 1)})
-    tile = lambda c: F.floor(F.col(c) / size)
-    in_one = (tile("x0") == tile("x1")) & (tile("y0") == tile("y1"))  # the point's own pixel is one of the four
-    used, layer = p.where("inside"), tiles.where(F.col("band") == band)
+    tile = lambda c: F.floor(F.col(c) / size).cast("int")
+    # what lies outside looks for a tile that there is none of, one of many, so that it stays with the others and isn't all in one task
+    nowhere = (-2 - F.pmod(F.xxhash64("qid"), F.lit(4096))).cast("int")
+    keyed = p.select(
+        "qid", "dataset", "nodata", "inside", "dx", "dy", w.alias("w"), h.alias("h"), "x0", F.least(F.col("x0") + 1, w - 1).alias("x1"), F.floor("px").cast("int").alias("c4"), "y0", F.least(F.col("y0") + 1, h - 1).alias("y1"),
+        F.floor("py").cast("int").alias("r4"), F.when(F.col("inside"), tile("x0")).otherwise(nowhere).alias("tile_col"), F.when(F.col("inside"), tile("y0")).otherwise(0).alias("tile_row"),
+    )
+    met = keyed.join(seamed(tiles.where((F.col("level") == 0) & (F.col("band") == band))), ["dataset", "tile_col", "tile_row"], "left")
+
+    def at(c, r):
+        i, j = F.col(c) - F.col("tile_col") * size, F.col(r) - F.col("tile_row") * size
+        own = F.when((i < size) & (j < size), F.get("data", (j * F.col("width") + i).cast("int")))
+        return own.when(j < size, F.get("right", j.cast("int"))).when(i < size, F.get("under", i.cast("int"))).otherwise(F.col("corner"))
 
     def interpolated(v):
         top = v[0] * (1 - F.col("dx")) + v[1] * F.col("dx")
@@ -132,22 +155,11 @@ def bilinear(points: DataFrame, tiles: DataFrame, meta: DataFrame, size: int = 5
         whole = v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull() & v[3].isNotNull() & (F.col("w") > 1) & (F.col("h") > 1)
         return F.when(whole, top * (1 - F.col("dy")) + low * F.col("dy")).otherwise(v[4])
 
-    # four pixels of one tile: one look at it
-    t = layer.where("level = 0").select("dataset", "tile_col", "tile_row", "width", "data")
-    keyed = used.where(in_one).select("qid", "dataset", "nodata", "dx", "dy", w.alias("w"), h.alias("h"), "x0", "x1", "c4", "y0", "y1", "r4", tile("x0").cast("int").alias("tile_col"), tile("y0").cast("int").alias("tile_row"))
-    met = keyed.join(t, ["dataset", "tile_col", "tile_row"], "left")
-    at = lambda c, r: F.get("data", ((F.col(r) - F.col("tile_row") * size) * F.col("width") + F.col(c) - F.col("tile_col") * size).cast("int"))
-    five = F.transform(F.array(at("x0", "y0"), at("x1", "y0"), at("x0", "y1"), at("x1", "y1"), at("c4", "r4")), lambda v: F.when(~geo.is_nodata(v, F.col("nodata")), v))
-    simple = met.select("qid", "dx", "dy", "w", "h", five.alias("v")).select("qid", interpolated([F.get("v", k) for k in range(5)]).alias("elevation"))
-    # on a seam: five looks, brought together again
-    corner = lambda k, c, r: F.struct(F.lit(k).alias("k"), F.col(c).alias("col"), F.col(r).alias("row"))
-    looks = F.array(corner(0, "x0", "y0"), corner(1, "x1", "y0"), corner(2, "x0", "y1"), corner(3, "x1", "y1"), corner(4, "c4", "r4"))
-    v = _lookup(used.where(~in_one).select("qid", "dataset", "nodata", "dx", "dy", w.alias("w"), h.alias("h"), F.explode(looks).alias("c")).select("*", "c.*").drop("c"), layer, size)
-    v = v.withColumn("value", F.when(~geo.is_nodata(F.col("value"), F.col("nodata")), F.col("value")))
-    q = [F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in range(5)]
-    g = v.groupBy("qid").agg(*q, *[F.first(c).alias(c) for c in ("dx", "dy", "w", "h")])
-    seams = g.select("qid", interpolated([F.col(f"v{k}") for k in range(5)]).alias("elevation"))
-    return simple.unionByName(seams).unionByName(p.where("not inside").select("qid", F.lit(None).cast("double").alias("elevation")))
+    # plain columns, no lambda: a lambda would be handed a row of its own, with a copy of the whole tile
+    valid = lambda v: F.when(F.col("inside") & ~geo.is_nodata(v, F.col("nodata")), v)
+    five = [valid(at(c, r)).alias(f"v{k}") for k, (c, r) in enumerate((("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x1", "y1"), ("c4", "r4")))]
+    found = met.select("qid", "inside", "dx", "dy", "w", "h", *five)
+    return found.select("qid", F.when(F.col("inside"), interpolated([F.col(f"v{k}") for k in range(5)])).alias("elevation"))
 
 
 def _parent(rows: pa.Table, size: int) -> pa.Table:
