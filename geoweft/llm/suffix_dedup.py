@@ -188,8 +188,8 @@ def repeated(texts: DataFrame, length: int, gram: int, at_once: int = 3_000_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x[:, 0], k1, packed)], ["h", "k1", "windows"])
 
     every = texts.where(F.col("n") >= length).select("k1", "text").mapInArrow(find, "h long, k1 long, windows long")
-    # both uses below read this one exchange
-    every = every.where(F.col("h").isNotNull()).repartition("h")
+    # both uses below read this one exchange: what either one's joins would filter is filtered here, or the two would differ
+    every = every.where(F.col("h").isNotNull() & F.col("k1").isNotNull()).repartition("h")
     whole = F.struct("k1", "windows")
     hot = F.count(F.lit(1)) > at_once // (2 * length)
     shared = every.groupBy("h").agg(F.min(whole).alias("x"), F.max(whole).alias("y"), hot.alias("hot")).where("x <> y").select("h", "hot")

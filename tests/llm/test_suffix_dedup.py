@@ -104,3 +104,14 @@ def test_no_index_holds_a_frequent_anchor_whole(spark, monkeypatch):
     assert [int(g.sum()) for g in gone] == [x[2] for x in brute(list(enumerate(rows)))]
     kept = [hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~g])).hexdigest() for t, g in zip(rows, gone)]
     assert kept == [x[4] for x in brute(list(enumerate(rows)))]
+
+
+def test_anchors_are_made_and_shuffled_once(spark, monkeypatch):
+    import re
+
+    plans = []
+    monkeypatch.setattr(S, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    S.dedup(spark.createDataFrame([(1, "a" * 300), (2, "a" * 300 + "b")], "doc_id long, text string"))
+    plain = [re.sub(r"[\s:|+-]+", " ", re.sub(r"#\d+L?", "", line)) for line in plans[0].splitlines()]
+    filters = [plain[i + 1] for i, line in enumerate(plain) if "RepartitionByExpression [h]" in line]
+    assert len(filters) == 2 and len(set(filters)) == 1
