@@ -16,7 +16,7 @@ from geoweft.functions import roads as rules
 from geoweft.operators import raster, spatial
 from geoweft.operators.components import components
 from geoweft.operators.numbering import numbered
-from geoweft.tables import materialize
+from geoweft.tables import materialize, spread
 
 
 VERSION = ["dataset", "version_no"]
@@ -84,17 +84,20 @@ def connectivity(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def measures(features: DataFrame) -> DataFrame:
     """What the rules on road data ask for, by dataset and version_no, from features as link_lines() takes them: features of
     another type, links that can't be made, links without speed or class, extent, components and the share of the largest."""
-    lines = link_lines(features)
     line = F.coalesce(F.col("geom_type").isin("LineString", "MultiLineString"), F.lit(False))
     base = features.groupBy(*VERSION).agg(F.lit("ROAD_NETWORK").alias("type"), F.count(F.lit(1)).alias("n_features"), F.count_if(~line).alias("n_mismatched"))
+    node = lambda p: F.xxhash64(*VERSION, geo.snapped(p["x"]), geo.snapped(p["y"]))
+    first, last = F.element_at("geom", 1), F.element_at("geom", -1)
+    sides = [f(F.col(f"geom.{c}")).alias(n + c) for n, f in (("min", F.array_min), ("max", F.array_max)) for c in ("x", "y")]
+    slow, plain = F.col("max_speed_kph").isNull().alias("slow"), (F.coalesce(F.trim("road_class"), F.lit("")) == "").alias("plain")
+    # lines cost most of the time and are asked for several times, so what is asked for is written once
+    lines = materialize(link_lines(spread(features)).where("geom is not null").select(*VERSION, "feature_id", "ok", slow, plain, *sides, node(first).alias("a"), node(last).alias("b"), first["x"].alias("x"), first["y"].alias("y")), "lines")
     made = lines.where("ok").groupBy(*VERSION).agg(
-        F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("max_speed_kph").isNull()).alias("n_no_speed"), F.count_if(F.coalesce(F.trim("road_class"), F.lit("")) == "").alias("n_no_class"),
-        *[f(g(c)).alias(n + k) for n, f, g in (("min", F.min, F.array_min), ("max", F.max, F.array_max)) for k, c in (("x", F.col("geom.x")), ("y", F.col("geom.y")))],
+        F.count(F.lit(1)).alias("n_links"), F.count_if("slow").alias("n_no_speed"), F.count_if("plain").alias("n_no_class"), *[f(n + c).alias(n + c) for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")]
     )
-    invalid = lines.where("not ok and geom is not null").groupBy(*VERSION).agg(F.countDistinct("feature_id").alias("n_invalid"))
-    node = lambda p: F.xxhash64(*VERSION, geo.snapped(p["x"]), geo.snapped(p["y"]))
-    ends = materialize(lines.where("ok").select(*VERSION, node(F.element_at("geom", 1)).alias("a"), node(F.element_at("geom", -1)).alias("b")), "ends")
-    of = ends.select(*VERSION, F.explode(F.array("a", "b")).alias("node")).distinct().join(components(ends), "node")
+    invalid = lines.where("not ok").groupBy(*VERSION).agg(F.countDistinct("feature_id").alias("n_invalid"))
+    ends = lines.where("ok")
+    of = ends.select(*VERSION, F.explode(F.array("a", "b")).alias("node")).distinct().join(components(ends, near=[*VERSION, "y", "x"]), "node")
     sizes = of.groupBy(*VERSION, "component").agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy(*VERSION).agg(F.count(F.lit(1)).alias("n_components"), (F.max("n") / F.sum("n")).alias("largest_ratio"))
     out = base.join(made, VERSION, "left").join(invalid, VERSION, "left").join(whole, VERSION, "left")
