@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Memo, free_name, kept, parts_of
+from geoweft.llm.common import Memo, forgetting, free_name, kept, parts_of
 from geoweft.operators.components import components
 from geoweft.tables import materialize
 
@@ -60,7 +60,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = kept("ngram words", lambda: Memo(xxhash.xxh64_intdigest, limit=250_000))
+    known = kept("ngram words", lambda: Memo(xxhash.xxh64_intdigest, limit=100_000))
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(w) - size + 1)
     h = np.full(n, min(size, len(w)), np.uint64)
@@ -100,11 +100,11 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, waiting, id_kind = np.zeros(SLOTS, np.uint32), [], 0, None
+        sketch, one, held, waiting, id_kind = np.zeros(SLOTS, np.uint32), np.uint32(1), [], 0, None
 
         def add() -> None:
-            slots = (np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64)
-            np.add(sketch, np.bincount(slots, minlength=SLOTS).astype(np.uint32), out=sketch)
+            for h in held:  # in place: a count of all slots anew would take several times the sketch
+                np.add.at(sketch, (h % np.uint64(SLOTS)).astype(np.int64), one)
 
         def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
             kinds = {"kind": pa.int32(), "doc_id": id_kind, "hash": pa.int64(), "n": pa.int32(), "key": pa.int64(), "check": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
@@ -131,7 +131,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             yield rows(1, len(packed), block=list(range(len(packed))), counts=packed)
 
     there = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    return there.mapInArrow(scan, f"kind int, doc_id {id_type}, hash long, n int, key long, check long, block int, counts binary")
+    return there.mapInArrow(forgetting(scan), f"kind int, doc_id {id_type}, hash long, n int, key long, check long, block int, counts binary")
 
 
 def frequency(profile: DataFrame) -> np.ndarray:
@@ -198,7 +198,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int, rename
         }
         return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
-    return docs.select("text").mapInArrow(scan, "shingle long, key long, n int, place int")
+    return docs.select("text").mapInArrow(forgetting(scan), "shingle long, key long, n int, place int")
 
 
 def _possible(n, p, m, q, percent: int):
@@ -290,7 +290,7 @@ def products(entries: DataFrame, percent: int, wide: int) -> DataFrame:
             yield flush()
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    return dealt.mapInPandas(multiply, schema)
+    return dealt.mapInPandas(forgetting(multiply), schema)
 
 
 def counted(made: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +343,7 @@ def crossing(columns: DataFrame, percent: int, block: int = 5000) -> DataFrame:
     outside = rows.where("component <> main").select(*kept_, F.lit(0).alias("side"), F.pmod(salt, "outer").alias("x"), F.explode(F.sequence(zero, F.col("whole") - 1)).alias("y"))
     every = rows.select(*kept_, F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("outer") - 1)).alias("x"), F.pmod(salt, "whole").alias("y"))
     dealt = outside.unionByName(every).repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
-    return dealt.mapInPandas(multiply, "key long, component long, cell long").distinct()
+    return dealt.mapInPandas(forgetting(multiply), "key long, component long, cell long").distinct()
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,7 +398,7 @@ def fetched(docs: DataFrame, keys: DataFrame, firsts: DataFrame, size: int, rena
                 yield pa.RecordBatch.from_pydict({"key": pa.array([key_of(s, renamed) for s in found], pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
 
     there = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), "text")
-    return there.mapInArrow(shingled, "key long, set binary").groupBy("key").agg(F.first("set").alias("set")).join(wanted, "key", "left_semi")
+    return there.mapInArrow(forgetting(shingled), "key long, set binary").groupBy("key").agg(F.first("set").alias("set")).join(wanted, "key", "left_semi")
 
 
 def linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -432,7 +432,7 @@ def linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["cell", "key"])
 
     dealt = blocks.join(sets, "key").repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
-    return dealt.mapInPandas(multiply, "cell long, key long")
+    return dealt.mapInPandas(forgetting(multiply), "cell long, key long")
 
 
 def dealt(rows: DataFrame, asked: DataFrame, per_block: int, per_lane: int) -> DataFrame:
