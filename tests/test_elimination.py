@@ -60,3 +60,36 @@ def test_closed_cells_write_no_trees(spark, monkeypatch, few):
     assert got == want and got[903] == got[904] == got[905] == 0.0 and not {900, 901, 902, 906} & got.keys()
     assert {(r.src, r.mode, r.node): r.g for r in roads.one_to_all(od, costs).collect()} == every
     assert set(written) == {"asked"}
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_ways_lead_from_source_to_target(spark, monkeypatch, few):
+    monkeypatch.setattr(roads, "FEW", few)
+    n, src, dst, cost = network(3)
+    edges = {k: (int(a), int(b), float(c)) for k, (a, b, c) in enumerate(zip(src, dst, cost))}
+    costs = spark.createDataFrame([("CAR", k, *e) for k, e in edges.items()], "mode string, edge_id long, src long, dst long, cost double")
+    od = {i: ((i * 7) % n, (i * 11) % n) for i in range(300)}
+    goal, steps = roads.ways(spark.createDataFrame([(i, *p, "CAR") for i, p in od.items()], "od_id long, src long, dst long, mode string"), costs)
+    walked = {}
+    for r in steps.orderBy("od_id", "back").collect():
+        walked.setdefault(r.od_id, []).append(r.edge_id)
+    got = {r.od_id: r.g for r in goal.collect()}
+    assert got == {i: g for i, (a, b) in od.items() if (g := dijkstra(n, src.tolist(), dst.tolist(), cost.tolist(), a)[b]) < float("inf")}
+    for i, g in got.items():
+        at, total = od[i][1], 0.0
+        for k in walked.get(i, []):
+            assert edges[k][1] == at
+            at, total = edges[k][0], total + edges[k][2]
+        assert (at, total) == (od[i][0], g)
+
+
+def test_requests_alike_share_a_route(spark, monkeypatch):
+    nodes = spark.createDataFrame([(0, 127.0, 37.5), (1, 127.01, 37.5)], "node_seq long, lon double, lat double")
+    links = spark.createDataFrame([(5, 0, 1, "primary", 60, False, 882.0, "a", [(127.0, 37.5), (127.01, 37.5)])], "link_id long, from_node long, to_node long, road_class string, max_speed_kph int, oneway boolean, length_m double, road_name string, geom array<struct<x: double, y: double>>")
+    rides = [(i, "WALK" if i == 3 else "CAR", 127.0, 37.5, 127.01, 40.0 if i == 4 else 37.5) for i in range(5)]
+    asked, ways = [], roads.ways
+    monkeypatch.setattr(roads, "ways", lambda od, *a: asked.append(od.count()) or ways(od, *a))
+    headers, segments, steps = roads.routed(spark.createDataFrame(rides, "od_id long, mode string, from_lon double, from_lat double, to_lon double, to_lat double"), links, nodes)
+    got = {r.od_id: (r.status, r.route_id, r.distance_m) for r in headers.collect()}
+    assert got == {i: ("OK", 0, 882.0) for i in range(3)} | {3: ("OK", 3, 882.0), 4: ("UNSNAPPED", None, None)} and asked == [2]
+    assert sorted((r.route_id, r.edge_id) for r in steps.collect()) == [(0, 10), (3, 10)] == sorted((r.route_id, 10) for r in segments.collect())
